@@ -92,7 +92,8 @@ def normalize_snapshot(snapshot: DataFrame, cfg: StageConfig) -> DataFrame:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
     df = parse_numbers(cleanse_strings(df), config.SNAPSHOT_NUMERIC_COLUMNS)
-    snap_at = F.try_to_timestamp(F.col("snapshot_at"))
+    # Spark reads a time-only string as "today"; require a leading calendar date.
+    snap_at = F.when(F.col("snapshot_at").rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(F.col("snapshot_at")))
     active = RF.bool_token("is_active_at_snapshot")
     outcome = F.col("final_outcome")
     df = df.select(

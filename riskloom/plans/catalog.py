@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import config
-from riskloom.operators import queue, reports
+from riskloom.operators import cleanse, evaluate, features, queue, reports
+from riskloom.sources import adapter
 from riskloom.operators.reports import is_canceled_store
 from riskloom.plans.frames import ARTIFACT_MODEL, Frames
 
@@ -244,6 +245,167 @@ def action_history(spark, sf_dir):
     )
 
 
+# --- features / modeling / split --------------------------------------------------------
+
+TRAIN_YEARS = (1995, 1996, 1997, 1998, 1999)  # adapter data spans 1995-2001
+TEST_YEARS = (2000, 2001)
+BOOKING = config.stage_config("booking_time")
+DAY1 = config.stage_config("post_booking_day_1")
+
+
+def _features(fr: Frames) -> DataFrame:
+    return fr._get("features", lambda: features.build_features(fr.clean(), BOOKING))
+
+
+def _modeling(fr: Frames) -> DataFrame:
+    return fr._get("modeling", lambda: features.modeling_rows(_features(fr), BOOKING))
+
+
+@register("feature_dataset")
+def feature_dataset(spark, sf_dir):
+    return _features(_f(spark, sf_dir))
+
+
+@register("lead_time_bucket_counts")
+def lead_time_bucket_counts(spark, sf_dir):
+    return (
+        _features(_f(spark, sf_dir))
+        .groupBy("lead_time_bucket")
+        .agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
+    )
+
+
+@register("modeling_rows")
+def modeling_rows_q(spark, sf_dir):
+    return _modeling(_f(spark, sf_dir))
+
+
+@register("temporal_split_summary")
+def temporal_split_summary(spark, sf_dir):
+    return features.split_summary(_modeling(_f(spark, sf_dir)), BOOKING, TRAIN_YEARS, TEST_YEARS)
+
+
+@register("import_summary")
+def import_summary(spark, sf_dir):
+    fr = _f(spark, sf_dir)
+    parts = [
+        fr.raw().agg(F.count(F.lit(1)).cast("bigint").alias("row_count_raw")),
+        fr.clean().agg(
+            F.count(F.lit(1)).cast("bigint").alias("row_count_clean"),
+            F.count_if(~F.col("excluded_from_training")).cast("bigint").alias("row_count_training"),
+            F.count_if(F.col("excluded_from_training")).cast("bigint").alias("row_count_excluded"),
+        ),
+    ]
+    return reports.one_row(parts, ["row_count_raw", "row_count_clean", "row_count_training", "row_count_excluded"]).withColumn(
+        "model_stage", F.lit(BOOKING.name)
+    )
+
+
+@register("status_distribution")
+def status_distribution(spark, sf_dir):
+    return (
+        _f(spark, sf_dir).clean()
+        .groupBy(F.coalesce("reservation_status", F.lit("MISSING")).alias("status"))
+        .agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
+    )
+
+
+@register("class_distribution")
+def class_distribution(spark, sf_dir):
+    return (
+        _modeling(_f(spark, sf_dir))
+        .groupBy("no_show_flag")
+        .agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
+        .orderBy("no_show_flag")
+    )
+
+
+def _snapshot_clean(fr: Frames) -> DataFrame:
+    return fr._get(
+        "snapshot", lambda: cleanse.normalize_snapshot(adapter.snapshot_reservations(fr.spark, fr.sf_dir), DAY1)
+    )
+
+
+@register("snapshot_normalize")
+def snapshot_normalize(spark, sf_dir):
+    return _snapshot_clean(_f(spark, sf_dir)).select(
+        "reservation_key", "source_row_number", "snapshot_stage", "arrival_date",
+        F.col("snapshot_at").cast("timestamp_ntz").alias("snapshot_at"), "snapshot_year",
+        "is_active_at_snapshot", "final_outcome", "no_show_flag", "excluded_from_training", "exclusion_reason",
+        "lead_time_days", "days_since_booking", "days_to_arrival", "booking_changes_as_of_cutoff",
+        "assigned_room_type_as_of_cutoff",
+    )
+
+
+@register("feature_asof_flags")
+def feature_asof_flags(spark, sf_dir):
+    feats = features.build_features(_snapshot_clean(_f(spark, sf_dir)), DAY1)
+    return feats.select(
+        "reservation_key", "feature_set_version", "snapshot_year", "lead_time_bucket", "total_nights",
+        "has_any_booking_change_as_of_cutoff", "waiting_list_flag_as_of_cutoff", "room_assigned_flag_as_of_cutoff",
+    )
+
+
+# --- evaluation ---------------------------------------------------------------------------
+
+LABEL, SCORE, BY = "actual_no_show_flag", "score", ["model_name"]
+TIE_BREAK = ["reservation_id", "tie_line", "tie_part", "tie_supp"]
+
+
+def _scored(fr: Frames) -> DataFrame:
+    return fr.predictions().select(*BY, LABEL, SCORE, *TIE_BREAK)
+
+
+def _metrics(fr: Frames) -> DataFrame:
+    return fr._get("metrics", lambda: evaluate.classification_metrics(_scored(fr), LABEL, SCORE, by=BY))
+
+
+@register("confusion_matrix")
+def confusion_matrix(spark, sf_dir):
+    return evaluate.confusion(_scored(_f(spark, sf_dir)), LABEL, SCORE, config.ACTION_THRESHOLD, BY)
+
+
+@register("classification_metrics")
+def classification_metrics(spark, sf_dir):
+    return _metrics(_f(spark, sf_dir))
+
+
+@register("threshold_sweep")
+def threshold_sweep(spark, sf_dir):
+    return evaluate.threshold_sweep(_scored(_f(spark, sf_dir)), LABEL, SCORE, by=BY)
+
+
+@register("topk_capture")
+def topk_capture(spark, sf_dir):
+    return evaluate.top_k_capture(_scored(_f(spark, sf_dir)), LABEL, SCORE, TIE_BREAK, by=BY)
+
+
+@register("calibration_table")
+def calibration_table(spark, sf_dir):
+    return evaluate.calibration(_scored(_f(spark, sf_dir)), LABEL, SCORE, TIE_BREAK, by=BY)
+
+
+@register("metrics_long")
+def metrics_long(spark, sf_dir):
+    return evaluate.metrics_long(_metrics(_f(spark, sf_dir)))
+
+
+@register("model_comparison")
+def model_comparison(spark, sf_dir):
+    return evaluate.model_comparison(_metrics(_f(spark, sf_dir)))
+
+
+@register("recommended_model")
+def recommended_model(spark, sf_dir):
+    return evaluate.recommended_model(evaluate.model_comparison(_metrics(_f(spark, sf_dir))))
+
+
+@register("threshold_lookup")
+def threshold_lookup(spark, sf_dir):
+    sweep = evaluate.threshold_sweep(_scored(_f(spark, sf_dir)), LABEL, SCORE, by=BY)
+    return queue.threshold_lookup(sweep, config.ACTION_THRESHOLD, by=BY)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

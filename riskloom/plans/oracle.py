@@ -427,5 +427,265 @@ WHERE reservation_id = {DETAIL_ID // 2} ORDER BY acted_at DESC, id DESC""")
     return q
 
 
+ZERO_FILL = config.ZERO_FILL_COLUMNS
+
+
+def _bucket_sql(x: str) -> str:
+    parts = " ".join(f"WHEN {x} <= {e} THEN '{lab}'" for e, lab in zip(config.LEAD_TIME_EDGES, config.LEAD_TIME_LABELS))
+    return f"CASE {parts} WHEN {x} IS NOT NULL THEN '{config.LEAD_TIME_LABELS[-1]}' END"
+
+
+def _features_cte(src: str, snapshot: bool, version: str) -> str:
+    fill = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ZERO_FILL)
+    guests = "(coalesce(adults, 0) + coalesce(children, 0) + coalesce(babies, 0))"
+    extra = ""
+    if snapshot:
+        extra = """,
+    CASE WHEN booking_changes_as_of_cutoff IS NOT NULL THEN CAST(booking_changes_as_of_cutoff > 0 AS INTEGER) END AS has_any_booking_change_as_of_cutoff,
+    CASE WHEN days_in_waiting_list_as_of_cutoff IS NOT NULL THEN CAST(days_in_waiting_list_as_of_cutoff > 0 AS INTEGER) END AS waiting_list_flag_as_of_cutoff,
+    CASE WHEN assigned_room_type_as_of_cutoff IS NOT NULL THEN 1 END AS room_assigned_flag_as_of_cutoff"""
+    return f"""
+filled AS (SELECT * REPLACE ({fill}) FROM {src}),
+feat AS (
+  SELECT *,
+    weekend_nights + week_nights AS total_nights,
+    {guests} AS total_guests,
+    CAST((coalesce(children, 0) + coalesce(babies, 0)) > 0 AS INTEGER) AS has_children,
+    CAST({guests} >= 3 AS INTEGER) AS is_family,
+    {_bucket_sql('lead_time_days')} AS lead_time_bucket,
+    CAST(agent_code IS NOT NULL AS INTEGER) AS has_agent,
+    CAST(company_code IS NOT NULL AS INTEGER) AS has_company,
+    CAST(total_special_requests > 0 AS INTEGER) AS special_request_flag,
+    adr / greatest({guests}, 1) AS adr_per_guest,
+    adr / greatest(weekend_nights + week_nights, 1) AS adr_per_night_proxy,
+    CAST(coalesce(arrival_month_name IN ('July', 'August'), false) AS INTEGER) AS is_high_season,
+    CAST(weekend_nights > week_nights AS INTEGER) AS is_weekend_heavy,
+    previous_cancellations / (previous_cancellations + previous_non_cancelled_bookings + 1) AS previous_cancel_ratio,
+    '{version}' AS feature_set_version{extra}
+  FROM filled
+)"""
+
+
+BOOKING_POLICY = config.stage_config("booking_time").policy
+FEATURE_SELECT = ", ".join(
+    dict.fromkeys(
+        ["reservation_id", "reservation_key", "source_file", "source_row_number", "property_id", "model_stage",
+         "feature_set_version", *BOOKING_POLICY.model_features, "arrival_date", "excluded_from_training",
+         "exclusion_reason", "no_show_flag", "arrival_year"]
+    )
+)
+MODELING_SELECT = ", ".join(
+    dict.fromkeys(
+        ["reservation_id", "reservation_key", "source_file", "source_row_number", "arrival_date", "model_stage",
+         "feature_set_version", "arrival_year", "CAST(no_show_flag AS INTEGER) AS no_show_flag",
+         *BOOKING_POLICY.model_features]
+    )
+)
+TRAIN_YEARS = (1995, 1996, 1997, 1998, 1999)
+TEST_YEARS = (2000, 2001)
+
+
+def _snapshot_ctes() -> list[str]:
+    raw_cols = {
+        "lead_time_days": "LeadTime", "arrival_year": "ArrivalDateYear", "arrival_month_name": "ArrivalDateMonth",
+        "arrival_week_number": "ArrivalDateWeekNumber", "arrival_day_of_month": "ArrivalDateDayOfMonth",
+        "weekend_nights": "StaysInWeekendNights", "week_nights": "StaysInWeekNights", "adults": "Adults",
+        "children": "Children", "babies": "Babies", "meal_plan": "Meal", "country_code": "Country",
+        "market_segment": "MarketSegment", "distribution_channel": "DistributionChannel",
+        "is_repeated_guest": "IsRepeatedGuest", "previous_cancellations": "PreviousCancellations",
+        "previous_non_cancelled_bookings": "PreviousBookingsNotCanceled", "reserved_room_type": "ReservedRoomType",
+        "deposit_type": "DepositType", "agent_code": "Agent", "company_code": "Company", "customer_type": "CustomerType",
+        "adr": "ADR", "required_car_parking_spaces": "RequiredCarParkingSpaces",
+        "total_special_requests": "TotalOfSpecialRequests",
+    }
+    snap_raw = ", ".join(f"{src} AS {dst}" for dst, src in raw_cols.items())
+    numeric = set(config.SNAPSHOT_NUMERIC_COLUMNS)
+    strings = [c for c in list(raw_cols) + ["property_id", "agent_code"] if c not in numeric]
+    clean_cols = [f"{_num(c)} AS {c}" for c in config.SNAPSHOT_NUMERIC_COLUMNS if c != "source_row_number"]
+    clean_cols += [f"{_clean(c)} AS {c}" for c in dict.fromkeys(strings)]
+    clean_cols += [f"{_clean(c)} AS {c}" for c in ("reservation_key", "source_file", "snapshot_stage", "final_outcome",
+                                                   "assigned_room_type_as_of_cutoff")]
+    clean_cols += [
+        f"CAST({_num('source_row_number')} AS BIGINT) AS source_row_number",
+        f"CAST(try_strptime({_clean('arrival_date')}, '%Y-%m-%d') AS DATE) AS arrival_date",
+        f"TRY_CAST({_clean('snapshot_at')} AS TIMESTAMPTZ) AS snapshot_at",
+        f"coalesce({_clean('is_active_at_snapshot')} IN ('1', 'true'), false) AS is_active_at_snapshot",
+    ]
+    return [
+        f"""
+snapraw AS (
+  SELECT reservation_key, source_file, CAST(source_row_number AS VARCHAR) AS source_row_number, source_file AS property_id,
+         CASE WHEN reservation_id % 101 = 0 THEN 'not a date' ELSE arrival_text END AS arrival_date, {snap_raw},
+         CASE WHEN reservation_id % 3 = 2 THEN 'post_booking_day_2' ELSE 'post_booking_day_1' END AS snapshot_stage,
+         ReservationStatusDate || 'T06:30:00+02:00' AS snapshot_at,
+         CASE WHEN reservation_id % 3 = 2 THEN '2' ELSE '1' END AS days_since_booking,
+         LeadTime AS days_to_arrival,
+         CASE reservation_id % 4 WHEN 0 THEN 'false' WHEN 1 THEN '1' WHEN 2 THEN 'true' ELSE 'True' END AS is_active_at_snapshot,
+         ReservationStatus AS final_outcome,
+         CASE WHEN reservation_id % 6 = 0 THEN NULL ELSE BookingChanges END AS booking_changes_as_of_cutoff,
+         CASE WHEN reservation_id % 5 = 0 THEN NULL ELSE DaysInWaitingList END AS days_in_waiting_list_as_of_cutoff,
+         CASE WHEN reservation_id % 2 = 0 THEN NULL ELSE AssignedRoomType END AS assigned_room_type_as_of_cutoff,
+         CAST(NULL AS VARCHAR) AS days_since_last_booking_change, CAST(NULL AS VARCHAR) AS days_since_room_assignment
+  FROM raw
+),
+snap0 AS (SELECT {", ".join(clean_cols)} FROM snapraw),
+snap AS (
+  SELECT *, year(snapshot_at AT TIME ZONE 'UTC') AS snapshot_year, 'post_booking_day_1' AS model_stage,
+         CAST(CASE final_outcome WHEN 'No-Show' THEN 1 WHEN 'Check-Out' THEN 0 END AS BIGINT) AS no_show_flag,
+         (NOT coalesce(final_outcome IN ('No-Show', 'Check-Out'), false)) OR NOT is_active_at_snapshot AS excluded_from_training,
+         CASE WHEN final_outcome = 'Canceled' THEN 'canceled_before_or_after_snapshot'
+              WHEN NOT is_active_at_snapshot THEN 'inactive_at_snapshot' END AS exclusion_reason
+  FROM snap0 WHERE snapshot_stage = 'post_booking_day_1'
+)"""
+    ]
+
+
+def _more_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    c = base_clean()
+    f = [*c, _features_cte("clean", False, config.FEATURE_SET_VERSION)]
+    q["feature_dataset"] = with_ctes(*f, body=f"SELECT {FEATURE_SELECT} FROM feat")
+    q["lead_time_bucket_counts"] = with_ctes(*f, body="""
+SELECT lead_time_bucket, CAST(count(*) AS BIGINT) AS row_count FROM feat GROUP BY 1""")
+    modeling = f"modeling AS (SELECT {MODELING_SELECT} FROM feat WHERE NOT excluded_from_training)"
+    q["modeling_rows"] = with_ctes(*f, modeling, body="SELECT * FROM modeling")
+    tr = ", ".join(f"{y}.0" for y in TRAIN_YEARS)
+    te = ", ".join(f"{y}.0" for y in TEST_YEARS)
+    q["temporal_split_summary"] = with_ctes(*f, modeling, body=f"""
+SELECT split_name, string_agg(DISTINCT CAST(CAST(arrival_year AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(CAST(arrival_year AS BIGINT) AS VARCHAR)) AS years,
+       CAST(count(*) AS BIGINT) AS row_count,
+       CAST(count(*) FILTER (WHERE no_show_flag = 0) AS BIGINT) AS class_0_count,
+       CAST(count(*) FILTER (WHERE no_show_flag = 1) AS BIGINT) AS class_1_count
+FROM (SELECT *, CASE WHEN arrival_year IN ({tr}) THEN 'train' WHEN arrival_year IN ({te}) THEN 'test' END AS split_name
+      FROM modeling)
+WHERE split_name IS NOT NULL GROUP BY split_name""")
+    q["import_summary"] = with_ctes(*c, body="""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM raw) AS row_count_raw, CAST(count(*) AS BIGINT) AS row_count_clean,
+       CAST(count(*) FILTER (WHERE NOT excluded_from_training) AS BIGINT) AS row_count_training,
+       CAST(count(*) FILTER (WHERE excluded_from_training) AS BIGINT) AS row_count_excluded,
+       'booking_time' AS model_stage
+FROM clean""")
+    q["status_distribution"] = with_ctes(*c, body="""
+SELECT coalesce(reservation_status, 'MISSING') AS status, CAST(count(*) AS BIGINT) AS row_count FROM clean GROUP BY 1""")
+    q["class_distribution"] = with_ctes(*f, modeling, body="""
+SELECT no_show_flag, CAST(count(*) AS BIGINT) AS row_count FROM modeling GROUP BY 1 ORDER BY 1""")
+    sn = [*c, *_snapshot_ctes()]
+    q["snapshot_normalize"] = with_ctes(*sn, body="""
+SELECT reservation_key, source_row_number, snapshot_stage, arrival_date,
+       CAST(snapshot_at AT TIME ZONE 'UTC' AS TIMESTAMP) AS snapshot_at, snapshot_year, is_active_at_snapshot,
+       final_outcome, no_show_flag, excluded_from_training, exclusion_reason, lead_time_days, days_since_booking,
+       days_to_arrival, booking_changes_as_of_cutoff, assigned_room_type_as_of_cutoff
+FROM snap""")
+    sf = [*sn, _features_cte("snap", True, "post_booking_day_1_v1")]
+    q["feature_asof_flags"] = with_ctes(*sf, body="""
+SELECT reservation_key, feature_set_version, snapshot_year, lead_time_bucket, total_nights,
+       has_any_booking_change_as_of_cutoff, waiting_list_flag_as_of_cutoff, room_assigned_flag_as_of_cutoff
+FROM feat""")
+
+    # evaluation over the prediction history, per model
+    e = [ENT, PRED]
+    y = "actual_no_show_flag"
+    cm = f"""
+SELECT model_name, tp AS true_positives, fp AS false_positives, tn AS true_negatives, fn AS false_negatives,
+       0.35 AS threshold, tp + fp AS actioned_count,
+       coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0) AS precision,
+       coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0) AS recall,
+       coalesce(CAST(2 * tp AS DOUBLE) / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0.0) AS f1
+FROM (SELECT model_name,
+        CAST(count(*) FILTER (WHERE score >= 0.35 AND {y} = 1) AS BIGINT) AS tp,
+        CAST(count(*) FILTER (WHERE score >= 0.35 AND NOT ({y} = 1)) AS BIGINT) AS fp,
+        CAST(count(*) FILTER (WHERE NOT (score >= 0.35) AND NOT ({y} = 1)) AS BIGINT) AS tn,
+        CAST(count(*) FILTER (WHERE NOT (score >= 0.35) AND {y} = 1) AS BIGINT) AS fn
+      FROM pred GROUP BY model_name)"""
+    q["confusion_matrix"] = with_ctes(*e, body=cm)
+    groups = f"""
+grp AS (SELECT model_name, score, count(*) FILTER (WHERE {y} = 1) AS pos, count(*) FILTER (WHERE NOT ({y} = 1)) AS neg
+        FROM pred WHERE score IS NOT NULL GROUP BY model_name, score),
+curve AS (
+  SELECT model_name,
+         CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
+           CAST(sum((2 * CAST(neg_lt AS HUGEINT) + neg) * pos) AS DOUBLE) / (2.0 * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE))
+         END AS roc_auc,
+         CASE WHEN sum(pos) > 0 THEN round(sum(pos * pos_ge / (pos_ge + neg_ge)) / sum(pos), 9) ELSE 0.0 END AS pr_auc
+  FROM (SELECT *, sum(neg) OVER (PARTITION BY model_name ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS neg_lt0,
+               coalesce(sum(neg) OVER (PARTITION BY model_name ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_lt,
+               CAST(sum(pos) OVER (PARTITION BY model_name ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS pos_ge,
+               CAST(sum(neg) OVER (PARTITION BY model_name ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS neg_ge
+        FROM grp)
+  GROUP BY model_name),
+brier AS (SELECT model_name, round(avg(power(CAST({y} AS DOUBLE) - score, 2)), 9) AS brier_score FROM pred GROUP BY model_name),
+cm AS ({cm}),
+metrics AS (
+  SELECT cm.model_name, roc_auc, pr_auc, precision, recall, f1, brier_score, threshold, actioned_count,
+         true_positives, false_positives, true_negatives, false_negatives
+  FROM cm JOIN curve USING (model_name) JOIN brier USING (model_name))"""
+    q["classification_metrics"] = with_ctes(*e, groups, body="SELECT * FROM metrics")
+    q["metrics_long"] = with_ctes(*e, groups, body="""
+SELECT model_name, name, value, CASE WHEN value IS NULL THEN 'pending' ELSE 'available' END AS status
+FROM (UNPIVOT (SELECT model_name, pr_auc, roc_auc, precision, recall, f1, brier_score FROM metrics)
+      ON pr_auc, roc_auc, precision, recall, f1, brier_score INTO NAME name VALUE value)""")
+    comparison = """
+comparison AS (
+  SELECT model_name, roc_auc, pr_auc, precision, recall, f1, brier_score, threshold,
+         CAST(row_number() OVER (ORDER BY pr_auc DESC NULLS LAST, roc_auc DESC NULLS LAST, model_name) AS BIGINT) AS comparison_rank
+  FROM metrics)"""
+    q["model_comparison"] = with_ctes(*e, groups, comparison, body="SELECT * FROM comparison")
+    q["recommended_model"] = with_ctes(*e, groups, comparison, body="""
+SELECT model_name AS recommended_model, threshold AS selected_threshold,
+       printf('Recommended by latest artifact because it leads on PR-AUC (%.3f) under the current selection policy.', pr_auc)
+         AS recommendation_reason
+FROM comparison WHERE comparison_rank = 1""")
+    sweep_rows = " UNION ALL ".join(
+        f"""SELECT model_name, CAST({t!r} AS DOUBLE) AS threshold,
+       count(*) FILTER (WHERE score >= {t!r} AND {y} = 1) AS tp, count(*) FILTER (WHERE score >= {t!r}) AS actioned,
+       count(*) FILTER (WHERE {y} = 1) AS p FROM pred GROUP BY model_name"""
+        for t in config.THRESHOLDS
+    )
+    sweep = f"""
+sweep AS (
+  SELECT model_name, threshold,
+         coalesce(CAST(tp AS DOUBLE) / nullif(CAST(actioned AS DOUBLE), 0), 0.0) AS precision,
+         coalesce(CAST(tp AS DOUBLE) / nullif(CAST(p AS DOUBLE), 0), 0.0) AS recall,
+         coalesce(CAST(2 * tp AS DOUBLE) / nullif(CAST(2 * tp + (actioned - tp) + (p - tp) AS DOUBLE), 0), 0.0) AS f1,
+         CAST(actioned AS BIGINT) AS actioned_count
+  FROM ({sweep_rows}))"""
+    q["threshold_sweep"] = with_ctes(*e, sweep, body="SELECT * FROM sweep")
+    q["threshold_lookup"] = with_ctes(*e, sweep, body="""
+SELECT model_name, threshold, precision, recall, f1, actioned_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY (abs(threshold - 0.35) < 0.0001) DESC, threshold) AS pick
+  FROM sweep) WHERE pick = 1""")
+    ranked = f"""
+ranked AS (
+  SELECT model_name, {y}, score,
+         row_number() OVER (PARTITION BY model_name ORDER BY score DESC, reservation_id, tie_line, tie_part, tie_supp) AS r_desc,
+         row_number() OVER (PARTITION BY model_name ORDER BY score ASC, reservation_id, tie_line, tie_part, tie_supp) AS r_asc,
+         count(*) OVER (PARTITION BY model_name) AS n,
+         count(*) FILTER (WHERE {y} = 1) OVER (PARTITION BY model_name) AS p,
+         min(score) OVER (PARTITION BY model_name) < max(score) OVER (PARTITION BY model_name) AS varied
+  FROM pred)"""
+    segs = [(f"top_{k}", f"least({k}, n)") for k in config.TOP_K_VALUES]
+    segs += [(f"top_{int(round(pc * 100))}pct", f"greatest(1, ceil(n * {pc!r}))") for pc in config.TOP_PERCENT_VALUES]
+    topk = " UNION ALL ".join(
+        f"""SELECT model_name, '{name}' AS segment, CAST(max({cut}) AS BIGINT) AS selected_count,
+       CAST(count(*) FILTER (WHERE r_desc <= {cut} AND {y} = 1) AS BIGINT) AS captured_no_show,
+       CAST(max(p) AS BIGINT) AS total_no_show FROM ranked GROUP BY model_name"""
+        for name, cut in segs
+    )
+    q["topk_capture"] = with_ctes(*e, ranked, body=f"""
+SELECT model_name, segment, selected_count, captured_no_show, total_no_show,
+       coalesce(CAST(captured_no_show AS DOUBLE) / nullif(CAST(total_no_show AS DOUBLE), 0), 0.0) AS recall
+FROM ({topk})""")
+    q["calibration_table"] = with_ctes(*e, ranked, body=f"""
+SELECT model_name, bin, CAST(count(*) AS BIGINT) AS sample_count, round(avg(score), 9) AS mean_predicted_probability,
+       CAST(count(*) FILTER (WHERE {y} = 1) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS observed_positive_rate
+FROM (SELECT *, CAST(CASE WHEN varied THEN greatest(0,
+        CASE WHEN n > 1 THEN ((r_asc - 1) * least(10, n) + (n - 1) - 1) // (n - 1) END - 1) ELSE 0 END AS BIGINT) AS bin
+      FROM ranked)
+GROUP BY model_name, bin ORDER BY model_name, bin""")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
-    return _queries()
+    out = _queries()
+    out.update(_more_queries())
+    return out
