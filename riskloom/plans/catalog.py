@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import config
-from riskloom.operators import cleanse, evaluate, features, queue, reports
-from riskloom.sources import adapter
+from riskloom.operators import actions, cleanse, evaluate, features, queue, reports
+from riskloom.sources import adapter, layers
 from riskloom.operators.reports import is_canceled_store
 from riskloom.plans.frames import ARTIFACT_MODEL, Frames
 
@@ -406,6 +406,147 @@ def threshold_lookup(spark, sf_dir):
     return queue.threshold_lookup(sweep, config.ACTION_THRESHOLD, by=BY)
 
 
+# --- action log changes -------------------------------------------------------------------
+
+
+@register("action_validation")
+def action_validation(spark, sf_dir):
+    fr = _f(spark, sf_dir)
+    accepted, rejected = actions.create_actions(
+        adapter.action_requests(spark, sf_dir), fr.clean(), fr.predictions(), adapter.PREDICTION_ORDER[1:]
+    )
+    return (
+        accepted.select(F.lit("accepted").alias("outcome"))
+        .unionByName(rejected.select(F.col("rejection_reason").alias("outcome")))
+        .groupBy("outcome")
+        .agg(F.count(F.lit(1)).cast("bigint").alias("request_count"))
+    )
+
+
+@register("action_asof_prediction")
+def action_asof_prediction(spark, sf_dir):
+    fr = _f(spark, sf_dir)
+    accepted, _ = actions.create_actions(
+        adapter.action_requests(spark, sf_dir), fr.clean(), fr.predictions(), adapter.PREDICTION_ORDER[1:]
+    )
+    return accepted.select("id", "reservation_id", "prediction_id", "action_type", "action_status", "acted_at")
+
+
+@register("action_latest_state")
+def action_latest_state(spark, sf_dir):
+    state, _ = actions.apply_updates(_f(spark, sf_dir).actions(), adapter.action_updates(spark, sf_dir))
+    return state.select("id", "reservation_id", "action_status", "action_note", "update_count", "last_updated_at")
+
+
+@register("action_update_rejections")
+def action_update_rejections(spark, sf_dir):
+    _, rejected = actions.apply_updates(_f(spark, sf_dir).actions(), adapter.action_updates(spark, sf_dir))
+    return rejected.select("update_id", "id", "rejection_reason")
+
+
+# --- layers, keys, runs ---------------------------------------------------------------------
+
+
+def _model_frames(fr: Frames) -> dict[str, DataFrame]:
+    preds = fr.predictions()
+    return {m: preds.filter(F.col("model_name") == m) for m in ("logistic_regression", "gbt")}
+
+
+@register("layer_raw_payload")
+def layer_raw_payload(spark, sf_dir):
+    raw = layers.raw_layer(_f(spark, sf_dir).raw())
+    j = lambda k: F.get_json_object("raw_payload", f"$.{k}")
+    return raw.select(
+        "source_file", "source_row_number", "property_code", "reservation_status", "reservation_status_date",
+        j("Meal").alias("payload_meal"), j("DistributionChannel").alias("payload_channel"),
+        j("Agent").alias("payload_agent"), j("LeadTime").alias("payload_lead_time"),
+        F.size(F.json_object_keys("raw_payload")).cast("bigint").alias("payload_fields"),
+    )
+
+
+@register("layer_feature_payload")
+def layer_feature_payload(spark, sf_dir):
+    feat = layers.feature_layer(_features(_f(spark, sf_dir)))
+    j = lambda k: F.get_json_object("feature_payload", f"$.{k}")
+    return feat.select(
+        "source_file", "source_row_number", "feature_set_version",
+        j("lead_time_bucket").alias("lead_time_bucket"), j("country_code").alias("country_code"),
+        j("adr_per_guest").cast("double").alias("adr_per_guest"),
+        j("previous_cancel_ratio").cast("double").alias("previous_cancel_ratio"),
+        F.size(F.json_object_keys("feature_payload")).cast("bigint").alias("payload_fields"),
+    )
+
+
+@register("layer_prediction_union")
+def layer_prediction_union(spark, sf_dir):
+    pl = layers.prediction_layer(_model_frames(_f(spark, sf_dir)))
+    j = lambda k: F.get_json_object("metadata_payload", f"$.{k}")
+    return pl.select(
+        "prediction_id", "model_name", "score", "risk_class", "scoring_run_id",
+        j("split_name").alias("meta_split_name"),
+        j("actual_no_show_flag").cast("bigint").alias("meta_actual_no_show_flag"),
+        j("reservation_key").alias("meta_reservation_key"),
+        j("snapshot_at").alias("meta_snapshot_at"),
+    )
+
+
+@register("layer_row_counts")
+def layer_row_counts(spark, sf_dir):
+    fr = _f(spark, sf_dir)
+    return layers.layer_counts(
+        {
+            "reservation_import_batches": layers.import_batch(fr.raw(), "driver_tables", config.FEATURE_SET_VERSION),
+            "reservations_raw": fr.raw(),
+            "reservations_clean": fr.clean(),
+            "reservation_features": _features(fr),
+            "predictions": fr.predictions(),
+        }
+    )
+
+
+@register("import_batch")
+def import_batch(spark, sf_dir):
+    return layers.import_batch(_f(spark, sf_dir).raw(), "driver_tables", config.FEATURE_SET_VERSION)
+
+
+@register("key_resolution")
+def key_resolution(spark, sf_dir):
+    fr = _f(spark, sf_dir)
+    parts = [
+        layers.resolve_keys(fr.clean(), fr.raw(), "clean_to_raw"),
+        layers.resolve_keys(_features(fr), fr.clean(), "feature_to_clean"),
+        layers.resolve_keys(fr.predictions(), fr.clean(), "prediction_to_clean"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("key_uniqueness")
+def key_uniqueness(spark, sf_dir):
+    fr = _f(spark, sf_dir)
+    parts = [
+        layers.duplicate_keys(fr.raw(), layers.NATURAL_KEY, "reservations_raw"),
+        layers.duplicate_keys(fr.clean(), layers.NATURAL_KEY, "reservations_clean"),
+        layers.duplicate_keys(fr.predictions(), ["prediction_id"], "predictions"),
+        layers.duplicate_keys(fr.predictions(), ["reservation_id", "model_name", "scored_at"], "prediction_entity_time"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("latest_run_view")
+def latest_run_view(spark, sf_dir):
+    return layers.latest_run(_f(spark, sf_dir).predictions()).select(
+        "prediction_id", "reservation_id", "model_name", "scoring_run_id", "score", "risk_class"
+    )
+
+
+@register("source_resolution")
+def source_resolution(spark, sf_dir):
+    return layers.source_resolution(_f(spark, sf_dir).predictions())
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

@@ -685,7 +685,120 @@ GROUP BY model_name, bin ORDER BY model_name, bin""")
     return q
 
 
+REQUESTS = """
+requests AS (SELECT * REPLACE (acted_at - INTERVAL 26 YEAR AS acted_at) FROM actions)"""
+
+UPDATES = """
+updates AS (
+  SELECT event_id AS update_id,
+         CASE WHEN event_id % 1000 = 999 THEN event_id + 1000000000 ELSE xor(event_id, 1) END AS id,
+         CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'follow_up' END AS action_status,
+         CASE WHEN value > 95 THEN 'escalated' END AS action_note, ts AS updated_at
+  FROM events WHERE event_type IN ('purchase', 'error'))"""
+
+REASON = """CASE WHEN action_status IS NULL OR action_status NOT IN ('open', 'completed', 'follow_up') THEN 'invalid_status'
+     WHEN action_type IS NULL OR NOT (length(action_type) BETWEEN 2 AND 64) THEN 'invalid_action_type'
+     WHEN acted_by IS NULL OR NOT (length(acted_by) BETWEEN 2 AND 128) THEN 'invalid_acted_by'
+     WHEN action_note IS NOT NULL AND length(action_note) > 500 THEN 'note_too_long' END"""
+
+
+def _action_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    c = base_clean()
+    tagged = f"""
+tagged AS (
+  SELECT *, CASE WHEN reason0 IS NOT NULL THEN reason0
+                 WHEN reservation_id NOT IN (SELECT reservation_id FROM clean) THEN 'unknown_entity' END AS reason
+  FROM (SELECT * REPLACE (coalesce(action_status, 'open') AS action_status), {REASON.replace('action_status', "coalesce(action_status, 'open')")} AS reason0
+        FROM requests))"""
+    q["action_validation"] = with_ctes(*c, ACTIONS, REQUESTS, tagged, body="""
+SELECT coalesce(reason, 'accepted') AS outcome, CAST(count(*) AS BIGINT) AS request_count FROM tagged GROUP BY 1""")
+    q["action_asof_prediction"] = with_ctes(*c, PRED, ACTIONS, REQUESTS, tagged, body="""
+SELECT t.id, t.reservation_id,
+       (SELECT arg_max(p.prediction_id, (p.scored_at, p.tie_line, p.tie_part, p.tie_supp)) FROM pred p
+        WHERE p.reservation_id = t.reservation_id AND p.scored_at <= t.acted_at) AS prediction_id,
+       t.action_type, t.action_status, t.acted_at
+FROM tagged t WHERE t.reason IS NULL""")
+    upd = """
+known AS (SELECT * FROM updates WHERE id IN (SELECT id FROM actions)),
+latest_upd AS (
+  SELECT id,
+         arg_max(action_status, (updated_at, update_id)) FILTER (WHERE action_status IS NOT NULL) AS new_status,
+         arg_max(action_note, (updated_at, update_id)) FILTER (WHERE action_note IS NOT NULL) AS new_note,
+         count(*) AS n, max(updated_at) AS last_updated_at
+  FROM known GROUP BY id)"""
+    q["action_latest_state"] = with_ctes(ACTIONS, UPDATES, upd, body="""
+SELECT a.id, a.reservation_id, coalesce(u.new_status, a.action_status) AS action_status,
+       coalesce(u.new_note, a.action_note) AS action_note, CAST(coalesce(u.n, 0) AS BIGINT) AS update_count,
+       u.last_updated_at
+FROM actions a LEFT JOIN latest_upd u ON a.id = u.id""")
+    q["action_update_rejections"] = with_ctes(ACTIONS, UPDATES, body="""
+SELECT update_id, id, 'unknown_action' AS rejection_reason FROM updates WHERE id NOT IN (SELECT id FROM actions)""")
+
+    q["layer_raw_payload"] = with_ctes(*c, body="""
+SELECT source_file, source_row_number, source_file AS property_code, ReservationStatus AS reservation_status,
+       CAST(try_strptime(ReservationStatusDate, '%Y-%m-%d') AS DATE) AS reservation_status_date,
+       Meal AS payload_meal, DistributionChannel AS payload_channel, Agent AS payload_agent, LeadTime AS payload_lead_time,
+       CAST(31 AS BIGINT) AS payload_fields
+FROM raw""")
+    f = [*c, _features_cte("clean", False, config.FEATURE_SET_VERSION)]
+    n_payload = len(FEATURE_SELECT.split(", ")) - 5  # keys, version and id are not in the payload
+    q["layer_feature_payload"] = with_ctes(*f, body=f"""
+SELECT source_file, source_row_number, feature_set_version, lead_time_bucket, country_code, adr_per_guest,
+       previous_cancel_ratio, CAST({n_payload} AS BIGINT) AS payload_fields
+FROM feat""")
+    q["layer_prediction_union"] = with_ctes(ENT, PRED, body="""
+SELECT prediction_id, model_name, score, risk_class, scoring_run_id, 'test' AS meta_split_name,
+       actual_no_show_flag AS meta_actual_no_show_flag, reservation_key AS meta_reservation_key,
+       CAST(NULL AS VARCHAR) AS meta_snapshot_at
+FROM pred""")
+    counts = """
+SELECT 'reservation_import_batches' AS layer, CAST(1 AS BIGINT) AS row_count
+UNION ALL SELECT 'reservations_raw', CAST(count(*) AS BIGINT) FROM raw
+UNION ALL SELECT 'reservations_clean', CAST(count(*) AS BIGINT) FROM clean
+UNION ALL SELECT 'reservation_features', CAST(count(*) AS BIGINT) FROM clean
+UNION ALL SELECT 'predictions', CAST(count(*) AS BIGINT) FROM pred"""
+    q["layer_row_counts"] = with_ctes(*c, PRED, body=counts)
+    q["import_batch"] = with_ctes(*c, body="""
+SELECT 'driver_tables' AS source_name, string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS source_files,
+       'completed' AS status, CAST(count(*) AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS error_count,
+       'booking_time_v1' AS feature_set_version
+FROM raw""")
+
+    def resolve(child: str, parent: str, name: str) -> str:
+        return f"""
+SELECT '{name}' AS relation, CAST(count(*) AS BIGINT) AS child_rows,
+       CAST(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM {parent} p WHERE p.source_file = c.source_file
+                                             AND p.source_row_number = c.source_row_number)) AS BIGINT) AS resolved_rows,
+       CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.source_file = c.source_file
+                                                 AND p.source_row_number = c.source_row_number)) AS BIGINT) AS unresolved_rows
+FROM {child} c"""
+
+    q["key_resolution"] = with_ctes(*c, PRED, body=" UNION ALL ".join(
+        [resolve("clean", "raw", "clean_to_raw"), resolve("clean", "clean", "feature_to_clean"),
+         resolve("pred", "clean", "prediction_to_clean")]))
+
+    def dups(src: str, keys: str, name: str) -> str:
+        return f"""
+SELECT '{name}' AS table_name, CAST(count(*) AS BIGINT) AS duplicate_keys
+FROM (SELECT {keys} FROM {src} GROUP BY {keys} HAVING count(*) > 1)"""
+
+    q["key_uniqueness"] = with_ctes(*c, PRED, body=" UNION ALL ".join(
+        [dups("raw", "source_file, source_row_number", "reservations_raw"),
+         dups("clean", "source_file, source_row_number", "reservations_clean"),
+         dups("pred", "prediction_id", "predictions"),
+         dups("pred", "reservation_id, model_name, scored_at", "prediction_entity_time")]))
+    q["latest_run_view"] = with_ctes(ENT, PRED, body="""
+SELECT prediction_id, reservation_id, model_name, scoring_run_id, score, risk_class FROM pred
+WHERE scoring_run_id = (SELECT max(scoring_run_id) FROM pred)""")
+    q["source_resolution"] = with_ctes(ENT, PRED, body="""
+SELECT CASE WHEN count(*) > 0 THEN 'database_prediction_store' ELSE 'artifact_fallback' END AS data_source,
+       count(*) > 0 AS action_support_enabled, CAST(count(*) AS BIGINT) AS prediction_rows FROM pred""")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out = _queries()
     out.update(_more_queries())
+    out.update(_action_queries())
     return out

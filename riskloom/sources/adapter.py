@@ -250,3 +250,27 @@ def snapshot_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("DaysInWaitingList")).alias("days_in_waiting_list_as_of_cutoff"),
         F.when(k % 2 == 0, F.lit(None).cast("string")).otherwise(F.col("AssignedRoomType")).alias("assigned_room_type_as_of_cutoff"),
     )
+
+
+def action_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Action requests replayed at creation time: the log's rows moved back 26
+    years so the as-of prediction attach falls inside the scored period."""
+    return action_log(spark, sf_dir).withColumn("acted_at", F.col("acted_at") - F.expr("INTERVAL 26 YEARS"))
+
+
+def action_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended updates: purchase / error events close or flag the sibling action
+    of the same entity; every 1000th event targets an unknown id."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value"]).filter(
+        F.col("event_type").isin("purchase", "error")
+    )
+    target = F.when(F.col("event_id") % 1000 == 999, F.col("event_id") + 1_000_000_000).otherwise(
+        F.col("event_id").bitwiseXOR(F.lit(1))
+    )
+    return ev.select(
+        F.col("event_id").alias("update_id"),
+        target.alias("id"),
+        F.when(F.col("event_type") == "purchase", "completed").otherwise("follow_up").alias("action_status"),
+        F.when(F.col("value") > 95, F.lit("escalated")).alias("action_note"),
+        F.col("ts").alias("updated_at"),
+    )
