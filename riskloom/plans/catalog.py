@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom import config
 from riskloom.operators import actions, cleanse, evaluate, features, queue, reports
-from riskloom.sources import adapter, layers
+from riskloom.sources import adapter, files, layers
 from riskloom.operators.reports import is_canceled_store
 from riskloom.plans.frames import ARTIFACT_MODEL, Frames
 
@@ -547,6 +547,22 @@ def source_resolution(spark, sf_dir):
     return layers.source_resolution(_f(spark, sf_dir).predictions())
 
 
+@register("csv_row_numbering")
+def csv_row_numbering(spark, sf_dir):
+    """Write the raw rows as CSV part files per source, scan them back as
+    all-string and number rows per source (S1-S3, S6).  Rows-only check."""
+    import uuid
+
+    from riskloom.session import ensure_checkpoint_dir
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_roundtrip/{uuid.uuid4().hex}"
+    raw = _f(spark, sf_dir).raw()
+    cols = list(adapter.RAW_COLUMNS)
+    files.write_raw_csv_files(raw, base, "source_file", cols)
+    back = files.read_raw_csv(spark, [base], columns=cols, source_col="source_file")
+    return back.select("source_file", "source_row_number", "reservation_key", *cols)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
