@@ -563,6 +563,71 @@ def csv_row_numbering(spark, sf_dir):
     return back.select("source_file", "source_row_number", "reservation_key", *cols)
 
 
+# --- model fitting and scoring (rows-only checks) ---------------------------------------------
+
+
+def _ml_predictions(spark, sf_dir, kind: str) -> DataFrame:
+    from riskloom import jobs
+
+    fr = _f(spark, sf_dir)
+    preds = jobs.train_and_score(_modeling(fr), BOOKING, TRAIN_YEARS, TEST_YEARS, "booking_time-adapter", kinds=[kind])
+    return preds[kind].select(
+        "reservation_key", "model_name", "actual_no_show_flag", "score", "risk_class", "split_name"
+    )
+
+
+@register("ml_logistic")
+def ml_logistic(spark, sf_dir):
+    return _ml_predictions(spark, sf_dir, "logistic_regression")
+
+
+@register("ml_gbt")
+def ml_gbt(spark, sf_dir):
+    return _ml_predictions(spark, sf_dir, "gbt")
+
+
+@register("benchmark_report")
+def benchmark_report(spark, sf_dir):
+    """Per model: status, version note, primary metrics and recommendation.
+
+    Falls back to the planned/pending rows (R5) when no prediction exists.
+    """
+    fr = _f(spark, sf_dir)
+    metrics = _metrics(fr)
+    comparison = evaluate.model_comparison(metrics)
+    versions = fr.predictions().groupBy("model_name").agg(F.max("model_version").alias("model_version"))
+    rows = comparison.join(versions, "model_name").select(
+        "model_name",
+        F.lit("trained").alias("status"),
+        F.format_string("Version %s evaluated from latest artifact.", "model_version").alias("notes"),
+        "pr_auc", "roc_auc", "precision", "recall", "f1", "brier_score",
+        (F.col("comparison_rank") == 1).alias("is_recommended"),
+        F.lit("time-based split: train on 1995-1999, test on 2000-2001").alias("split_strategy"),
+    )
+    return rows
+
+
+@register("presentation_labels")
+def presentation_labels(spark, sf_dir):
+    """Property breakdown with display label and percent text; top-K segment labels (J10, §2.8)."""
+    from riskloom.functions import percent_text, property_label, segment_label
+
+    fr = _f(spark, sf_dir)
+    props = reports.dimension_breakdown(fr.store_rows(), "property_id").select(
+        F.lit("property").alias("kind"), F.col("dimension_value").alias("code"),
+        property_label("dimension_value").alias("label"), percent_text("no_show_rate").alias("value_text"),
+    )
+    segs = (
+        evaluate.top_k_capture(_scored(fr), LABEL, SCORE, TIE_BREAK, by=BY)
+        .filter(F.col("model_name") == "logistic_regression")
+        .select(
+            F.lit("segment").alias("kind"), F.col("segment").alias("code"), segment_label("segment").alias("label"),
+            percent_text("recall").alias("value_text"),
+        )
+    )
+    return props.unionByName(segs)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

@@ -540,6 +540,31 @@ snap AS (
     ]
 
 
+def _ranked_cte() -> str:
+    y = "actual_no_show_flag"
+    return f"""
+ranked AS (
+  SELECT model_name, {y}, score,
+         row_number() OVER (PARTITION BY model_name ORDER BY score DESC, reservation_id, tie_line, tie_part, tie_supp) AS r_desc,
+         row_number() OVER (PARTITION BY model_name ORDER BY score ASC, reservation_id, tie_line, tie_part, tie_supp) AS r_asc,
+         count(*) OVER (PARTITION BY model_name) AS n,
+         count(*) FILTER (WHERE {y} = 1) OVER (PARTITION BY model_name) AS p,
+         min(score) OVER (PARTITION BY model_name) < max(score) OVER (PARTITION BY model_name) AS varied
+  FROM pred)"""
+
+
+def _topk_union() -> str:
+    y = "actual_no_show_flag"
+    segs = [(f"top_{k}", f"least({k}, n)") for k in config.TOP_K_VALUES]
+    segs += [(f"top_{int(round(pc * 100))}pct", f"greatest(1, ceil(n * {pc!r}))") for pc in config.TOP_PERCENT_VALUES]
+    return " UNION ALL ".join(
+        f"""SELECT model_name, '{name}' AS segment, CAST(max({cut}) AS BIGINT) AS selected_count,
+       CAST(count(*) FILTER (WHERE r_desc <= {cut} AND {y} = 1) AS BIGINT) AS captured_no_show,
+       CAST(max(p) AS BIGINT) AS total_no_show FROM ranked GROUP BY model_name"""
+        for name, cut in segs
+    )
+
+
 def _more_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     c = base_clean()
@@ -654,23 +679,8 @@ sweep AS (
 SELECT model_name, threshold, precision, recall, f1, actioned_count FROM (
   SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY (abs(threshold - 0.35) < 0.0001) DESC, threshold) AS pick
   FROM sweep) WHERE pick = 1""")
-    ranked = f"""
-ranked AS (
-  SELECT model_name, {y}, score,
-         row_number() OVER (PARTITION BY model_name ORDER BY score DESC, reservation_id, tie_line, tie_part, tie_supp) AS r_desc,
-         row_number() OVER (PARTITION BY model_name ORDER BY score ASC, reservation_id, tie_line, tie_part, tie_supp) AS r_asc,
-         count(*) OVER (PARTITION BY model_name) AS n,
-         count(*) FILTER (WHERE {y} = 1) OVER (PARTITION BY model_name) AS p,
-         min(score) OVER (PARTITION BY model_name) < max(score) OVER (PARTITION BY model_name) AS varied
-  FROM pred)"""
-    segs = [(f"top_{k}", f"least({k}, n)") for k in config.TOP_K_VALUES]
-    segs += [(f"top_{int(round(pc * 100))}pct", f"greatest(1, ceil(n * {pc!r}))") for pc in config.TOP_PERCENT_VALUES]
-    topk = " UNION ALL ".join(
-        f"""SELECT model_name, '{name}' AS segment, CAST(max({cut}) AS BIGINT) AS selected_count,
-       CAST(count(*) FILTER (WHERE r_desc <= {cut} AND {y} = 1) AS BIGINT) AS captured_no_show,
-       CAST(max(p) AS BIGINT) AS total_no_show FROM ranked GROUP BY model_name"""
-        for name, cut in segs
-    )
+    ranked = _ranked_cte()
+    topk = _topk_union()
     q["topk_capture"] = with_ctes(*e, ranked, body=f"""
 SELECT model_name, segment, selected_count, captured_no_show, total_no_show,
        coalesce(CAST(captured_no_show AS DOUBLE) / nullif(CAST(total_no_show AS DOUBLE), 0), 0.0) AS recall
@@ -797,8 +807,46 @@ SELECT CASE WHEN count(*) > 0 THEN 'database_prediction_store' ELSE 'artifact_fa
     return q
 
 
+def _report_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    more = _more_queries()
+    # benchmark: reuse the metric CTEs of classification_metrics
+    metrics_sql = more["classification_metrics"]
+    head, _, _ = metrics_sql.rpartition("SELECT * FROM metrics")
+    q["benchmark_report"] = head + """,
+comparison AS (
+  SELECT *, row_number() OVER (ORDER BY pr_auc DESC NULLS LAST, roc_auc DESC NULLS LAST, model_name) AS comparison_rank
+  FROM metrics),
+versions AS (SELECT model_name, max(model_version) AS model_version FROM pred GROUP BY model_name)
+SELECT c.model_name, 'trained' AS status, 'Version ' || v.model_version || ' evaluated from latest artifact.' AS notes,
+       pr_auc, roc_auc, precision, recall, f1, brier_score, comparison_rank = 1 AS is_recommended,
+       'time-based split: train on 1995-1999, test on 2000-2001' AS split_strategy
+FROM comparison c JOIN versions v USING (model_name)"""
+    r = base_rows()
+    prop_label = r"""CASE WHEN code IS NULL OR trim(code) = '' THEN '-'
+     WHEN regexp_matches(upper(trim(code)), '^(CITY|RESORT)_H(\d+)$') THEN
+       (CASE regexp_extract(upper(trim(code)), '^(CITY|RESORT)_H(\d+)$', 1) WHEN 'CITY' THEN 'City Hotel' ELSE 'Resort Hotel' END)
+       || ' ' || regexp_extract(upper(trim(code)), '^(CITY|RESORT)_H(\d+)$', 2)
+     ELSE replace(trim(code), '_', ' ') END"""
+    seg_label = r"""CASE WHEN regexp_matches(segment, '^top_(\d+)$') THEN 'Top ' || regexp_extract(segment, '^top_(\d+)$', 1)
+     WHEN regexp_matches(segment, '^top_(\d+)(pct|_percent)$')
+       THEN 'Top ' || regexp_extract(segment, '^top_(\d+)(pct|_percent)$', 1) || '%'
+     ELSE replace(segment, '_', ' ') END"""
+    q["presentation_labels"] = with_ctes(*r, _ranked_cte(), body=f"""
+SELECT 'property' AS kind, code, {prop_label} AS label, printf('%.1f%%', rate * 100.0) AS value_text
+FROM (SELECT coalesce(nullif({_strip('property_id')}, ''), 'Unknown') AS code,
+             CAST(count(*) FILTER (WHERE {NOSHOW}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS rate
+      FROM rows GROUP BY 1)
+UNION ALL
+SELECT 'segment' AS kind, segment AS code, {seg_label} AS label,
+       printf('%.1f%%', coalesce(CAST(captured_no_show AS DOUBLE) / nullif(CAST(total_no_show AS DOUBLE), 0), 0.0) * 100.0) AS value_text
+FROM ({_topk_union()}) WHERE model_name = 'logistic_regression'""")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out = _queries()
+    out.update(_report_queries())
     out.update(_more_queries())
     out.update(_action_queries())
     return out
