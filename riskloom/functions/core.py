@@ -20,19 +20,47 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_STRIP_PATTERN = r"(?U)^\s+|\s+$"
+
+
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def strip_all(c: Column | str) -> Column:
     """Remove leading and trailing Unicode whitespace (``trim`` strips spaces only)."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), _STRIP_PATTERN, "")
+
+
+def cleanse_text_sql(name: str, tokens: Sequence[str] = config.NULL_TOKENS) -> str:
+    """SQL text of :func:`cleanse_text` for a named column (one JVM parse per column)."""
+    stripped = f"regexp_replace({_ident(name)}, {_sql_str(_STRIP_PATTERN)}, '')"
+    toks = ", ".join(_sql_str(t) for t in tokens)
+    return f"CASE WHEN {stripped} IN ({toks}) THEN CAST(NULL AS STRING) ELSE {stripped} END"
+
+
+def tolerant_number_sql(name: str) -> str:
+    """SQL text of :func:`tolerant_number` for a named column."""
+    s = f"CAST({_ident(name)} AS STRING)"
+    return f"CASE WHEN {s} RLIKE {_sql_str(_NUMBER_PATTERN)} THEN try_cast({s} AS DOUBLE) END"
 
 
 def cleanse_text(c: Column | str, tokens: Sequence[str] = config.NULL_TOKENS) -> Column:
     """Strip, then map every null token to null."""
+    if isinstance(c, str):
+        return F.expr(cleanse_text_sql(c, tokens))
     stripped = strip_all(c)
     return F.when(stripped.isin(list(tokens)), F.lit(None).cast("string")).otherwise(stripped)
 
 
 def tolerant_number(c: Column | str) -> Column:
     """String -> double; anything unparseable becomes null instead of an error."""
+    if isinstance(c, str):
+        return F.expr(tolerant_number_sql(c))
     s = _col(c).cast("string")
     return F.when(s.rlike(_NUMBER_PATTERN), s.try_cast("double"))
 

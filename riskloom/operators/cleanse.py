@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from riskloom import config
 from riskloom import functions as RF
 from riskloom.config import StageConfig, stage_config
+from riskloom.functions.core import cleanse_text_sql, tolerant_number_sql
 from riskloom.operators.contracts import require_columns
 
 
@@ -24,13 +25,14 @@ def string_columns(df: DataFrame) -> list[str]:
 def cleanse_strings(df: DataFrame, columns: list[str] | None = None, tokens=config.NULL_TOKENS) -> DataFrame:
     """Strip every (or the given) string column and null out null tokens."""
     targets = set(columns if columns is not None else string_columns(df))
-    return df.select(*[RF.cleanse_text(c, tokens).alias(c) if c in targets else F.col(c) for c in df.columns])
+    exprs = [f"{cleanse_text_sql(c, tokens)} AS `{c}`" if c in targets else f"`{c}`" for c in df.columns]
+    return df.selectExpr(*exprs)
 
 
 def parse_numbers(df: DataFrame, columns) -> DataFrame:
     """Tolerant numeric parse of the given columns (in place)."""
     targets = set(columns)
-    return df.select(*[RF.tolerant_number(c).alias(c) if c in targets else F.col(c) for c in df.columns])
+    return df.selectExpr(*[f"{tolerant_number_sql(c)} AS `{c}`" if c in targets else f"`{c}`" for c in df.columns])
 
 
 def label_from_outcome(status: Column) -> Column:

@@ -72,63 +72,59 @@ RAW_COLUMNS = (
 )
 
 
+# Raw column -> Spark SQL expression over orders ⋈ customer ⋈ nation ⟕ line aggregates.
+# Written as SQL text so each column is one JVM parse instead of dozens of
+# py4j round trips.
+_RAW_SQL = {
+    "IsCanceled": "CASE WHEN o_orderkey % 89 = 0 THEN ' NULL' WHEN o_orderstatus = 'P' THEN '1' ELSE '0' END",
+    "LeadTime": "CASE WHEN first_ship IS NULL THEN '       NULL' WHEN o_orderkey % 151 = 0 THEN concat('-', CAST(_lead AS STRING))"
+    " ELSE CAST(_lead AS STRING) END",
+    "ArrivalDateYear": "CAST(year(o_orderdate) AS STRING)",
+    "ArrivalDateMonth": "CASE WHEN o_orderkey % 101 = 0 THEN lower(_month) ELSE _month END",
+    "ArrivalDateWeekNumber": "CAST(weekofyear(o_orderdate) AS STRING)",
+    "ArrivalDateDayOfMonth": "CASE WHEN o_orderkey % 211 = 0 THEN '31' ELSE CAST(dayofmonth(o_orderdate) AS STRING) END",
+    "StaysInWeekendNights": "CASE WHEN first_ship IS NOT NULL THEN CAST(n_returned AS STRING) ELSE '' END",
+    "StaysInWeekNights": "CASE WHEN first_ship IS NOT NULL THEN CAST(n_kept AS STRING) ELSE 'NaN' END",
+    "Adults": "CASE WHEN first_ship IS NOT NULL THEN CAST(n_open AS STRING) ELSE '' END",
+    "Children": "CASE WHEN o_orderkey % 13 = 0 THEN 'NA' WHEN first_ship IS NOT NULL THEN CAST(n_filled AS STRING) ELSE 'None' END",
+    "Babies": "'0'",
+    "Meal": "CASE o_custkey % 4 WHEN 0 THEN 'BB       ' WHEN 1 THEN 'HB' WHEN 2 THEN 'SC' ELSE 'Undefined' END",
+    "Country": "n_name",
+    "MarketSegment": "c_mktsegment",
+    "DistributionChannel": "CASE WHEN o_orderkey % 53 = 0 THEN 'NULL'"
+    " WHEN o_orderkey % 3 = 0 THEN concat('  ', o_orderpriority, ' \\t') ELSE o_orderpriority END",
+    "IsRepeatedGuest": "CAST(o_custkey % 2 AS STRING)",
+    "PreviousCancellations": "CAST(o_custkey % 4 AS STRING)",
+    "PreviousBookingsNotCanceled": "CAST(o_custkey % 3 AS STRING)",
+    "ReservedRoomType": "substring(c_mktsegment, 1, 1)",
+    "AssignedRoomType": "substring(n_name, 1, 1)",
+    "BookingChanges": "CAST(o_custkey % 5 AS STRING)",
+    "DepositType": "CASE WHEN o_totalprice > 300000 THEN 'Non Refund' ELSE 'No Deposit' END",
+    "Agent": "CASE WHEN o_custkey % 5 = 0 THEN 'NULL' ELSE CAST(o_custkey AS STRING) END",
+    "Company": "CASE WHEN o_custkey % 7 = 0 THEN CAST(o_custkey AS STRING) ELSE 'NULL' END",
+    "DaysInWaitingList": "CAST(o_orderkey % 3 AS STRING)",
+    "CustomerType": "CASE o_custkey % 3 WHEN 0 THEN 'Transient' WHEN 1 THEN 'Contract' ELSE 'Group' END",
+    "ADR": "CAST(o_totalprice AS STRING)",
+    "RequiredCarParkingSpaces": "CASE WHEN o_orderkey % 10 = 0 THEN '1' ELSE '0' END",
+    "TotalOfSpecialRequests": "CASE WHEN o_orderkey % 17 = 0 THEN '1.5d' ELSE CAST(o_orderkey % 4 AS STRING) END",
+    "ReservationStatus": "CASE WHEN o_orderkey % 97 = 0 THEN '   ' WHEN o_orderstatus = 'F' THEN 'Check-Out'"
+    " WHEN o_orderstatus = 'O' THEN 'No-Show' WHEN o_orderkey % 199 = 0 THEN 'canceled' ELSE 'Canceled' END",
+    "ReservationStatusDate": "CASE WHEN first_ship IS NOT NULL THEN date_format(first_ship, 'yyyy-MM-dd') ELSE '' END",
+}
+
+
 def _reservation_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ent = order_entities(spark, sf_dir)
     agg = _line_aggregates(spark, sf_dir)
-    df = ent.join(agg, ent.o_orderkey == agg.l_orderkey, "left")
-    k, ck = F.col("o_orderkey"), F.col("o_custkey")
-    odate = F.col("o_orderdate")
-    has_lines = F.col("first_ship").isNotNull()
-    lead = F.abs(F.datediff(F.to_date("first_ship"), F.to_date(odate))) % 500
-    month = F.date_format(odate, "MMMM")
-    status = (
-        F.when(k % 97 == 0, F.lit("   "))
-        .when(F.col("o_orderstatus") == "F", "Check-Out")
-        .when(F.col("o_orderstatus") == "O", "No-Show")
-        .when(k % 199 == 0, "canceled")
-        .otherwise("Canceled")
+    df = ent.join(agg, ent.o_orderkey == agg.l_orderkey, "left").selectExpr(
+        "*",
+        "abs(datediff(to_date(first_ship), to_date(o_orderdate))) % 500 AS _lead",
+        "date_format(o_orderdate, 'MMMM') AS _month",
     )
-    cols = {
-        "IsCanceled": F.when(k % 89 == 0, " NULL").when(F.col("o_orderstatus") == "P", "1").otherwise("0"),
-        "LeadTime": F.when(~has_lines, "       NULL")
-        .when(k % 151 == 0, F.concat(F.lit("-"), _s(lead)))
-        .otherwise(_s(lead)),
-        "ArrivalDateYear": _s(F.year(odate)),
-        "ArrivalDateMonth": F.when(k % 101 == 0, F.lower(month)).otherwise(month),
-        "ArrivalDateWeekNumber": _s(F.weekofyear(odate)),
-        "ArrivalDateDayOfMonth": F.when(k % 211 == 0, "31").otherwise(_s(F.dayofmonth(odate))),
-        "StaysInWeekendNights": F.when(has_lines, _s(F.col("n_returned"))).otherwise(""),
-        "StaysInWeekNights": F.when(has_lines, _s(F.col("n_kept"))).otherwise("NaN"),
-        "Adults": F.when(has_lines, _s(F.col("n_open"))).otherwise(""),
-        "Children": F.when(k % 13 == 0, "NA").when(has_lines, _s(F.col("n_filled"))).otherwise("None"),
-        "Babies": F.lit("0"),
-        "Meal": F.when(ck % 4 == 0, "BB       ").when(ck % 4 == 1, "HB").when(ck % 4 == 2, "SC").otherwise("Undefined"),
-        "Country": F.col("n_name"),
-        "MarketSegment": F.col("c_mktsegment"),
-        "DistributionChannel": F.when(k % 53 == 0, "NULL")
-        .when(k % 3 == 0, F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" \t")))
-        .otherwise(F.col("o_orderpriority")),
-        "IsRepeatedGuest": _s(ck % 2),
-        "PreviousCancellations": _s(ck % 4),
-        "PreviousBookingsNotCanceled": _s(ck % 3),
-        "ReservedRoomType": F.substring("c_mktsegment", 1, 1),
-        "AssignedRoomType": F.substring("n_name", 1, 1),
-        "BookingChanges": _s(ck % 5),
-        "DepositType": F.when(F.col("o_totalprice") > 300000, "Non Refund").otherwise("No Deposit"),
-        "Agent": F.when(ck % 5 == 0, "NULL").otherwise(_s(ck)),
-        "Company": F.when(ck % 7 == 0, _s(ck)).otherwise("NULL"),
-        "DaysInWaitingList": _s(k % 3),
-        "CustomerType": F.when(ck % 3 == 0, "Transient").when(ck % 3 == 1, "Contract").otherwise("Group"),
-        "ADR": _s(F.col("o_totalprice")),
-        "RequiredCarParkingSpaces": F.when(k % 10 == 0, "1").otherwise("0"),
-        "TotalOfSpecialRequests": F.when(k % 17 == 0, "1.5d").otherwise(_s(k % 4)),
-        "ReservationStatus": status,
-        "ReservationStatusDate": F.when(has_lines, F.date_format("first_ship", "yyyy-MM-dd")).otherwise(""),
-    }
-    return df.select(
-        *[cols[c].alias(c) for c in RAW_COLUMNS],
+    return df.selectExpr(
+        *[f"{_RAW_SQL[c]} AS {c}" for c in RAW_COLUMNS],
         "source_file", "source_row_number", "reservation_key", "reservation_id",
-        F.date_format(odate, "yyyy-MM-dd").alias("arrival_text"),
+        "date_format(o_orderdate, 'yyyy-MM-dd') AS arrival_text",
     )
 
 
@@ -149,29 +145,25 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("o_orderdate").alias("arrival_date"),
     )
     df = lines.join(ent, lines.l_orderkey == ent.o_orderkey)
-    model = F.when(F.col("l_linestatus") == "O", "logistic_regression").otherwise("gbt")
-    prefix = F.when(F.col("l_linestatus") == "O", "logreg").otherwise("gbt")
-    score = F.col("l_quantity") / 50.0
-    return df.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("prediction_id"),
+    score = "l_quantity / 50.0"
+    return df.selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS prediction_id",
         "reservation_id", "reservation_key", "source_file", "source_row_number", "arrival_date",
-        (F.col("l_returnflag") == "R").cast("bigint").alias("actual_no_show_flag"),
-        F.lit(config.FEATURE_SET_VERSION).alias("feature_set_version"),
-        F.lit("test").alias("split_name"),
-        model.alias("model_name"),
-        F.concat(prefix, F.lit("_v"), _s(F.year("l_shipdate") - 1994)).alias("model_version"),
-        score.alias("score"),
-        F.when(score >= config.HIGH_RISK_THRESHOLD, "high")
-        .when(score >= config.ACTION_THRESHOLD, "medium")
-        .otherwise("low").alias("risk_class"),
-        F.lit(config.ACTION_THRESHOLD).alias("threshold_used"),
-        F.concat(F.lit("booking_time-"), F.date_format("l_shipdate", "yyyyMM")).alias("scoring_run_id"),
-        F.col("l_shipdate").alias("scored_at"),
-        F.lit("booking_time").alias("model_stage"),
-        F.lit("booking_time").alias("snapshot_stage"),
-        F.col("l_linenumber").alias("tie_line"),
-        F.col("l_partkey").alias("tie_part"),
-        F.col("l_suppkey").alias("tie_supp"),
+        "CAST(l_returnflag = 'R' AS BIGINT) AS actual_no_show_flag",
+        f"'{config.FEATURE_SET_VERSION}' AS feature_set_version",
+        "'test' AS split_name",
+        "CASE WHEN l_linestatus = 'O' THEN 'logistic_regression' ELSE 'gbt' END AS model_name",
+        "concat(CASE WHEN l_linestatus = 'O' THEN 'logreg' ELSE 'gbt' END, '_v', CAST(year(l_shipdate) - 1994 AS STRING))"
+        " AS model_version",
+        f"{score} AS score",
+        f"CASE WHEN {score} >= {config.HIGH_RISK_THRESHOLD} THEN 'high' WHEN {score} >= {config.ACTION_THRESHOLD} THEN 'medium'"
+        " ELSE 'low' END AS risk_class",
+        f"CAST({config.ACTION_THRESHOLD} AS DOUBLE) AS threshold_used",
+        "concat('booking_time-', date_format(l_shipdate, 'yyyyMM')) AS scoring_run_id",
+        "l_shipdate AS scored_at",
+        "'booking_time' AS model_stage",
+        "'booking_time' AS snapshot_stage",
+        "l_linenumber AS tie_line", "l_partkey AS tie_part", "l_suppkey AS tie_supp",
     )
 
 
