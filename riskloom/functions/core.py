@@ -21,6 +21,10 @@ def _col(c: Column | str) -> Column:
 
 
 _STRIP_PATTERN = r"(?U)^\s+|\s+$"
+# Whitespace set stripped from text fields: every code point for which
+# Python's ``str.isspace`` holds (the rule the source's string strip uses).
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_WHITESPACE_SQL = "'" + "".join(f"\\u{ord(ch):04x}" for ch in WHITESPACE) + "'"
 
 
 def _sql_str(v: str) -> str:
@@ -32,13 +36,20 @@ def _ident(name: str) -> str:
 
 
 def strip_all(c: Column | str) -> Column:
-    """Remove leading and trailing Unicode whitespace (``trim`` strips spaces only)."""
-    return F.regexp_replace(_col(c), _STRIP_PATTERN, "")
+    """Remove leading and trailing Unicode whitespace (plain ``trim`` strips spaces only).
+
+    ``trim(BOTH set FROM x)`` walks code points from both ends: no regex.
+    """
+    return F.trim(_col(c), F.lit(WHITESPACE))
+
+
+def strip_all_sql(name: str) -> str:
+    return f"trim(BOTH {_WHITESPACE_SQL} FROM {_ident(name)})"
 
 
 def cleanse_text_sql(name: str, tokens: Sequence[str] = config.NULL_TOKENS) -> str:
     """SQL text of :func:`cleanse_text` for a named column (one JVM parse per column)."""
-    stripped = f"regexp_replace({_ident(name)}, {_sql_str(_STRIP_PATTERN)}, '')"
+    stripped = strip_all_sql(name)
     toks = ", ".join(_sql_str(t) for t in tokens)
     return f"CASE WHEN {stripped} IN ({toks}) THEN CAST(NULL AS STRING) ELSE {stripped} END"
 

@@ -448,7 +448,7 @@ def action_update_rejections(spark, sf_dir):
 
 
 def _model_frames(fr: Frames) -> dict[str, DataFrame]:
-    preds = fr.predictions()
+    preds = fr.keyed_predictions()
     return {m: preds.filter(F.col("model_name") == m) for m in ("logistic_regression", "gbt")}
 
 
@@ -515,7 +515,7 @@ def key_resolution(spark, sf_dir):
     parts = [
         layers.resolve_keys(fr.clean(), fr.raw(), "clean_to_raw"),
         layers.resolve_keys(_features(fr), fr.clean(), "feature_to_clean"),
-        layers.resolve_keys(fr.predictions(), fr.clean(), "prediction_to_clean"),
+        layers.resolve_keys(fr.keyed_predictions(), fr.clean(), "prediction_to_clean"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -36,7 +36,12 @@ class Frames:
         return self._get("clean", lambda: cleanse.normalize_reservations(self.raw(), stage_config("booking_time")))
 
     def predictions(self) -> DataFrame:
-        return self._get("predictions", lambda: adapter.predictions(self.spark, self.sf_dir))
+        """Prediction history keyed by entity id only (no natural-key join)."""
+        return self._get("predictions", lambda: adapter.predictions(self.spark, self.sf_dir, with_keys=False))
+
+    def keyed_predictions(self) -> DataFrame:
+        """Prediction history with the entity's natural keys (for the artifact view and layers)."""
+        return self._get("keyed_predictions", lambda: adapter.predictions(self.spark, self.sf_dir, with_keys=True))
 
     def latest(self) -> DataFrame:
         """Newest prediction per entity over all models."""
@@ -48,8 +53,13 @@ class Frames:
         """One model's scored rows: its newest prediction per entity."""
         return self._get(
             f"model_latest:{model_name}",
-            lambda: latest_per_key(
-                self.predictions().filter(f"model_name = '{model_name}'"), ["reservation_id"], adapter.PREDICTION_ORDER
+            # newest row per entity first, then the key join on one row per entity
+            lambda: adapter.attach_entity_keys(
+                self.spark,
+                self.sf_dir,
+                latest_per_key(
+                    self.predictions().filter(f"model_name = '{model_name}'"), ["reservation_id"], adapter.PREDICTION_ORDER
+                ),
             ),
         )
 

@@ -133,22 +133,34 @@ def raw_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reservation_base(spark, sf_dir).drop("arrival_text")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction history: one scored row per line item (two models by line status)."""
+def predictions(spark: SparkSession, sf_dir: str, with_keys: bool = True) -> DataFrame:
+    """Prediction history: one scored row per line item (two models by line status).
+
+    ``with_keys`` attaches the entity's natural keys and arrival date (a join
+    with the order entities).  Without it the frame comes from ``lineitem``
+    alone; every line item belongs to an order (the schema's foreign key), so
+    both variants hold the same rows, and plans that only need the entity id
+    skip the join.
+    """
     lines = read_table(
         spark, sf_dir, "lineitem",
         ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
          "l_linestatus", "l_shipdate"],
     )
-    ent = order_entities(spark, sf_dir).select(
-        "o_orderkey", "reservation_id", "reservation_key", "source_file", "source_row_number",
-        F.to_date("o_orderdate").alias("arrival_date"),
-    )
-    df = lines.join(ent, lines.l_orderkey == ent.o_orderkey)
+    if with_keys:
+        ent = order_entities(spark, sf_dir).select(
+            "o_orderkey", "reservation_id", "reservation_key", "source_file", "source_row_number",
+            F.to_date("o_orderdate").alias("arrival_date"),
+        )
+        df = lines.join(ent, lines.l_orderkey == ent.o_orderkey)
+        keys = ["reservation_id", "reservation_key", "source_file", "source_row_number", "arrival_date"]
+    else:
+        df = lines.withColumn("reservation_id", F.col("l_orderkey"))
+        keys = ["reservation_id"]
     score = "l_quantity / 50.0"
     return df.selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS prediction_id",
-        "reservation_id", "reservation_key", "source_file", "source_row_number", "arrival_date",
+        *keys,
         "CAST(l_returnflag = 'R' AS BIGINT) AS actual_no_show_flag",
         f"'{config.FEATURE_SET_VERSION}' AS feature_set_version",
         "'test' AS split_name",
@@ -167,6 +179,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attach_entity_keys(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Add natural keys + arrival date to rows keyed by ``reservation_id`` (one join)."""
+    ent = order_entities(spark, sf_dir).select(
+        "reservation_id", "reservation_key", "source_file", "source_row_number",
+        F.to_date("o_orderdate").alias("arrival_date"),
+    )
+    return df.join(ent, "reservation_id")
+
+
 # Total order of predictions of one entity: newest first, ties by the line keys.
 PREDICTION_ORDER = ("scored_at", "tie_line", "tie_part", "tie_supp")
 
