@@ -103,7 +103,7 @@ def normalize_snapshot(snapshot: DataFrame, cfg: StageConfig) -> DataFrame:
         F.col("source_row_number").cast("bigint").alias("source_row_number"),
         RF.parse_date("arrival_date").alias("arrival_date"),
         snap_at.alias("snapshot_at"),
-        F.year(snap_at).alias("snapshot_year"),
+        F.year(_utc_wall_clock(snapshot.sparkSession, snap_at)).alias("snapshot_year"),
         active.alias("is_active_at_snapshot"),
         F.lit(cfg.name).alias("model_stage"),
     ).filter(F.col("snapshot_stage") == cfg.name)
@@ -118,6 +118,16 @@ def normalize_snapshot(snapshot: DataFrame, cfg: StageConfig) -> DataFrame:
     )
 
 
+def _utc_wall_clock(spark, ts: Column) -> Column:
+    """Instant -> its UTC wall-clock, independent of the session time zone."""
+    return F.to_utc_timestamp(ts, spark.conf.get("spark.sql.session.timeZone"))
+
+
+def utc_ntz(spark, ts: Column) -> Column:
+    """Instant -> timestamp without time zone holding the UTC wall-clock."""
+    return _utc_wall_clock(spark, ts).cast("timestamp_ntz")
+
+
 def require_stage_rows(df: DataFrame, cfg: StageConfig) -> DataFrame:
     """Fail when a stage filter left nothing (reads at most one row)."""
     if df.isEmpty():

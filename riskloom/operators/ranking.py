@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_BOUND = 200_000
 
 
+MAX_DEFAULT_BUCKETS = 16_384
+
+
 def _default_buckets(df: DataFrame) -> int:
+    """Four buckets per shuffle partition, capped so the offset table stays small."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, 4 * parts)
+    return max(16, min(MAX_DEFAULT_BUCKETS, 4 * parts))
 
 
 def _splits(values: list[float]) -> tuple[list[float], set[float]]:
@@ -67,7 +71,6 @@ def global_rank(
     rank_col: str = "rank",
     continuous: bool = False,
     buckets: int | None = None,
-    hot_row_share: float | None = None,
 ) -> DataFrame:
     """Add ``rank_col`` = 1-based ``row_number`` in ``order`` within each ``by`` group.
 

@@ -330,7 +330,7 @@ def _snapshot_clean(fr: Frames) -> DataFrame:
 def snapshot_normalize(spark, sf_dir):
     return _snapshot_clean(_f(spark, sf_dir)).select(
         "reservation_key", "source_row_number", "snapshot_stage", "arrival_date",
-        F.col("snapshot_at").cast("timestamp_ntz").alias("snapshot_at"), "snapshot_year",
+        cleanse.utc_ntz(spark, F.col("snapshot_at")).alias("snapshot_at"), "snapshot_year",
         "is_active_at_snapshot", "final_outcome", "no_show_flag", "excluded_from_training", "exclusion_reason",
         "lead_time_days", "days_since_booking", "days_to_arrival", "booking_changes_as_of_cutoff",
         "assigned_room_type_as_of_cutoff",
@@ -632,4 +632,4 @@ def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
 
-__all__ = ["queries", "REGISTRY", "config"]
+__all__ = ["queries", "REGISTRY"]
