@@ -172,8 +172,14 @@ def entity_detail(rows: DataFrame, actions: DataFrame | None, reservation_id: in
     )
 
 
-def entity_actions(actions: DataFrame, reservation_id: int) -> DataFrame:
-    """Actions of one entity, newest first."""
+def entity_actions(actions: DataFrame, reservation_id: int, entities: DataFrame | None = None) -> DataFrame:
+    """Actions of one entity, newest first.
+
+    With ``entities`` an unknown id raises ``LookupError`` (a one-row probe of
+    the pushed-down point lookup), mirroring the source's not-found answer.
+    """
+    if entities is not None and entities.filter(F.col("reservation_id") == reservation_id).isEmpty():
+        raise LookupError(f"Reservation {reservation_id} not found")
     return actions.filter(F.col("reservation_id") == reservation_id).orderBy(
         F.col("acted_at").desc(), F.col("id").desc()
     )

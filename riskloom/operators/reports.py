@@ -235,3 +235,18 @@ def action_counts_per_entity(actions: DataFrame) -> DataFrame:
         _bigint(F.count_if(F.col("action_status") == "completed")).alias("completed_count"),
         _bigint(F.count_if(F.col("action_status") == "follow_up")).alias("follow_up_count"),
     )
+
+
+BOOTSTRAP_MODELS = ("logistic_regression", "gbt")
+
+
+def bootstrap_benchmark(spark) -> DataFrame:
+    """Benchmark rows before any model was evaluated (R5): planned models, pending metrics."""
+    rows = [
+        (m, "planned", "No evaluated predictions yet.", metric, None, "pending")
+        for m in BOOTSTRAP_MODELS
+        for metric in ("pr_auc", "roc_auc")
+    ]
+    return spark.createDataFrame(
+        rows, "model_name string, status string, notes string, name string, value double, status_metric string"
+    )

@@ -88,6 +88,18 @@ def resolve_keys(child: DataFrame, parent: DataFrame, name: str) -> DataFrame:
     )
 
 
+def require_resolved(child: DataFrame, parent: DataFrame, name: str) -> DataFrame:
+    """Mandatory key lookup (J5): raise if any child key has no parent row.
+
+    The check is an anti join probed for one row; the child is returned unchanged.
+    """
+    missing = child.select(*NATURAL_KEY).join(parent.select(*NATURAL_KEY), list(NATURAL_KEY), "left_anti")
+    first = missing.limit(1).collect()
+    if first:
+        raise KeyError(f"{name}: key {tuple(first[0])} has no parent row")
+    return child
+
+
 def duplicate_keys(df: DataFrame, keys, name: str) -> DataFrame:
     """Number of key values that occur more than once (uniqueness check, §1.4)."""
     dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)

@@ -91,3 +91,26 @@ def test_empty_report_is_one_zero_row(spark):
     assert reports.trends(rows).count() == 0
     with pytest.raises(ValueError):
         reports.dimension_breakdown(rows, "country_code")
+
+
+def test_entity_actions_unknown_entity(spark):
+    acts = spark.createDataFrame([(1, 10, _t(1))], "id long, reservation_id long, acted_at timestamp")
+    ents = spark.createDataFrame([(10,)], "reservation_id long")
+    assert [r.id for r in queue.entity_actions(acts, 10, ents).collect()] == [1]
+    with pytest.raises(LookupError):
+        queue.entity_actions(acts, 11, ents)
+
+
+def test_mandatory_key_resolution(spark):
+    from riskloom.sources import layers
+
+    parent = spark.createDataFrame([("H1.csv", 1)], "source_file string, source_row_number long")
+    child = spark.createDataFrame([("H1.csv", 1), ("H1.csv", 2)], "source_file string, source_row_number long")
+    with pytest.raises(KeyError):
+        layers.require_resolved(child, parent, "clean_to_raw")
+    assert layers.require_resolved(child.limit(1), parent, "ok").count() == 1
+
+
+def test_bootstrap_benchmark(spark):
+    rows = reports.bootstrap_benchmark(spark).collect()
+    assert {r.status for r in rows} == {"planned"} and all(r.value is None for r in rows)
