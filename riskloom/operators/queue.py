@@ -52,7 +52,14 @@ def entity_view(
     The id runs 1..n in (source_file, source_row_number) order; it is computed
     by the bucketed global rank, never by a single-partition window.
     """
-    merged = right_join_suffixed(clean.drop("reservation_id"), model_predictions.drop("reservation_id"), list(keys))
+    keys = list(keys)
+    if "reservation_id" in keys:
+        # The natural keys determine the stable entity id on both sides, so
+        # joining on it too gives the same rows and lets the join reuse the
+        # existing hash partitioning by entity id (no re-shuffle of either side).
+        merged = right_join_suffixed(clean, model_predictions, keys).drop("reservation_id")
+    else:
+        merged = right_join_suffixed(clean.drop("reservation_id"), model_predictions.drop("reservation_id"), keys)
     ranked = global_rank(
         merged, order=[("source_row_number", True)], by=["source_file"], rank_col="reservation_id", continuous=True
     )

@@ -74,5 +74,8 @@ class Frames:
         """Artifact view: one model's rows right-joined onto entities, dense ids."""
         return self._get(
             f"view:{model_name}",
-            lambda: queue.entity_view(self.clean(), self.model_latest(model_name), model_name),
+            lambda: queue.entity_view(
+                self.clean(), self.model_latest(model_name), model_name,
+                keys=("reservation_id", "reservation_key", "source_file", "source_row_number"),
+            ),
         )
