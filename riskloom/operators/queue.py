@@ -46,18 +46,23 @@ def entity_view(
     model_name: str,
     model_version: str | None = None,
     keys=("reservation_key", "source_file", "source_row_number"),
+    join_on_id: str | None = None,
 ) -> DataFrame:
     """One model's scored rows joined onto the entities with a dense id.
 
+    The join is a right outer join on the natural ``keys``; overlapping right
+    columns get a ``_prediction`` suffix.  When both sides carry a stable entity
+    id that the natural keys determine one-to-one, ``join_on_id`` joins on that
+    id alone: same rows, and the join reuses both sides' existing hash
+    partitioning by id instead of re-shuffling them on the natural keys.
+
     The id runs 1..n in (source_file, source_row_number) order; it is computed
     by the bucketed global rank, never by a single-partition window.
     """
     keys = list(keys)
-    if "reservation_id" in keys:
-        # The natural keys determine the stable entity id on both sides, so
-        # joining on it too gives the same rows and lets the join reuse the
-        # existing hash partitioning by entity id (no re-shuffle of either side).
-        merged = right_join_suffixed(clean, model_predictions, keys).drop("reservation_id")
+    if join_on_id:
+        left = clean.drop(*keys)
+        merged = right_join_suffixed(left, model_predictions, [join_on_id]).drop(join_on_id)
     else:
         merged = right_join_suffixed(clean.drop("reservation_id"), model_predictions.drop("reservation_id"), keys)
     ranked = global_rank(

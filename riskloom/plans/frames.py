@@ -76,6 +76,6 @@ class Frames:
             f"view:{model_name}",
             lambda: queue.entity_view(
                 self.clean(), self.model_latest(model_name), model_name,
-                keys=("reservation_id", "reservation_key", "source_file", "source_row_number"),
+                join_on_id="reservation_id",
             ),
         )
