@@ -8,9 +8,9 @@ A window without ``partitionBy`` pulls every row into one task.  Instead:
 2. ``Bucketizer`` (JVM binary search) assigns each row a bucket.  The bucket
    is a pure function of the row's values, so a recomputed task assigns the
    same bucket (no ``spark_partition_id``, no randomness).
-3. Hot buckets are split again by the tie-break column, with per-bucket
-   ``percentile_approx`` splits; inside an isolated bucket the leading value
-   is constant, so the sub-split keeps the total order.
+3. Hot buckets are split again by the tie-break column (quantiles of that
+   column over the hot rows, second ``Bucketizer``); inside an isolated bucket
+   the leading value is constant, so the sub-split keeps the total order.
 4. ``row_number`` runs inside each (group, bucket, sub-bucket) window; the
    tiny per-bucket count table gets a prefix sum and joins back.
 
@@ -91,27 +91,24 @@ def global_rank(
     staged = bucketizer.transform(keyed.withColumn("_rk_lead", F.coalesce(F.col("_rk_lead"), F.lit(float("nan")))))
     staged = staged.withColumn("_rk_b", F.col("_rk_b").cast("int"))
 
-    # Split isolated hot buckets by the tie-break column.
+    # Split isolated hot buckets by the tie-break column.  Inside a hot bucket
+    # the leading value is constant, so splitting by the tie column keeps the
+    # total order; one set of tie-column quantiles (over hot rows only) serves
+    # every hot bucket through a second JVM Bucketizer.
     if hot and len(order) > 1:
         tie, tie_asc = order[1]
-        hot_buckets = [bucketizer.getSplits().index(v) for v in sorted(hot)]
+        split_points = bucketizer.getSplits()
+        hot_buckets = [split_points.index(v) for v in sorted(hot)]
+        is_hot = F.col("_rk_b").isin(hot_buckets)
         sub_n = max(2, min(256, buckets))
         tie_val = F.col(tie).cast("double") if tie_asc else -F.col(tie).cast("double")
-        hot_rows = staged.filter(F.col("_rk_b").isin(hot_buckets)).withColumn("_rk_t", tie_val)
-        sub_splits = hot_rows.groupBy("_rk_b").agg(
-            F.percentile_approx("_rk_t", [i / sub_n for i in range(1, sub_n)], 4 * sub_n).alias("_rk_splits")
-        )
-        staged = (
-            staged.join(F.broadcast(sub_splits), "_rk_b", "left")
-            .withColumn(
-                "_rk_s",
-                F.when(
-                    F.col("_rk_splits").isNotNull(),
-                    F.size(F.filter(F.array_distinct("_rk_splits"), lambda s: s < tie_val)),
-                ).otherwise(F.lit(0)),
-            )
-            .drop("_rk_splits")
+        staged = staged.withColumn("_rk_t", F.when(is_hot, tie_val))
+        tq = staged.filter(is_hot).approxQuantile("_rk_t", [i / sub_n for i in range(1, sub_n)], 1.0 / (4 * sub_n))
+        tie_splits, _ = _splits(tq)
+        staged = Bucketizer(splits=tie_splits, inputCol="_rk_t", outputCol="_rk_s", handleInvalid="keep").transform(
+            staged.withColumn("_rk_t", F.coalesce(F.col("_rk_t"), F.lit(float("nan"))))
         )
+        staged = staged.withColumn("_rk_s", F.when(is_hot, F.col("_rk_s").cast("int")).otherwise(F.lit(0)))
     else:
         staged = staged.withColumn("_rk_s", F.lit(0))
 
