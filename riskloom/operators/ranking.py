@@ -71,6 +71,7 @@ def global_rank(
     rank_col: str = "rank",
     continuous: bool = False,
     buckets: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Add ``rank_col`` = 1-based ``row_number`` in ``order`` within each ``by`` group.
 
@@ -78,8 +79,17 @@ def global_rank(
     numeric (it drives the buckets); the rest break ties and must make the
     order total.  With ``continuous`` the numbering runs across the ``by``
     groups in ascending group order instead of restarting.
+
+    The input is read by the quantile pass, the count pass and the final
+    window.  ``materialize`` writes it once as a reliable checkpoint in the
+    shared checkpoint folder first: worth it when the input is an expensive
+    plan (wide joins) rather than a scan.
     """
     by = list(by)
+    if materialize:
+        from riskloom.session import checkpoint
+
+        df = checkpoint(df)
     lead, lead_asc = order[0]
     buckets = buckets or _default_buckets(df)
     probs = [i / buckets for i in range(1, buckets)]

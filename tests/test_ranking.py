@@ -44,3 +44,11 @@ def test_prefix_sums(spark):
     pdf["pos_cum_e"] = pdf["pos"].cumsum()
     merged = out.merge(pdf, on=["g", "s"])
     assert (merged["pos_cum"] == merged["pos_cum_e"]).all()
+
+
+def test_global_rank_materialized_input(spark):
+    rows = [("g", float(i % 7), i) for i in range(100)]
+    df = spark.createDataFrame(rows, "g string, s double, k long")
+    a = {r.k: r.r for r in global_rank(df, [("s", True), ("k", True)], ["g"], "r", buckets=8).collect()}
+    b = {r.k: r.r for r in global_rank(df, [("s", True), ("k", True)], ["g"], "r", buckets=8, materialize=True).collect()}
+    assert a == b and sorted(a.values()) == list(range(1, 101))
