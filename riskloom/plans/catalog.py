@@ -630,6 +630,29 @@ def presentation_labels(spark, sf_dir):
     return props.unionByName(segs)
 
 
+@register("action_stream_ingest")
+def action_stream_ingest(spark, sf_dir):
+    """Action requests from the event table, landed as files and ingested by the
+    micro-batch stream (D1 via Structured Streaming).  Rows-only check."""
+    import uuid
+
+    from riskloom.session import ensure_checkpoint_dir
+    from riskloom.streaming.actions import REQUEST_SCHEMA, start_action_ingest
+
+    fr = _f(spark, sf_dir)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/action_stream/{uuid.uuid4().hex}"
+    requests = adapter.action_requests(spark, sf_dir).select(*[f.name for f in REQUEST_SCHEMA.fields])
+    requests.write.parquet(f"{base}/requests")
+    query = start_action_ingest(
+        spark, f"{base}/requests", fr.clean().select("reservation_id"), fr.predictions(),
+        f"{base}/accepted", f"{base}/rejected", adapter.PREDICTION_ORDER[1:], checkpoint=f"{base}/_checkpoint",
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/accepted").select(
+        "id", "reservation_id", "prediction_id", "action_type", "action_status", "acted_at"
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

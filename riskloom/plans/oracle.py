@@ -849,4 +849,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(_report_queries())
     out.update(_more_queries())
     out.update(_action_queries())
+    # the streaming ingest accepts exactly the batch path's rows
+    out["action_stream_ingest"] = out["action_asof_prediction"]
     return out

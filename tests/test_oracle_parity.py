@@ -65,4 +65,4 @@ def test_every_query_has_oracle_or_is_rows_only():
     from __spark_entry__ import oracle_sql, queries
 
     missing = set(queries()) - set(oracle_sql())
-    assert missing <= {"csv_row_numbering", "ml_logistic", "ml_gbt"}
+    assert missing <= {"csv_row_numbering", "ml_logistic", "ml_gbt", "action_stream_ingest"}
