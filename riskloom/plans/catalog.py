@@ -647,7 +647,11 @@ def action_stream_ingest(spark, sf_dir):
         spark, f"{base}/requests", fr.clean().select("reservation_id"), fr.predictions(),
         f"{base}/accepted", f"{base}/rejected", adapter.PREDICTION_ORDER[1:], checkpoint=f"{base}/_checkpoint",
     )
-    query.awaitTermination()
+    if not query.awaitTermination(1800):  # availableNow ends by itself; never wait forever
+        query.stop()
+        raise TimeoutError("action ingest stream did not finish")
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
     return spark.read.parquet(f"{base}/accepted").select(
         "id", "reservation_id", "prediction_id", "action_type", "action_status", "acted_at"
     )
