@@ -53,3 +53,18 @@ def test_csv_round_trip_numbering(spark, tmp_path):
     assert {g[2] for g in got} == {"BB       "}  # whitespace survives the round trip
     with pytest.raises(FileNotFoundError):
         files.read_raw_csv(spark, [base + "/nope.csv"])
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL_SF), reason="driver tables not present")
+def test_no_query_forms_all_pairs_or_runs_python(spark):
+    """No registered query plans a cartesian product, a nested-loop join or a Python UDF."""
+    from riskloom.plans.catalog import REGISTRY
+
+    skip = {"ml_gbt", "ml_logistic", "csv_row_numbering", "action_stream_ingest"}  # these run jobs while building
+    bad = []
+    for name, build in REGISTRY.items():
+        if name in skip:
+            continue
+        plan = _plan(build(spark, SMALL_SF))
+        bad += [(name, tok) for tok in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython") if tok in plan]
+    assert bad == []
