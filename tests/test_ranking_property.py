@@ -24,3 +24,34 @@ def test_global_rank_equals_sort(spark, rows, buckets, desc):
         part = sorted((d for d in data if d[0] == g), key=lambda d: ((-d[1] if desc else d[1]), d[2]))
         want.update({d[2]: i + 1 for i, d in enumerate(part)})
     assert got == want
+
+
+_T0 = __import__("datetime").datetime(2021, 1, 1)
+_events = st.lists(
+    st.tuples(st.integers(0, 3), st.integers(0, 24 * 90), st.integers(0, 2)), min_size=0, max_size=60
+)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(preds=_events, reqs=_events, period=st.sampled_from(["day", "week", "month"]))
+def test_asof_latest_equals_brute_force(spark, preds, reqs, period):
+    import datetime as dt
+
+    from riskloom.operators.actions import asof_latest
+
+    p_rows = [(k, _T0 + dt.timedelta(hours=h), f"p{i}", tie) for i, (k, h, tie) in enumerate(preds)]
+    r_rows = [(i, k, _T0 + dt.timedelta(hours=h)) for i, (k, h, _) in enumerate(reqs)]
+    right = spark.createDataFrame(p_rows, "k long, ts timestamp, pid string, tie long")
+    left = spark.createDataFrame(r_rows, "id long, k long, at timestamp")
+    got = {r.id: r.asof_value for r in asof_latest(left, right, "k", "at", "ts", "pid", ["tie"], period=period).collect()}
+    want = {}
+    for i, k, at in r_rows:
+        cands = [(ts, tie, int(pid[1:]), pid) for kk, ts, pid, tie in p_rows if kk == k and ts <= at]
+        want[i] = max(cands)[3] if cands else None
+    # equal (time, tie) pairs have no defined winner; only compare unambiguous requests
+    for i, k, at in r_rows:
+        cands = [(ts, tie) for kk, ts, _, tie in p_rows if kk == k and ts <= at]
+        if cands and cands.count(max(cands)) > 1:
+            want.pop(i)
+            got.pop(i)
+    assert got == want
