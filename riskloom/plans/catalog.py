@@ -447,11 +447,6 @@ def action_update_rejections(spark, sf_dir):
 # --- layers, keys, runs ---------------------------------------------------------------------
 
 
-def _model_frames(fr: Frames) -> dict[str, DataFrame]:
-    preds = fr.keyed_predictions()
-    return {m: preds.filter(F.col("model_name") == m) for m in ("logistic_regression", "gbt")}
-
-
 @register("layer_raw_payload")
 def layer_raw_payload(spark, sf_dir):
     raw = layers.raw_layer(_f(spark, sf_dir).raw())
@@ -479,7 +474,10 @@ def layer_feature_payload(spark, sf_dir):
 
 @register("layer_prediction_union")
 def layer_prediction_union(spark, sf_dir):
-    pl = layers.prediction_layer(_model_frames(_f(spark, sf_dir)))
+    fr = _f(spark, sf_dir)
+    preds = fr.predictions()  # keyed by entity id only; natural keys joined once after the union
+    frames = {m: preds.filter(F.col("model_name") == m) for m in ("logistic_regression", "gbt")}
+    pl = layers.prediction_layer(frames, attach_keys=lambda df: adapter.attach_entity_keys(spark, sf_dir, df))
     j = lambda k: F.get_json_object("metadata_payload", f"$.{k}")
     return pl.select(
         "prediction_id", "model_name", "score", "risk_class", "scoring_run_id",

@@ -55,11 +55,18 @@ def feature_layer(features: DataFrame) -> DataFrame:
     )
 
 
-def prediction_layer(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """Union of every model's prediction rows with a metadata JSON."""
+def prediction_layer(frames: Mapping[str, DataFrame], attach_keys=None) -> DataFrame:
+    """Union of every model's prediction rows with a metadata JSON.
+
+    ``attach_keys`` (DataFrame -> DataFrame) adds the natural keys once, after
+    the union, when the per-model frames carry only the entity id: one key
+    join for all models instead of one per model.
+    """
     union = None
     for df in frames.values():
         union = df if union is None else union.unionByName(df, allowMissingColumns=True)
+    if attach_keys is not None:
+        union = attach_keys(union)
     meta = [F.col(c) if c in union.columns else F.lit(None).alias(c) for c in PREDICTION_META]
     return union.select(
         "prediction_id", *NATURAL_KEY, "model_name", "model_version", "score", "risk_class", "threshold_used",
