@@ -6,11 +6,30 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_files
+from . import bpe, langid, quality, token_files
 from .common import read_table
 
 
+def op1_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    profiles = langid.fit(langid.training_rows(docs))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return langid.predict(docs, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op4_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    return quality.score(docs, model).select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_files.tokens_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -23,6 +42,8 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_rank_order_language": op1_rank_order_language,
+        "op4_byte_cnn_quality": op4_byte_cnn_quality,
         "op5_token_files": op5_token_files,
         "op8_bpe_round_trip": op8_bpe_round_trip,
     }
