@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,12 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers of a session that was started elsewhere must find this package.
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [known])])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

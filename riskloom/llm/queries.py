@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, token_files
+from . import bpe, decontam, langid, pii, quality, token_files
 from .common import read_table
 
 
@@ -35,19 +35,31 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.anonymise(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontam.digest(decontam.annotate(docs, items))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
         "op4_byte_cnn_quality": op4_byte_cnn_quality,
         "op5_token_files": op5_token_files,
+        "op7_pii_surrogates": op7_pii_surrogates,
         "op8_bpe_round_trip": op8_bpe_round_trip,
+        "op10_winnowing_decontamination": op10_winnowing_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_winnowing_decontamination": decontam.ORACLE}
