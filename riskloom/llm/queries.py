@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, pii, quality, token_files
+from . import bpe, decontam, langid, pii, quality, reshard, token_files
 from .common import read_table
 
 
@@ -35,6 +35,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.reshard_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.anonymise(read_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"))
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_rank_order_language": op1_rank_order_language,
         "op4_byte_cnn_quality": op4_byte_cnn_quality,
         "op5_token_files": op5_token_files,
+        "op6_min_cost_flow_resharding": op6_min_cost_flow_resharding,
         "op7_pii_surrogates": op7_pii_surrogates,
         "op8_bpe_round_trip": op8_bpe_round_trip,
         "op10_winnowing_decontamination": op10_winnowing_decontamination,
