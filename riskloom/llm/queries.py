@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, ngram_join, pii, quality, reshard, token_files
+from . import bpe, decontam, langid, ngram_join, pii, quality, reshard, rpforest, token_files
 from .common import read_table
 
 
@@ -53,6 +53,10 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontam.digest(decontam.annotate(docs, items))
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_min_cost_flow_resharding": op6_min_cost_flow_resharding,
         "op7_pii_surrogates": op7_pii_surrogates,
         "op8_bpe_round_trip": op8_bpe_round_trip,
+        "op9_projection_forest": op9_projection_forest,
         "op10_winnowing_decontamination": op10_winnowing_decontamination,
     }
 
