@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, ngram_join, pii, quality, reshard, rpforest, token_files
+from . import bpe, decontam, langid, ngram_join, pii, quality, reshard, rpforest, suffix, token_files
 from .common import read_table
 
 
@@ -19,6 +19,10 @@ def op1_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(read_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_byte_cnn_quality": op4_byte_cnn_quality,
         "op5_token_files": op5_token_files,
