@@ -353,6 +353,29 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
+def round_trip_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, n_tokens, text): the ids of each text and the text decoded from them.  Rows as in ``encode``."""
+
+    def run(batches):
+        t = tokenizer(path)
+        for batch in batches:
+            for part in pieces(batch, "t"):
+                ids = t.encode_many([x or "" for x in part.column("t").to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("i"),
+                        pa.array(ids, pa.binary()),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array(list(map(t.decode, ids)), pa.string()),
+                    ],
+                    ["doc_id", "ids", "n_tokens", "text"],
+                )
+
+    src = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"))
+    kind = src.schema["i"].dataType.simpleString()
+    return src.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, text string")
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digest of encoding and decoding in one pass over each text.
 

@@ -33,7 +33,7 @@ from .common import U64, binary_rows, column_bytes, connected_components, mix, p
 
 SHINGLE = 5
 PERCENT = 80
-CHUNK_BYTES = 24 << 20  # text packed into one set of blobs
+CHUNK_BYTES = 6 << 20  # text packed into one set of blobs
 BUCKET_BYTES = 16 << 20  # text whose shingles one bucket holds
 LEAST_BUCKETS = 64
 COMMON = 32  # sets in a chunk from which a shingle counts as common without its list
@@ -115,8 +115,9 @@ def _blobs(buckets: int):
         keys = np.concatenate([k for k, *_ in held])
         sizes = np.concatenate([s for _, s, *_ in held])
         shift = np.cumsum([0, *(len(k) for k, *_ in held[:-1])])
-        owner = np.concatenate([o + d for (_, _, o, _), d in zip(held, shift, strict=True)])
+        owner = np.concatenate([(o + d).astype(np.int32) for (_, _, o, _), d in zip(held, shift, strict=True)])
         hashes = np.concatenate([h for *_, h in held])
+        held.clear()
         _, first = np.unique(keys, return_index=True)  # equal sets once
         mine = np.zeros(len(keys), bool)
         mine[first] = True
