@@ -197,7 +197,7 @@ class Segment:
         self.words = take("<u4", words)
 
     def ids(self, first: int = 0, last: int | None = None) -> np.ndarray:
-        last = self.blocks if last is None else last
+        last = self.blocks if last is None else min(last, self.blocks)
         nb = last - first
         if nb <= 0:
             return np.zeros(0, "<u4")
