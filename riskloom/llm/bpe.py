@@ -31,6 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Characters whose class no library disputes: below U+0250, without the control
 # characters that count as white space only in some libraries.
 PLAIN = regex.compile("[\t-\r -\x7e\xa0-ɏ]*")
+WORD_BYTES = 2 << 20  # text whose new words are encoded together
 CACHE_WORDS = 800_000
 
 
@@ -330,7 +331,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         t = tokenizer(path)
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", WORD_BYTES):
                 texts = [x or "" for x in part.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("i"), pa.array(t.encode_many(texts), pa.binary())], ["doc_id", "ids"]
@@ -359,7 +360,7 @@ def round_trip_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches):
         t = tokenizer(path)
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", WORD_BYTES):
                 ids = t.encode_many([x or "" for x in part.column("t").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -385,7 +386,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         t = tokenizer(path)
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", WORD_BYTES):
                 ids = t.encode_many([x or "" for x in part.column("t").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-PIECE_BYTES = 2 << 20  # text handled by one round of array operations
+PIECE_BYTES = 1 << 19  # text handled by one round of array operations
+TASK_EDGES = 500_000  # links that one task contracts
 
 
 # --------------------------------------------------------------------------
@@ -204,32 +205,18 @@ def forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches):
-    """Partition-local spanning forest, kept bounded by contracting as it goes."""
-    a = b = np.zeros(0, np.int64)
-    pending: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = 0
-
-    def fold():
-        return forest_of(
-            np.concatenate([a, *(x for x, _ in pending)]),
-            np.concatenate([b, *(y for _, y in pending)]),
-        )
-
-    for batch in batches:
-        pending.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
-        waiting += batch.num_rows
-        if waiting > 2_000_000:
-            a, b = fold()
-            pending, waiting = [], 0
-    a, b = fold()
+    """Spanning forest of a partition's links."""
+    cols = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+    none = np.zeros(0, np.int64)
+    a, b = forest_of(np.concatenate([none, *(x for x, _ in cols)]), np.concatenate([none, *(y for _, y in cols)]))
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long) to (node, component = smallest node reachable).
 
-    Each round contracts every partition to a spanning forest, then applies
-    the two star steps (each node links its larger, then its smaller neighbours
+    Links are dealt to tasks of about ``TASK_EDGES`` each, which contract them to
+    spanning forests.  While there are several, each round applies the two star steps (each node links its larger, then its smaller neighbours
     to the smallest one).  Stars are joined, not collected, so a node with very
     many links is split by the skew join.  Rounds end when the set of edges
     stays the same.  Nodes without links do not appear.
@@ -237,9 +224,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     schema = "a long, b long"
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = e.where("a is not null and b is not null and a != b")
-    e = stored(e.mapInArrow(_contract, schema))
+    e = stored(e)
+    parts = max(1, -(-e.count() // TASK_EDGES))
+    e = stored(e.repartition(parts).mapInArrow(_contract, schema))
     seen = None
-    while True:
+    while parts > 1:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )

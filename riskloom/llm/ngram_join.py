@@ -33,8 +33,8 @@ from .common import U64, binary_rows, column_bytes, connected_components, mix, p
 
 SHINGLE = 5
 PERCENT = 80
-CHUNK_BYTES = 6 << 20  # text packed into one set of blobs
-BUCKET_BYTES = 16 << 20  # text whose shingles one bucket holds
+CHUNK_BYTES = 12 << 20  # text packed into one set of blobs
+BUCKET_BYTES = 8 << 20  # text whose shingles one bucket holds
 LEAST_BUCKETS = 64
 COMMON = 32  # sets in a chunk from which a shingle counts as common without its list
 COMMON_DF = np.iinfo(np.int32).max
@@ -98,6 +98,15 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 # --------------------------------------------------------------------------
 # document frequencies
 # --------------------------------------------------------------------------
+def planes(h: np.ndarray) -> bytes:
+    """Sorted hashes, first bytes together and so on: the upper ones then compress."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(U64).reshape(-1)
+
+
 BLOB = "bucket int, keys binary, sizes binary, hashes binary, owner binary"
 
 
@@ -141,12 +150,12 @@ def _blobs(buckets: int):
             cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
             for x, y in zip(cut, np.append(cut[1:], len(b)).astype(int), strict=True) if len(b) else ():
                 if kind == 2:
-                    out.append((int(b[x]), b"", b"", h[x:y].tobytes(), b""))
+                    out.append((int(b[x]), b"", b"", planes(h[x:y]), b""))
                     continue
                 who, local = np.unique(o[x:y], return_inverse=True)
                 s = sizes[who].astype("<i4") * (-1 if kind == 1 else 1)
                 small = np.uint16 if len(who) < 1 << 16 else np.uint32
-                out.append((int(b[x]), keys[who].tobytes(), s.tobytes(), h[x:y].tobytes(), local.astype(small).tobytes()))
+                out.append((int(b[x]), keys[who].tobytes(), s.tobytes(), planes(h[x:y]), local.astype(small).tobytes()))
         cols = list(zip(*out, strict=True)) or [()] * 5
         types = [pa.int32(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays(
@@ -177,7 +186,7 @@ def _shared(table: pa.Table) -> pa.Table:
     keys, sizes, hashes, told = [], [], [], []
     pass_on = []
     for k, s, h, o in zip(*(table.column(c).to_pylist() for c in ("keys", "sizes", "hashes", "owner")), strict=True):
-        h = np.frombuffer(h, U64)
+        h = unplaned(h)
         if not k:
             told.append(h)
             continue
@@ -232,11 +241,14 @@ def least_overlap(n):
     return -(-PERCENT * n // 100)
 
 
-SETS = "key long, n int, members binary, prefix array<long>"
+SKETCH = 8  # 64-bit words that sketch a prefix
+BITS = [f"b{i}" for i in range(SKETCH)]
+SETS = "key long, n int, members binary, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def _prefixes(batches):
-    """Per set: its shared shingles sorted by hash, and its rare-first prefix."""
+    """Per set: its shared shingles sorted by hash, its rare-first prefix and a sketch
+    of that: one bit for each of its shingles, by hash."""
     for batch in batches:
         out = []
         cols = (batch.column(c).to_pylist() for c in ("key", "n", "hashes", "dfs"))
@@ -250,12 +262,15 @@ def _prefixes(batches):
             # Shingles of this set alone stand first in the order; the rest is n - need + 2 less those.
             room = (n - need + (2 if need > 1 else 1)) - (n - len(h))
             rare = np.lexsort((h, df))[:room]
-            out.append((key, n, h.tobytes(), h[rare].view(np.int64).tolist()))
+            bit = np.unique((h[rare] >> U64(40)) % U64(64 * SKETCH)).astype(np.int64)
+            words64 = np.zeros(SKETCH, U64)
+            np.bitwise_or.at(words64, bit >> 6, U64(1) << (bit & 63).astype(U64))
+            out.append((key, n, h.tobytes(), h[rare].view(np.int64).tolist(), *words64.view(np.int64).tolist()))
         if out:
-            types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * SKETCH]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
-                ["key", "n", "members", "prefix"],
+                ["key", "n", "members", "prefix", *BITS],
             )
 
 
@@ -279,22 +294,23 @@ def linkable_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 # candidates
 # --------------------------------------------------------------------------
 def cost_table(sets: DataFrame) -> list[tuple[int, int, int]]:
-    """(size class, subsets that its sets would enumerate, list entries they would scan).
+    """(size class, cost as small sets, cost as large sets).
 
-    Size classes: each size up to 64, then eighths of a doubling; so the table
-    has a few hundred rows whatever the data.
+    A set with m shingles in its prefix and lists of l1, l2, ... costs m + l1 + l2 + ...
+    as a large one.  As a small one it enumerates m (m - 1) / 2 subsets, and a set it
+    meets c times on single shingles it meets c (c - 1) / 2 times on subsets; so its
+    list entries count (m - 1) / 2 times.  Size classes: each size up to 64, then eighths of a
+    doubling; so the table has a few hundred rows whatever the data.
     """
     cls = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.log2("n") * 8).cast("int") + 16)
-    sets = sets.withColumn("c", cls)
-    m = F.size("prefix")
-    subsets = sets.groupBy("c").agg(
-        F.max("n").alias("most"), F.sum(F.when(F.col("n") > 1, m * (m - 1) / 2).otherwise(m)).alias("subsets")
-    )
-    one = sets.select("c", F.explode("prefix").alias("e")).groupBy("e", "c").agg(F.count("*").alias("k"))
-    lists = one.groupBy("e").agg(F.sum("k").alias("all"))
-    scans = one.join(lists, "e").groupBy("c").agg(F.sum(F.col("k").cast("double") * F.col("all")).alias("scans"))
-    rows = subsets.join(scans, "c", "left").collect()
-    return sorted((r["most"], int(r["subsets"] or 0), int(r["scans"] or 0)) for r in rows)
+    sets = sets.select("key", "n", "prefix", cls.alias("c"), F.size("prefix").cast("double").alias("m"))
+    one = sets.select("key", "c", "n", "m", F.explode("prefix").alias("e"))
+    lists = one.groupBy("e").agg(F.count("*").alias("l"))
+    scan = one.join(lists, "e").groupBy("key", "c", "n", "m").agg(F.sum("l").alias("l"))
+    m, n = F.col("m"), F.col("n")
+    subsets = F.when(n > 1, m * (m - 1) / 2 + F.col("l") * (m - 1) / 2).otherwise(m + F.col("l"))
+    rows = scan.groupBy("c").agg(F.max("n").alias("most"), F.sum(subsets).alias("a"), F.sum(m + F.col("l")).alias("b"))
+    return sorted((r["most"], int(r["a"]), int(r["b"])) for r in rows.collect())
 
 
 def boundary(costs: list[tuple[int, int, int]]) -> int:
@@ -308,13 +324,19 @@ def boundary(costs: list[tuple[int, int, int]]) -> int:
 
 
 def tokens(sets: DataFrame, small: int) -> DataFrame:
-    """(tok, key, n, waits): what sets meet on.
+    """(tok, key, n, s, at, early, waits): what sets meet on.
+
+    ``s`` counts a set's shared shingles, ``at`` is the token's place among them.
+    ``early`` marks a token that the set has among its first n - ceil(8 n / 9) + 1: of a
+    linked pair the set that is smaller by (n, key) has one of those in common with
+    the other's whole prefix, as a set of size n shares 8 n / 9 with one no smaller.
 
     Small sets give a token for each subset of two (of one for sets of size 1);
     large sets and the small ones that a large one could link to give one for
     each shingle of their prefix, where the small ones wait: they meet large sets only.
     """
     n = F.col("n")
+    sets = sets.withColumn("s", (F.octet_length("members") / 8).cast("int"))
     light = sets.where(n <= small)
     pair = F.explode(
         F.when(
@@ -330,17 +352,44 @@ def tokens(sets: DataFrame, small: int) -> DataFrame:
             ),
         ).otherwise(F.transform("prefix", lambda x: F.xxhash64(x)))
     )
-    subsets = light.select(pair.alias("tok"), "key", "n", F.lit(False).alias("waits"))
+    # A subset's place says nothing about single shingles: None stands for "no bound from it".
+    subsets = light.select(
+        pair.alias("tok"), "key", "n", "s", F.lit(None).cast("int").alias("at"), F.lit(True).alias("early"),
+        F.lit(False).alias("waits"), *BITS,
+    )
     scanned = sets.where(n * 100 >= small * PERCENT).withColumn("waits", n <= small)
     # The inverted lists need the prefix without its last shingle, unless the set has one shingle in it.
     first = F.when(n > 1, F.expr("slice(prefix, 1, greatest(size(prefix) - 1, 1))")).otherwise(F.col("prefix"))
-    lists = scanned.select(F.explode(F.transform(first, lambda x: F.xxhash64(x, F.lit("list")))).alias("tok"), "key", "n", "waits")
+    lists = scanned.select(
+        F.posexplode(F.transform(first, lambda x: F.xxhash64(x, F.lit("list")))).alias("at", "tok"), "key", "n", "s", "waits", *BITS
+    )
+    # Its own shingles stand before the shared ones in a set's order.
+    early = F.col("at") < n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1 - (n - F.col("s"))
+    lists = lists.withColumn("early", early).select("tok", "key", "n", "s", "at", "early", "waits", *BITS)
     # A list on which everyone waits, or with one set, joins nothing.
     alone = lists.unionByName(subsets)
     live = alone.groupBy("tok").agg(F.count("*").alias("m"), F.min("waits").alias("idle")).where("m > 1 and not idle")
     return alone.join(live.select("tok"), "tok")
 
 
+def may_link(x: str, y: str):
+    """Whether two sets that meet on a token could share enough, by sizes and places.
+
+    No pair shares more than the smaller number of shared shingles; a shingle at
+    places i and j leaves at most min(i, j) common ones before it and as many behind
+    it as the shorter rest holds.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    most = F.least(c(x, "s"), c(y, "s"))
+    here = F.least(c(x, "at"), c(y, "at")) + F.least(c(x, "s") - c(x, "at"), c(y, "s") - c(y, "at"))
+    most = F.least(most, F.coalesce(here, most))
+    # Whose prefix ends first in the order holds no shingle of the other beyond the
+    # other's prefix; so its shingles outside the other's sketch are not shared.
+    gone = lambda a, b: sum((F.bit_count(c(a, w).bitwiseAND(F.bitwise_not(c(b, w)))) for w in BITS), F.lit(0))
+    most = F.least(most, F.greatest(c(x, "s") - gone(x, y), c(y, "s") - gone(y, x)))
+    return most * (100 + PERCENT) >= (c(x, "n") + c(y, "n")) * PERCENT
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
@@ -362,16 +411,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
-def _leaders(toks: DataFrame) -> DataFrame:
+def _leaders(toks: DataFrame, turn: int) -> DataFrame:
     """One partner (a, b) for each set: the set that leads most of its lists.
 
-    The leader of a list is its first set by (n, key) among those that do not
-    wait; sets of its own component and sizes too far apart are no partners.
+    The leader of a list is one of its sets that do not wait, the same in all lists
+    that hold it and another one each turn; sets of its own component and sets that
+    cannot link to it are no partners.
     """
-    lead = toks.where("not waits").groupBy("tok").agg(F.min(F.struct("n", "key", "comp")).alias("l"))
-    far = F.least(F.col("n"), F.col("l.n")) * 100 >= F.greatest(F.col("n"), F.col("l.n")) * PERCENT
-    met = toks.join(lead, "tok").where(far & (F.col("comp") != F.col("l.comp")))
-    votes = met.groupBy("key", F.col("l.key").alias("b")).agg(F.count("*").alias("v"))
+    lead = toks.where("not waits").groupBy("tok").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), "n", "key", "comp", "s", "at", *BITS)).alias("l"))
+    lead = lead.select("tok", "l.*").alias("l")
+    met = toks.alias("x").join(lead, F.col("x.tok") == F.col("l.tok"))
+    met = met.where(may_link("x", "l") & (F.col("x.comp") != F.col("l.comp")))
+    votes = met.groupBy(F.col("x.key").alias("key"), F.col("l.key").alias("b")).agg(F.count("*").alias("v"))
     best = votes.groupBy("key").agg(F.max(F.struct("v", "b")).alias("m"))
     return best.select(F.least("key", "m.b").alias("a"), F.greatest("key", "m.b").alias("b")).distinct()
 
@@ -392,20 +443,25 @@ def links(sets: DataFrame) -> DataFrame:
     edges = sets.sparkSession.createDataFrame([], "a long, b long")
     comps = sets.sparkSession.createDataFrame([], "node long, component long")
     live = stored(_open(toks, comps))
+    turn = 0
     while True:
-        found = stored(verified(_leaders(live), sets))
-        if found.isEmpty():
+        tried = stored(_leaders(live, turn))
+        turn += 1
+        found = stored(verified(tried, sets))
+        hits = found.count()
+        if hits == 0:
             break
         edges = edges.unionByName(found)
         comps = stored(connected_components(edges))
         live = stored(_open(toks, comps))
+        if 8 * hits < tried.count():  # what is left links rarely: compare it pair by pair
+            break
     x, y = live.alias("x"), live.alias("y")
-    near = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT) & (
-        ~F.col("x.waits") | ~F.col("y.waits")
-    )
+    near = may_link("x", "y") & (~F.col("x.waits") | ~F.col("y.waits"))
+    ordered = F.col("x.early") & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
     rest = (
         x.join(y, F.col("x.tok") == F.col("y.tok"))
-        .where((F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & near)
+        .where(ordered & (F.col("x.comp") != F.col("y.comp")) & near)
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         .distinct()
     )

@@ -33,8 +33,8 @@ from .common import BYTE_CODES, STEP, U64, binary_rows, column_bytes, mix, piece
 
 LENGTH = 200
 GRAM = 32
-SEGMENT = 1 << 21  # bytes of one text handled at once
-CHUNK_BYTES = 24 << 20
+SEGMENT = 1 << 18  # bytes of one text handled at once
+CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20  # text whose stretches one bucket of keys holds
 LEAST_BUCKETS = 64
 BWT_BYTES = 1 << 20  # stretch bytes in one transform
@@ -353,7 +353,7 @@ def _collect(buckets: int, hot: list[np.ndarray], factor: int):
     def run(batches):
         held, passed, texts, size = [], [], {}, 0
         for batch in batches:
-            for piece in pieces(batch, "t"):
+            for piece in pieces(batch, "t", SEGMENT):
                 names = np.asarray(piece.column("dk"))
                 fresh = [i for i, k in enumerate(names.tolist()) if k not in texts and not texts.update({k: len(texts)})]
                 if not fresh:

@@ -38,6 +38,7 @@ BLOCK, LANES, SCALE = 16_384, 32, 20
 LOW = U64(1 << 31)
 SEGMENT_TOKENS = 2_000_000
 END_ID = 2
+WORD_BYTES = 2 << 20  # text whose new words are encoded together
 CACHE_WORDS = 1_200_000
 NO_ID = -(1 << 63)  # stands for a null document id
 
@@ -269,7 +270,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
             )
 
         for batch in batches:
-            for piece in pieces(batch, "t"):
+            for piece in pieces(batch, "t", WORD_BYTES):
                 got = enc.encode_many([x or "" for x in piece.column("t").to_pylist()])
                 for name, body in zip(piece.column("i").to_pylist(), got, strict=True):
                     names.append(NO_ID if name is None else name)
