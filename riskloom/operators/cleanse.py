@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from riskloom import config
 from riskloom import functions as RF
-from riskloom.config import StageConfig, stage_config
+from riskloom.config import Stage
 from riskloom.functions.core import cleanse_text_sql, tolerant_number_sql
 from riskloom.operators.contracts import require_columns
 
@@ -48,12 +48,12 @@ def is_labelled(status: Column) -> Column:
     return F.coalesce(status.isin(config.LABEL_POSITIVE_STATUS, config.LABEL_NEGATIVE_STATUS), F.lit(False))
 
 
-def normalize_reservations(raw: DataFrame, cfg: StageConfig | None = None) -> DataFrame:
+def normalize_reservations(raw: DataFrame, cfg: Stage | None = None) -> DataFrame:
     """Raw all-string rows -> typed, labelled canonical rows.
 
     Non-string pass-through columns (e.g. a stable ``reservation_id``) are kept.
     """
-    cfg = cfg or stage_config()
+    cfg = cfg or config.stage()
     df = parse_numbers(cleanse_strings(raw), config.RAW_NUMERIC_COLUMNS)
     status = F.col("ReservationStatus")
     excluded = ~is_labelled(status)
@@ -82,7 +82,7 @@ def normalize_reservations(raw: DataFrame, cfg: StageConfig | None = None) -> Da
 
 
 
-def normalize_snapshot(snapshot: DataFrame, cfg: StageConfig) -> DataFrame:
+def normalize_snapshot(snapshot: DataFrame, cfg: Stage) -> DataFrame:
     """As-of-cutoff snapshot rows -> typed, labelled rows of one stage.
 
     Raises if required columns are missing (checked at plan time) or if the
@@ -128,7 +128,7 @@ def utc_ntz(spark, ts: Column) -> Column:
     return _utc_wall_clock(spark, ts).cast("timestamp_ntz")
 
 
-def require_stage_rows(df: DataFrame, cfg: StageConfig) -> DataFrame:
+def require_stage_rows(df: DataFrame, cfg: Stage) -> DataFrame:
     """Fail when a stage filter left nothing (reads at most one row)."""
     if df.isEmpty():
         raise ValueError(f"Snapshot dataset does not contain rows for stage '{cfg.name}'.")

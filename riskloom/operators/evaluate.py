@@ -2,10 +2,10 @@
 top-K capture, calibration and model comparison.
 
 All metrics are computed per ``by`` group (e.g. model) from distributed
-aggregates.  Curve metrics first collapse rows into tie groups
-``(by, score) -> (positives, negatives)`` with a partial hash aggregate, then
-take bucketed prefix sums (:mod:`riskloom.operators.ranking`) over the tie
-groups, so no step sorts the whole input in one task.
+aggregates.  One scan collapses rows into tie groups ``(by, score) -> (rows,
+positives, negatives)``; distributed prefix sums over these groups
+(:mod:`riskloom.operators.ranking`) give every metric.  Single rows are ranked
+only inside groups that a top-K cut or a calibration border crosses.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from riskloom import config
 from riskloom.functions import safe_ratio
-from riskloom.operators.ranking import _bounded_side, global_rank, prefix_sums
+from riskloom.operators.ranking import global_rank, prefix_sums
+from riskloom.session import stored
 
 ROUND = 9  # order-dependent float sums are rounded so they do not depend on summation order
 
@@ -50,51 +51,61 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float, by: Seque
 
 
 def tie_groups(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Collapse rows into (by, score) groups with positive / negative counts."""
-    return df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(
+    """(by, score) groups with their rows and their positive / negative counts.
+
+    Null scores are a group of their own.  A partial hash aggregate makes them, so a
+    score that very many rows share reaches the shuffle as one row for each task.
+    """
+    return df.groupBy(*by, score).agg(
+        F.count(F.lit(1)).cast("bigint").alias("rows"),
         F.count_if(_pos(label)).cast("bigint").alias("pos"),
         F.count_if(~_pos(label)).cast("bigint").alias("neg"),
     )
 
 
-def curve_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """ROC-AUC (Mann-Whitney over tie groups, null with one class; A18) and
-    step-wise average precision (A19; 0 without positives), per ``by`` group.
+def ranked_groups(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """Tie groups with running sums from the lowest score up, and the group totals.
 
-    AUC numerator is exact in decimal(38,0): 2*sum(pos*neg_below) + sum(pos*neg).
+    The one expensive step of the curve metrics, the top-K table and the calibration: one
+    scan, one aggregate, one pass of prefix sums over the groups.  Null scores come last.
+    ``*_le`` are sums up to and with a group; ``*_all`` those of its ``by`` group.
     """
-    by = list(by)
-    groups = tie_groups(df, label, score, by)
-    asc = prefix_sums(groups, order=[(score, True)], sums=["neg"], by=by, suffix="_le")
-    auc = asc.groupBy(*by).agg(
-        F.sum(
-            (2 * (F.col("neg_le") - F.col("neg")).cast("decimal(38,0)") + F.col("neg").cast("decimal(38,0)"))
-            * F.col("pos").cast("decimal(38,0)")
-        ).alias("_auc_num"),
-        F.sum("pos").alias("_p"),
-        F.sum("neg").alias("_n"),
-    )
-    desc = prefix_sums(groups, order=[(score, False)], sums=["pos", "neg"], by=by, suffix="_ge")
-    ap = desc.groupBy(*by).agg(
-        F.sum(F.col("pos") * F.col("pos_ge") / (F.col("pos_ge") + F.col("neg_ge"))).alias("_ap_num"),
-        F.sum("pos").alias("_p2"),
-    )
-    joined = auc.join(ap, by) if by else auc.unionByName(ap, allowMissingColumns=True).agg(
-        *[F.max(c).alias(c) for c in ("_auc_num", "_p", "_n", "_ap_num", "_p2")]
-    )
-    both = (F.col("_p") > 0) & (F.col("_n") > 0)
-    return joined.select(
-        *by,
-        F.when(both, F.col("_auc_num").cast("double") / (2.0 * F.col("_p").cast("double") * F.col("_n").cast("double")))
-        .alias("roc_auc"),
-        F.when(F.col("_p2") > 0, F.round(F.col("_ap_num") / F.col("_p2"), ROUND)).otherwise(F.lit(0.0)).alias("pr_auc"),
+    up = stored(prefix_sums(tie_groups(df, label, score, by), [(score, True)], ["rows", "pos", "neg"], by, "_le"))
+    total = up.groupBy(*by).agg(
+        *[F.sum(c).alias(f"{c}_all") for c in ("rows", "pos", "neg")],
+        F.sum(F.when(F.col(score).isNull(), F.col("rows"))).alias("unscored"),
     )
+    return null_safe_join(up, total, by)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that keeps the null group; ``keys`` appear once."""
+    right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for i, c in enumerate(keys):
+        one = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        cond = one if i == 0 else cond & one
+    return left.join(right, cond, how).drop(*[f"_r_{c}" for c in keys])
+
 
+def curve_sums(score: str) -> list[Column]:
+    """Aggregates over ranked groups: ROC-AUC numerator, average precision, squared error.
 
-def brier(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean squared error of the score against the 0/1 label."""
-    err = F.col(label).cast("double") - F.col(score)
-    return df.groupBy(*by).agg(F.round(F.avg(err * err), ROUND).alias("brier_score"))
+    The AUC numerator is exact in decimal(38,0): 2*sum(pos*neg_below) + sum(pos*neg).
+    """
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    scored = F.col(score).isNotNull()
+    # Sums from the highest score down follow from those up; unscored rows are no part of a curve.
+    pos_ge = F.col("pos_scored") - F.col("pos_le") + F.col("pos")
+    neg_ge = F.col("neg_scored") - F.col("neg_le") + F.col("neg")
+    err = F.col("pos") * (1 - F.col(score)) * (1 - F.col(score)) + F.col("neg") * F.col(score) * F.col(score)
+    return [
+        F.sum(F.when(scored, (2 * (exact("neg_le") - exact("neg")) + exact("neg")) * exact("pos"))).alias("_auc"),
+        F.sum(F.when(scored & (F.col("pos") > 0), F.col("pos") * pos_ge / (pos_ge + neg_ge))).alias("_ap"),
+        F.sum(F.when(scored, err)).alias("_err"),
+        F.sum(F.when(scored, F.col("pos"))).alias("_p"),
+        F.sum(F.when(scored, F.col("neg"))).alias("_n"),
+    ]
 
 
 METRIC_COLUMNS = (
@@ -106,17 +117,45 @@ METRIC_COLUMNS = (
 def classification_metrics(
     df: DataFrame, label: str, score: str, threshold: float = config.ACTION_THRESHOLD, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Full metric record per ``by`` group."""
+    """Metric record per ``by`` group (A15-A20), all from one table of ranked tie groups.
+
+    ROC-AUC is null with one class (A18), average precision 0 without positives (A19).
+    """
+    if not by:
+        one = classification_metrics(df.withColumn("_all", F.lit("all")), label, score, threshold, ["_all"])
+        return one.drop("_all")
     by = list(by)
-    cm = confusion(df, label, score, threshold, by)
-    cur = curve_metrics(df, label, score, by)
-    br = brier(df, label, score, by)
-    if by:
-        out = cm.join(cur, by).join(br, by)
-    else:
-        out = cm.unionByName(cur, allowMissingColumns=True).unionByName(br, allowMissingColumns=True)
-        out = out.agg(*[F.max(c).alias(c) for c in out.columns])
-    return out.select(*by, *METRIC_COLUMNS)
+    groups = ranked_groups(df, label, score, by)
+    hidden = groups.where(F.col(score).isNull()).select(*by, F.col("pos").alias("_hp"), F.col("neg").alias("_hn"))
+    groups = null_safe_join(groups, hidden, by, "left").withColumns(
+        {
+            "pos_scored": F.col("pos_all") - F.coalesce("_hp", F.lit(0)),
+            "neg_scored": F.col("neg_all") - F.coalesce("_hn", F.lit(0)),
+        }
+    )
+    above = F.col(score) >= threshold
+    sums = groups.groupBy(*by).agg(
+        *curve_sums(score),
+        F.coalesce(F.sum(F.when(above, F.col("pos"))), F.lit(0)).alias("true_positives"),
+        F.coalesce(F.sum(F.when(above, F.col("neg"))), F.lit(0)).alias("false_positives"),
+        F.coalesce(F.sum(F.when(~above, F.col("neg"))), F.lit(0)).alias("true_negatives"),
+        F.coalesce(F.sum(F.when(~above, F.col("pos"))), F.lit(0)).alias("false_negatives"),
+    )
+    both = (F.col("_p") > 0) & (F.col("_n") > 0)
+    tp, fp, fn = (F.col(c) for c in ("true_positives", "false_positives", "false_negatives"))
+    return sums.select(
+        *by,
+        F.when(both, F.col("_auc").cast("double") / (2.0 * F.col("_p").cast("double") * F.col("_n").cast("double")))
+        .alias("roc_auc"),
+        F.when(F.col("_p") > 0, F.round(F.col("_ap") / F.col("_p"), ROUND)).otherwise(F.lit(0.0)).alias("pr_auc"),
+        safe_ratio(tp, tp + fp).alias("precision"),
+        safe_ratio(tp, tp + fn).alias("recall"),
+        safe_ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        F.round(F.try_divide(F.col("_err"), F.col("_p") + F.col("_n")), ROUND).alias("brier_score"),
+        F.lit(float(threshold)).alias("threshold"),
+        (tp + fp).alias("actioned_count"),
+        "true_positives", "false_positives", "true_negatives", "false_negatives",
+    )
 
 
 def threshold_sweep(
@@ -170,31 +209,42 @@ def top_k_capture(
             df.withColumn("_all", F.lit("all")), label, score, tie_break, top_k, top_percent, ["_all"]
         ).drop("_all")
     by = list(by)
-    ranked = global_rank(
-        df.select(*by, label, score, *tie_break),
-        order=[(score, False), *[(c, True) for c in tie_break]],
-        by=by,
-        rank_col="_r",
+    groups = ranked_groups(df, label, score, by)
+    # From the top: scored groups by falling score, then the unscored one.
+    hidden = F.col(score).isNull()
+    seen = F.coalesce("unscored", F.lit(0))
+    upto = F.when(hidden, F.col("rows_all")).otherwise(F.col("rows_all") - seen - F.col("rows_le") + F.col("rows"))
+    groups = groups.withColumns({"_upto": upto, "_above": upto - F.col("rows"), "_n": F.col("rows_all"), "_p": F.col("pos_all")})
+    names = [f"top_{k}" for k in top_k] + [f"top_{int(round(p * 100))}pct" for p in top_percent]
+    cuts = groups.withColumn("_cut", F.expr(f"array({', '.join(_cut_sql(n) for n in names)})"))
+    # A group is taken whole, not at all, or cut: only rows of cut groups are ranked one by one.
+    whole = cuts.groupBy(*by, "_n", "_p").agg(
+        *[F.sum(F.when(F.col("_upto") <= F.col("_cut")[i], F.col("pos")).otherwise(0)).alias(f"_w{i}") for i in range(len(names))]
+    )
+    is_cut = F.lit(False)
+    for i in range(len(names)):
+        is_cut = is_cut | ((F.col("_above") < F.col("_cut")[i]) & (F.col("_cut")[i] < F.col("_upto")))
+    split = cuts.where(is_cut).select(*by, score, "_above", "_cut")
+    inside = null_safe_join(df.select(*by, label, score, *tie_break), split, [*by, score])
+    ranked = global_rank(inside, [(c, True) for c in tie_break], [*by, score], "_r")
+    place = F.col("_above") + F.col("_r")
+    # A group below a cut has its rows beyond it; one that is whole for a cut was counted above.
+    rows_above = cuts.where(is_cut).select(*by, score, "_upto")
+    ranked = null_safe_join(ranked, rows_above, [*by, score])
+    part = ranked.groupBy(*by).agg(
+        *[
+            F.count_if((F.col("_upto") > F.col("_cut")[i]) & (place <= F.col("_cut")[i]) & _pos(label)).alias(f"_s{i}")
+            for i in range(len(names))
+        ]
+    )
+    captured = null_safe_join(whole, part, by, "left").select(
+        *by, "_n", "_p", *[(F.col(f"_w{i}") + F.coalesce(f"_s{i}", F.lit(0))).alias(f"_c{i}") for i in range(len(names))]
     )
-    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_if(_pos(label)).alias("_p"))
-    cuts: list[tuple[str, Column]] = [(f"top_{k}", F.least(F.lit(k), F.col("_n"))) for k in top_k]
-    cuts += [
-        (f"top_{int(round(p * 100))}pct", F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(p)))) for p in top_percent
-    ]
-    # one row per group: materialised once, broadcast only under the row bound
-    per = ranked.join(_bounded_side(totals), by)
-    aggs = []
-    for i, (_, cut) in enumerate(cuts):
-        aggs.append(F.count_if((F.col("_r") <= cut) & _pos(label)).alias(f"_c{i}"))
-    captured = per.groupBy(*by, "_n", "_p").agg(*aggs)
     stack = "stack({n}, {rows}) as (segment, selected_count, captured_no_show)".format(
-        n=len(cuts),
-        rows=", ".join(
-            f"'{name}', CAST({_cut_sql(name)} AS BIGINT), _c{i}" for i, (name, _) in enumerate(cuts)
-        ),
+        n=len(names),
+        rows=", ".join(f"'{name}', CAST({_cut_sql(name)} AS BIGINT), _c{i}" for i, name in enumerate(names)),
     )
-    long = captured.selectExpr(*by, "_p", stack)
-    return long.select(
+    return captured.selectExpr(*by, "_p", stack).select(
         *by,
         "segment",
         F.col("selected_count").cast("bigint").alias("selected_count"),
@@ -229,28 +279,39 @@ def calibration(
     if not by:
         return calibration(df.withColumn("_all", F.lit("all")), label, score, tie_break, bins, ["_all"]).drop("_all")
     by = list(by)
-    ranked = global_rank(
-        df.select(*by, label, score, *tie_break),
-        order=[(score, True), *[(c, True) for c in tie_break]],
-        by=by,
-        rank_col="_r",
-    )
-    stats = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        (F.min(score) < F.max(score)).alias("_varied"),
-    )
-    per = ranked.join(_bounded_side(stats), by)
-    q = F.least(F.lit(bins), F.col("_n"))
-    num = (F.col("_r") - 1) * q
-    den = F.col("_n") - 1
-    ceil_div = F.when(den > 0, F.floor((num + den - 1) / den))
-    bin_ = F.when(F.col("_varied"), F.greatest(F.lit(0), ceil_div - 1)).otherwise(F.lit(0))
+    groups = ranked_groups(df, label, score, by)
+    varied = groups.where(F.col(score).isNotNull()).groupBy(*by).agg((F.count(F.lit(1)) > 1).alias("_varied"))
+    groups = null_safe_join(groups, varied, by, "left").withColumn("_first", F.col("rows_le") - F.col("rows") + 1)
+    n = F.col("rows_all")
+    q = F.least(F.lit(bins), n)
+
+    def bin_of(rank: Column) -> Column:
+        num, den = (rank - 1) * q, n - 1
+        ceil_div = F.when(den > 0, F.floor((num + den - 1) / den))
+        return F.when(F.coalesce("_varied", F.lit(False)), F.greatest(F.lit(0), ceil_div - 1)).otherwise(F.lit(0)).cast("bigint")
+
+    groups = groups.withColumns({"_lo": bin_of(F.col("_first")), "_hi": bin_of(F.col("rows_le"))})
+    scored = F.col(score).isNotNull()
+    whole = groups.where("_lo = _hi").select(
+        *by, F.col("_lo").alias("bin"), F.col("rows").alias("_k"), "pos",
+        F.when(scored, F.col("rows")).otherwise(0).alias("_ks"), (F.col(score) * F.col("rows")).alias("_s"),
+    )
+    # Only rows of groups that a bin's border crosses are ranked one by one.
+    split = groups.where("_lo < _hi").select(*by, score, "_first", "rows_all", "_varied")
+    inside = null_safe_join(df.select(*by, label, score, *tie_break), split, [*by, score])
+    ranked = global_rank(inside, [(c, True) for c in tie_break], [*by, score], "_r")
+    part = ranked.select(
+        *by, bin_of(F.col("_first") + F.col("_r") - 1).alias("bin"), F.lit(1).cast("bigint").alias("_k"),
+        F.when(_pos(label), 1).otherwise(0).cast("bigint").alias("pos"),
+        F.when(scored, 1).otherwise(0).cast("bigint").alias("_ks"), F.col(score).alias("_s"),
+    )
     return (
-        per.groupBy(*by, bin_.cast("bigint").alias("bin"))
+        whole.unionByName(part)
+        .groupBy(*by, "bin")
         .agg(
-            F.count(F.lit(1)).cast("bigint").alias("sample_count"),
-            F.round(F.avg(score), ROUND).alias("mean_predicted_probability"),
-            (F.count_if(_pos(label)) / F.count(F.lit(1))).alias("observed_positive_rate"),
+            F.sum("_k").cast("bigint").alias("sample_count"),
+            F.round(F.try_divide(F.sum("_s"), F.sum("_ks")), ROUND).alias("mean_predicted_probability"),
+            (F.sum("pos") / F.sum("_k")).alias("observed_positive_rate"),
         )
         .orderBy(*by, "bin")
     )

@@ -47,31 +47,32 @@ def entity_view(
     model_version: str | None = None,
     keys=("reservation_key", "source_file", "source_row_number"),
     join_on_id: str | None = None,
+    numbered: bool = True,
 ) -> DataFrame:
-    """One model's scored rows joined onto the entities with a dense id.
+    """One model's scored rows joined onto the entities.
 
     The join is a right outer join on the natural ``keys``; overlapping right
     columns get a ``_prediction`` suffix.  When both sides carry a stable entity
     id that the natural keys determine one-to-one, ``join_on_id`` joins on that
-    id alone: same rows, and the join reuses both sides' existing hash
-    partitioning by id instead of re-shuffling them on the natural keys.
+    id alone.
 
-    The id runs 1..n in (source_file, source_row_number) order; it is computed
-    by the bucketed global rank, never by a single-partition window.
+    ``numbered`` adds the dense id 1..n in (source_file, source_row_number) order,
+    which lays the rows out once.  Reports do not need it, and a page numbers only
+    its own rows (``numbered_page``).
     """
     keys = list(keys)
     if join_on_id:
-        left = clean.drop(*keys)
-        merged = right_join_suffixed(left, model_predictions, [join_on_id]).drop(join_on_id)
+        view = right_join_suffixed(clean.drop(*keys), model_predictions, [join_on_id]).drop(join_on_id)
     else:
-        merged = right_join_suffixed(clean.drop("reservation_id"), model_predictions.drop("reservation_id"), keys)
-    ranked = global_rank(
-        merged, order=[("source_row_number", True)], by=["source_file"], rank_col="reservation_id", continuous=True
-    )
+        view = right_join_suffixed(clean.drop("reservation_id"), model_predictions.drop("reservation_id"), keys)
+    if numbered:
+        view = global_rank(
+            view, order=[("source_row_number", True)], by=["source_file"], rank_col="reservation_id", continuous=True
+        )
     version = F.col("model_version")
     if model_version:
         version = F.coalesce(version, F.lit(model_version))
-    return ranked.withColumns(
+    return view.withColumns(
         {
             "risk_class": F.coalesce(F.col("risk_class"), F.lit("unscored")),
             "model_name": F.lit(model_name),
@@ -80,6 +81,35 @@ def entity_view(
     )
 
 
+def numbered_page(view: DataFrame, page: DataFrame) -> DataFrame:
+    """``page`` (at most ``MAX_PAGE_SIZE`` rows of ``view``) with the dense ids of its rows.
+
+    A row's id is the number of view rows up to it in (source_file,
+    source_row_number) order: one pass counts them for all rows of the page.
+    """
+    rows = page.collect()
+    if len(rows) > MAX_PAGE_SIZE:
+        raise ValueError(f"a page has at most {MAX_PAGE_SIZE} rows")
+    schema = page.schema.add("reservation_id", "long")
+    if not rows:
+        return page.sparkSession.createDataFrame([], schema)
+    file, number = F.col("source_file"), F.col("source_row_number")
+    upto = [
+        F.count_if(
+            file.isNull() | (file < F.lit(r["source_file"])) | ((file == F.lit(r["source_file"])) & (number <= r["source_row_number"]))
+        )
+        for r in rows
+    ]
+    ids = view.agg(F.array(*upto).alias("ids")).first()["ids"]
+    return page.sparkSession.createDataFrame([(*r, i) for r, i in zip(rows, ids, strict=True)], schema)
+
+
+def artifact_order(with_arrival: bool = True) -> list[Column]:
+    """Score desc, arrival desc, then the dense id ascending, told by what it numbers."""
+    arrival = [F.col("arrival_date").desc_nulls_last()] if with_arrival else []
+    return [F.col("score").desc_nulls_last(), *arrival, F.col("source_file").asc(), F.col("source_row_number").asc()]
+
+
 def apply_filters(
     df: DataFrame,
     property_id: str | None = None,

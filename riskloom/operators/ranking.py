@@ -1,67 +1,97 @@
 """Distributed global ranks and prefix sums.
 
-A window without ``partitionBy`` pulls every row into one task.  Instead:
-
-1. ``approxQuantile`` (bounded memory, one pass) gives split points of the
-   leading numeric sort column.  A value that owns more than one quantile
-   slot is a *hot tie group*; it gets an isolated bucket ``[v, nextafter(v))``.
-2. ``Bucketizer`` (JVM binary search) assigns each row a bucket.  The bucket
-   is a pure function of the row's values, so a recomputed task assigns the
-   same bucket (no ``spark_partition_id``, no randomness).
-3. Hot buckets are split again by the tie-break column (quantiles of that
-   column over the hot rows, second ``Bucketizer``); inside an isolated bucket
-   the leading value is constant, so the sub-split keeps the total order.
-4. ``row_number`` runs inside each (group, bucket, sub-bucket) window; the
-   tiny per-bucket count table gets a prefix sum and joins back.
-
-The count table has at most ``groups x (buckets + hot splits)`` rows; it is
-broadcast only below an explicit row bound, otherwise shuffled.
+A window without ``partitionBy`` pulls every row into one task, and a window by
+group pulls a large group into one.  Instead rows are range-partitioned by the
+group and *all* order columns and sorted, and written once with the partition
+number and the place in the partition.  Then
+
+    rank = rows of the group in earlier partitions + place in this one.
+
+The counts by partition and group are one row for each partition and one for
+each further group in it; they are summed in partition order and joined back.
+Groups and order values may be null; a value held by very many rows is split like
+any other, because the remaining order columns divide it.  No row reaches the
+driver, and there is no switch between plans.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROW_BOUND = 200_000
+from riskloom.session import stored
 
+_PLACE = (1 << 33) - 1  # bits of monotonically_increasing_id that count inside a partition
 
-MAX_DEFAULT_BUCKETS = 16_384
 
+def _partitions(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
-def _default_buckets(df: DataFrame) -> int:
-    """Four buckets per shuffle partition, capped so the offset table stays small."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(MAX_DEFAULT_BUCKETS, 4 * parts))
 
+def _order_cols(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_last() for c, asc in order]
 
-def _splits(values: list[float]) -> tuple[list[float], set[float]]:
-    """Strictly increasing split list with hot values isolated."""
-    seen: dict[float, int] = {}
-    for v in values:
-        if v is not None and not math.isnan(v):
-            seen[v] = seen.get(v, 0) + 1
-    hot = {v for v, n in seen.items() if n > 1}
-    points = set(seen)
-    for v in hot:
-        points.add(math.nextafter(v, math.inf))
-    return [-math.inf, *sorted(p for p in points if math.isfinite(p)), math.inf], hot
 
+def _laid_out(df: DataFrame, order: Sequence[tuple[str, bool]], by: Sequence[str], partitions: int) -> DataFrame:
+    """``df`` in (group, order) sequence with ``_rk_part`` and ``_rk_place``, stored.
 
-def _bounded_side(small: DataFrame) -> DataFrame:
-    """Materialise a statistics table once; broadcast it only under the row bound."""
-    rows = small.limit(BROADCAST_ROW_BOUND + 1).collect()
-    if len(rows) > BROADCAST_ROW_BOUND:
-        return small  # too many cells: shuffle join, recomputed from the plan
-    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+    What is read back is fixed, so a lost executor costs a re-read and never
+    another layout.
+    """
+    keys = [*[F.col(c).asc_nulls_first() for c in by], *_order_cols(order)]
+    mid = F.monotonically_increasing_id()
+    return stored(
+        df.repartitionByRange(partitions, *keys)
+        .sortWithinPartitions(*keys)
+        .select("*", mid.alias("_rk_mid"))
+        .select("*", F.shiftright("_rk_mid", 33).alias("_rk_part"), F.col("_rk_mid").bitwiseAND(F.lit(_PLACE)).alias("_rk_place"))
+        .drop("_rk_mid")
+    )
 
 
-def _order_cols(order: Sequence[tuple[str, bool]]) -> list[Column]:
-    return [F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_last() for c, asc in order]
+def _with_earlier(rows: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join per-cell values back on (partition, group), null groups included."""
+    side = cells.select(*[F.col(c).alias(f"_rk_c_{c}") for c in by], F.col("_rk_part").alias("_rk_c_part"), *[
+        c for c in cells.columns if c not in (*by, "_rk_part")
+    ])
+    cond = F.col("_rk_part") == F.col("_rk_c_part")
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_rk_c_{c}"))
+    return rows.join(side, cond).drop("_rk_c_part", *[f"_rk_c_{c}" for c in by])
+
+
+_BLOCK = 64  # partitions whose counts are summed together where there is no group
+
+
+def _sums_before(cells: DataFrame, sums: dict[str, str], by: Sequence[str], partitions: int) -> DataFrame:
+    """Cells with, for each column of ``sums``, its sum over earlier partitions (new name: value).
+
+    Within a group that is a window over the group's cells.  Without one, blocks of
+    partitions are summed in windows of their own, and block totals are dealt to
+    all later blocks, so no step gathers all cells in one task.
+    """
+    earlier = lambda *keys: Window.partitionBy(*keys).orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)
+    if by:
+        w = earlier(*by)
+        return cells.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for c, n in sums.items()])
+    blocks = partitions // _BLOCK + 1
+    cells = cells.withColumn("_rk_block", F.floor(F.col("_rk_part") / _BLOCK).cast("int"))
+    totals = cells.groupBy("_rk_block").agg(*[F.sum(c).alias(f"_rk_s_{c}") for c in sums])
+    later = totals.withColumn("_rk_later", F.explode(F.sequence(F.col("_rk_block") + 1, F.lit(blocks))))
+    ahead = later.groupBy(F.col("_rk_later").alias("_rk_block")).agg(
+        *[F.sum(f"_rk_s_{c}").alias(f"_rk_e_{c}") for c in sums]
+    )
+    w = earlier("_rk_block")
+    out = cells.join(ahead, "_rk_block", "left").select(
+        *cells.columns,
+        *[
+            (F.coalesce(F.sum(c).over(w), F.lit(0)) + F.coalesce(f"_rk_e_{c}", F.lit(0))).alias(n)
+            for c, n in sums.items()
+        ],
+    )
+    return out.drop("_rk_block")
 
 
 def global_rank(
@@ -70,74 +100,23 @@ def global_rank(
     by: Sequence[str] = (),
     rank_col: str = "rank",
     continuous: bool = False,
-    buckets: int | None = None,
-    materialize: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add ``rank_col`` = 1-based ``row_number`` in ``order`` within each ``by`` group.
 
-    ``order`` is a list of (column, ascending); the first column must be
-    numeric (it drives the buckets); the rest break ties and must make the
-    order total.  With ``continuous`` the numbering runs across the ``by``
-    groups in ascending group order instead of restarting.
-
-    The input is read by the quantile pass, the count pass and the final
-    window.  ``materialize`` writes it once as a reliable checkpoint in the
-    shared checkpoint folder first: worth it when the input is an expensive
-    plan (wide joins) rather than a scan.
+    ``order`` is a list of (column, ascending), nulls last; together with the group
+    it must be total.  With ``continuous`` the numbering runs on across the groups
+    in ascending group order (null group first) instead of restarting.
     """
     by = list(by)
-    if materialize:
-        from riskloom.session import checkpoint
-
-        df = checkpoint(df)
-    lead, lead_asc = order[0]
-    buckets = buckets or _default_buckets(df)
-    probs = [i / buckets for i in range(1, buckets)]
-    lead_val = F.col(lead).cast("double")
-    keyed = df.withColumn("_rk_lead", lead_val if lead_asc else -lead_val)
-    quantiles = keyed.approxQuantile("_rk_lead", probs, 1.0 / (4 * buckets)) if probs else []
-    splits, hot = _splits(quantiles)
-    bucketizer = Bucketizer(splits=splits, inputCol="_rk_lead", outputCol="_rk_b", handleInvalid="keep")
-    staged = bucketizer.transform(keyed.withColumn("_rk_lead", F.coalesce(F.col("_rk_lead"), F.lit(float("nan")))))
-    staged = staged.withColumn("_rk_b", F.col("_rk_b").cast("int"))
-
-    # Split isolated hot buckets by the tie-break column.  Inside a hot bucket
-    # the leading value is constant, so splitting by the tie column keeps the
-    # total order; one set of tie-column quantiles (over hot rows only) serves
-    # every hot bucket through a second JVM Bucketizer.
-    if hot and len(order) > 1:
-        tie, tie_asc = order[1]
-        split_points = bucketizer.getSplits()
-        hot_buckets = [split_points.index(v) for v in sorted(hot)]
-        is_hot = F.col("_rk_b").isin(hot_buckets)
-        sub_n = max(2, min(256, buckets))
-        tie_val = F.col(tie).cast("double") if tie_asc else -F.col(tie).cast("double")
-        staged = staged.withColumn("_rk_t", F.when(is_hot, tie_val))
-        tq = staged.filter(is_hot).approxQuantile("_rk_t", [i / sub_n for i in range(1, sub_n)], 1.0 / (4 * sub_n))
-        tie_splits, _ = _splits(tq)
-        staged = Bucketizer(splits=tie_splits, inputCol="_rk_t", outputCol="_rk_s", handleInvalid="keep").transform(
-            staged.withColumn("_rk_t", F.coalesce(F.col("_rk_t"), F.lit(float("nan"))))
-        )
-        staged = staged.withColumn("_rk_s", F.when(is_hot, F.col("_rk_s").cast("int")).otherwise(F.lit(0)))
-    else:
-        staged = staged.withColumn("_rk_s", F.lit(0))
-
-    cell = [*by, "_rk_b", "_rk_s"]
-    counts = staged.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rk_n"))
-    cum = Window.partitionBy(*by).orderBy("_rk_b", "_rk_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(cum), F.lit(0)))
-    if continuous and by:
-        group_tot = counts.groupBy(*by).agg(F.sum("_rk_n").alias("_rk_g"))
-        gcum = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        group_off = group_tot.withColumn("_rk_goff", F.coalesce(F.sum("_rk_g").over(gcum), F.lit(0))).drop("_rk_g")
-        offsets = offsets.join(group_off, by).withColumn("_rk_off", F.col("_rk_off") + F.col("_rk_goff"))
-    offsets = _bounded_side(offsets.select(*cell, "_rk_off"))
-    local = Window.partitionBy(*cell).orderBy(*_order_cols(order))
-    ranked = staged.withColumn("_rk_local", F.row_number().over(local))
-    return (
-        ranked.join(offsets, cell)
-        .withColumn(rank_col, (F.col("_rk_off") + F.col("_rk_local")).cast("bigint"))
-        .drop("_rk_lead", "_rk_b", "_rk_s", "_rk_local", "_rk_off", "_rk_t")
+    n = partitions or _partitions(df)
+    rows = _laid_out(df, order, by, n)
+    group = [] if continuous else by
+    cells = rows.groupBy("_rk_part", *group).agg(F.count(F.lit(1)).alias("_rk_n"), F.min("_rk_place").alias("_rk_first"))
+    cells = _sums_before(cells, {"_rk_n": "_rk_before"}, group, n).drop("_rk_n")
+    rank = F.col("_rk_before") + F.col("_rk_place") - F.col("_rk_first") + 1
+    return _with_earlier(rows, cells, group).withColumn(rank_col, rank.cast("bigint")).drop(
+        "_rk_part", "_rk_place", "_rk_first", "_rk_before"
     )
 
 
@@ -147,34 +126,17 @@ def prefix_sums(
     sums: Sequence[str],
     by: Sequence[str] = (),
     suffix: str = "_cum",
-    buckets: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` columns in a total ``order`` within ``by``.
 
-    Same bucketed scheme as :func:`global_rank`; rows must be unique in the order
-    (aggregate tie groups first).
+    Rows must be unique in the order (aggregate tie groups first).
     """
     by = list(by)
-    lead, lead_asc = order[0]
-    buckets = buckets or _default_buckets(df)
-    lead_val = F.col(lead).cast("double")
-    keyed = df.withColumn("_ps_lead", lead_val if lead_asc else -lead_val)
-    probs = [i / buckets for i in range(1, buckets)]
-    quantiles = keyed.approxQuantile("_ps_lead", probs, 1.0 / (4 * buckets)) if probs else []
-    splits, _ = _splits(quantiles)
-    staged = Bucketizer(splits=splits, inputCol="_ps_lead", outputCol="_ps_b", handleInvalid="keep").transform(
-        keyed.withColumn("_ps_lead", F.coalesce(F.col("_ps_lead"), F.lit(float("nan"))))
-    )
-    cell = [*by, "_ps_b"]
-    totals = staged.groupBy(*cell).agg(*[F.sum(c).alias(f"_ps_t_{c}") for c in sums])
-    cum = Window.partitionBy(*by).orderBy("_ps_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *cell, *[F.coalesce(F.sum(f"_ps_t_{c}").over(cum), F.lit(0)).alias(f"_ps_o_{c}") for c in sums]
-    )
-    offsets = _bounded_side(offsets)
-    local = Window.partitionBy(*cell).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = staged.select("*", *[F.sum(c).over(local).alias(f"_ps_l_{c}") for c in sums]).join(offsets, cell)
-    return out.select(
-        *[c for c in df.columns],
-        *[(F.col(f"_ps_o_{c}") + F.col(f"_ps_l_{c}")).alias(f"{c}{suffix}") for c in sums],
-    )
+    n = partitions or _partitions(df)
+    rows = _laid_out(df, order, by, n)
+    cells = rows.groupBy("_rk_part", *by).agg(*[F.sum(c).alias(f"_rk_t_{c}") for c in sums])
+    cells = _sums_before(cells, {f"_rk_t_{c}": f"_rk_o_{c}" for c in sums}, by, n).drop(*[f"_rk_t_{c}" for c in sums])
+    local = Window.partitionBy("_rk_part", *by).orderBy("_rk_place").rowsBetween(Window.unboundedPreceding, 0)
+    out = _with_earlier(rows.select("*", *[F.sum(c).over(local).alias(f"_rk_l_{c}") for c in sums]), cells, by)
+    return out.select(*df.columns, *[(F.col(f"_rk_o_{c}") + F.col(f"_rk_l_{c}")).alias(f"{c}{suffix}") for c in sums])

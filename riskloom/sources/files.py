@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.operators.ranking import _bounded_side
+from riskloom.session import stored
 
 
 def _fs_path(spark: SparkSession, path: str):
@@ -48,77 +48,118 @@ def all_string_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
 
 
+# Text fields as common CSV writers put them: quoted where needed, quotes doubled.
+CSV_RULES = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# A value that no field holds: so no text reads as a missing value.
+_NO_NULL = "\u0001no null\u0001"
+
+
 def header_columns(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the header line of one CSV file (reads one line)."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
+    """Column names of one CSV file, read by the same rules as its rows."""
+    df = spark.read.options(**CSV_RULES).option("multiLine", "true").csv(path)
+    if not df.columns:
         raise ValueError(f"Empty CSV file: {path}")
-    return [c.strip().strip('"') for c in first[0][0].split(",")]
+    return df.columns
+
+
+def _csv_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files under some paths: files as they are, folders by what they hold."""
+    out: list[str] = []
+    for path in paths:
+        fs, p = _fs_path(spark, path)
+        if fs.getFileStatus(p).isFile():
+            out.append(path)
+            continue
+        it = fs.listFiles(p, True)
+        while it.hasNext():
+            found = it.next().getPath()
+            if found.getName().endswith(".csv"):
+                out.append(found.toString())
+    return sorted(out)
+
+
+def _text_scan(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], multi_line: bool, base: str | None) -> DataFrame:
+    reader = (
+        spark.read.schema(all_string_schema(columns)).options(**CSV_RULES)
+        .option("multiLine", str(multi_line).lower())
+        .option("nullValue", _NO_NULL).option("emptyValue", "").option("mode", "PERMISSIVE")
+    )
+    if base:
+        reader = reader.option("basePath", base)
+    df = reader.csv(list(paths)).withColumns(
+        {"_file": F.col("_metadata.file_name"), "_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    )
+    # The parser hands an empty field on as null; here it is the empty text.
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in columns})
 
 
-# Sentinel that never occurs in data: keeps empty fields as "" (no implicit NA).
-_NO_NULL_TOKEN = "\u0000<no-null>\u0000"
+def read_snapshot_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A snapshot file: all text, its own key columns kept, no numbering."""
+    (path,) = require_inputs(spark, [path])
+    first = _csv_files(spark, [path])[0]
+    columns = header_columns(spark, first)
+    return _text_scan(spark, [path], columns, multi_line, None).select(*columns)
 
 
 def read_raw_csv(
     spark: SparkSession,
     paths: Sequence[str],
     columns: Sequence[str] | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
     source_col: str | None = None,
 ) -> DataFrame:
-    """CSV scan with every column as string and no implicit NA.
+    """CSV scan with every column as text and no implicit missing values.
 
-    Adds ``source_file`` (the file's base name, or ``source_col`` when the
-    logical source is a partition directory holding several part files), a
-    1-based ``source_row_number`` per source (S2) and
-    ``reservation_key = source_file:row``.  One multi-path scan.
+    Quoted commas, doubled quotes and line breaks in fields read as they were
+    written; an empty field is an empty text.  Files may order their columns
+    differently: files with one header are one scan, and scans meet by column
+    name.  ``columns`` skips the header pass when all files are known to agree.
+
+    ``multi_line=False`` lets Spark split large files; it is right only for
+    files whose fields hold no line breaks, which the caller must know.
+
+    Adds ``source_file`` (the file's base name, or the value of ``source_col``
+    when a source is a ``source_col=value`` folder of several files), a 1-based
+    ``source_row_number`` per source (S2) and ``reservation_key``.
     """
     paths = require_inputs(spark, sorted(paths))
-    if columns is None:
-        first = paths[0] if paths[0].endswith(".csv") else list_files(spark, paths[0])[0]
-        columns = header_columns(spark, first)
-    df = (
-        spark.read.schema(all_string_schema(columns))
-        .option("header", "true")
-        .option("multiLine", str(multi_line).lower())
-        .option("nullValue", _NO_NULL_TOKEN)
-        .option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false")
-        .csv(paths)
-    )
-    source = F.col(source_col) if source_col else F.col("_metadata.file_name")
-    df = df.select(
-        *[c for c in columns],
-        source.cast("string").alias("source_file"),
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    return number_rows_per_file(df)
+    if columns is not None:
+        groups = {tuple(columns): list(paths)}
+    else:
+        groups = {}
+        for f in _csv_files(spark, paths):  # one header line for each file
+            groups.setdefault(tuple(header_columns(spark, f)), []).append(f)
+    base = paths[0] if source_col and len(paths) == 1 else None
+    out = None
+    for names, files in groups.items():
+        df = _text_scan(spark, files, names, multi_line, base)
+        source = F.col(source_col) if source_col else F.col("_file")
+        df = df.select(
+            *names,
+            source.cast("string").alias("source_file"),
+            "_path",
+            "_block",
+            F.monotonically_increasing_id().alias("_mid"),
+        )
+        df = stored(df)  # one scan fixes both the rows and their places
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return number_rows_per_file(out)
 
 
 def number_rows_per_file(df: DataFrame) -> DataFrame:
     """1-based row number per ``source_file`` from (``_path``, ``_block``, ``_mid``).
 
-    Rows of one file split are contiguous in one task, so the position inside
-    the split is ``_mid - min(_mid)``; the per-split row counts (one row per
-    split: bounded by the number of splits, not rows) get a prefix sum in
-    (path, block) order per source.  Multi-line files are one split each.
+    Rows of one file split are contiguous in one task, so the place inside the
+    split is ``_mid - min(_mid)``; the splits' row counts (one row for each split)
+    are summed in (path, block) order per source and joined back.  The input must be
+    stored, so that both uses see the same places.
     """
-    splits = df.groupBy("source_file", "_path", "_block").agg(
-        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
+    cell = ["source_file", "_path", "_block"]
+    splits = df.groupBy(*cell).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     w = Window.partitionBy("source_file").orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _bounded_side(
-        splits.withColumn("_before", F.coalesce(F.sum("_rows").over(w), F.lit(0))).select(
-            "source_file", "_path", "_block", "_first", "_before"
-        )
-    )
-    out = df.join(offsets, ["source_file", "_path", "_block"])
+    offsets = splits.select(*cell, "_first", F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_before"))
     row = (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("bigint")
-    return out.select(
+    return df.join(offsets, cell).select(
         *[c for c in df.columns if c not in ("_path", "_block", "_mid")],
         row.alias("source_row_number"),
         F.concat(F.col("source_file"), F.lit(":"), row.cast("string")).alias("reservation_key"),
@@ -131,7 +172,7 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", "true").csv(path)
+        w.options(**CSV_RULES).option("emptyValue", "").csv(path)
     else:
         w.format(fmt).save(path)
 
@@ -145,9 +186,8 @@ def write_raw_csv_files(df: DataFrame, directory: str, file_col: str = "source_f
     cols = list(columns) or [c for c in df.columns if c != file_col]
     (
         df.select(*cols, file_col).write.mode("overwrite").partitionBy(file_col)
-        .option("header", "true")
-        .option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false")
+        .options(**CSV_RULES)
+        .option("emptyValue", "")
         .csv(directory)
     )
 
@@ -197,19 +237,43 @@ def read_artifact_clean(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns(cols)
 
 
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """A small JSON document as a folder with one text file, on any file system."""
+    spark.createDataFrame([(json.dumps(document, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_summary(spark: SparkSession, path: str) -> dict:
-    """Evaluation summary (S12): a small JSON document read through Spark."""
-    rows = spark.read.text(path, wholetext=True).limit(1).collect()
+    """A document of ``write_document`` (S12); empty if there is none."""
+    if not path_exists(spark, path):
+        return {}
+    rows = spark.read.text(path).limit(1).collect()
     return json.loads(rows[0][0]) if rows else {}
 
 
+def run_ids(spark: SparkSession, root: str) -> list[str]:
+    """Finished runs under ``root``, oldest first: a run is finished once its summary stands."""
+    fs, p = _fs_path(spark, root)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted(n for n in names if path_exists(spark, f"{root.rstrip('/')}/{n}/reports/{SUMMARY}"))
+
+
+SUMMARY = "evaluation_summary"
+
+
+def latest_run(spark: SparkSession, root: str) -> str | None:
+    """Folder of the newest finished run: a view by name, no copy of its files."""
+    ids = run_ids(spark, root)
+    return f"{root.rstrip('/')}/{ids[-1]}" if ids else None
+
+
 def recommended_model(summary: dict, default: str = "logistic_regression") -> tuple[str, str | None]:
     name = str(summary.get("recommended_model", default))
     return name, summary.get("models", {}).get(name, {}).get("model_version")
 
 
 def artifacts_exist(spark: SparkSession, root: str) -> bool:
-    """Artifact presence (S13): the summary and the clean dataset must both exist."""
-    return path_exists(spark, f"{root}/reports/evaluation_summary.json") and path_exists(
-        spark, f"{root}/datasets/reservations_clean"
-    )
+    """Whether a run under ``root`` left its summary and its clean dataset."""
+    run = latest_run(spark, root)
+    return run is not None and path_exists(spark, f"{run}/datasets/reservations_clean")

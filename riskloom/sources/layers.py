@@ -74,6 +74,45 @@ def prediction_layer(frames: Mapping[str, DataFrame], attach_keys=None) -> DataF
     )
 
 
+def clean_layer(clean: DataFrame, raw: DataFrame) -> DataFrame:
+    """Clean rows with the key of their raw row; a row without one is an error."""
+    require_resolved(clean, raw, "clean rows")
+    return clean.withColumn("raw_key", F.concat_ws(":", *NATURAL_KEY))
+
+
+LAYERS = ("import_batches", "reservations_raw", "reservations_clean", "reservation_features", "predictions")
+
+
+def append_run(
+    spark, store: str, raw: DataFrame, clean: DataFrame, features: DataFrame, predictions: Mapping[str, DataFrame],
+    feature_set_version: str, run_id: str, source_name: str = "source_files",
+) -> dict[str, int]:
+    """Append a run's rows to the five layers under ``store`` (S15-S19); rows by layer.
+
+    Each layer is a Parquet folder partitioned by run, so a rerun of the same run
+    replaces its own rows and no others.
+    """
+    for rows, what in ((features, "feature rows"), *((p, f"{n} predictions") for n, p in predictions.items())):
+        require_resolved(rows, clean, what)
+    frames = {
+        "import_batches": import_batch(raw, source_name, feature_set_version),
+        "reservations_raw": raw_layer(raw),
+        "reservations_clean": clean_layer(clean, raw),
+        "reservation_features": feature_layer(features),
+        "predictions": prediction_layer(predictions),
+    }
+    for name, df in frames.items():
+        kept = df.drop("scoring_run_id").withColumn("run_id", F.lit(run_id))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(
+            f"{store.rstrip('/')}/{name}"
+        )
+    return {name: read_layer(spark, store, name).where(F.col("run_id") == run_id).count() for name in LAYERS}
+
+
+def read_layer(spark, store: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{store.rstrip('/')}/{name}")
+
+
 def layer_counts(layers: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per layer (S20) in long form."""
     parts = [df.agg(F.lit(name).alias("layer"), F.count(F.lit(1)).cast("bigint").alias("row_count")) for name, df in layers.items()]

@@ -2,12 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom import config
-from riskloom.config import stage_config
+from riskloom.config import stage
 from riskloom.operators import cleanse, contracts, features
 from tests.fixtures import raw_fixture, snapshot_fixture
 
-BOOKING = stage_config("booking_time")
-DAY1 = stage_config("post_booking_day_1")
+BOOKING = stage()
+DAY1 = stage("post_booking_day_1")
 
 
 def test_booking_time_dataset(spark):
@@ -34,12 +34,12 @@ def test_temporal_split_years(spark):
     train, test = features.temporal_split(modeling, BOOKING)
     assert {int(r[0]) for r in train.select("arrival_year").collect()} == {2015, 2016}
     assert {int(r[0]) for r in test.select("arrival_year").collect()} == {2017}
-    with pytest.raises(ValueError, match="No test rows"):
+    with pytest.raises(ValueError, match="no rows to test"):
         features.temporal_split(modeling, BOOKING, test_years=(1990,))
 
 
 def test_snapshot_stage_requires_contract(spark):
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="required columns are missing"):
         cleanse.normalize_snapshot(raw_fixture(spark), DAY1)
 
 
@@ -65,14 +65,18 @@ def test_leakage_guard(spark):
     modeling = features.modeling_rows(
         features.build_features(cleanse.normalize_reservations(raw_fixture(spark), BOOKING), BOOKING), BOOKING
     )
-    with pytest.raises(ValueError, match="Leakage-prone internal"):
-        contracts.enforce_feature_policy(modeling.withColumn("is_canceled", F.lit(0)), BOOKING.policy)
-    with pytest.raises(ValueError, match="missing"):
-        contracts.enforce_feature_policy(modeling.drop("adr"), BOOKING.policy)
+    rules = contracts.leakage_rules(BOOKING)
+    with pytest.raises(ValueError, match="known only after the outcome: is_canceled.*features are missing: adr"):
+        contracts.check(modeling.withColumn("is_canceled", F.lit(0)).drop("adr"), rules, "rows", ["reservation_id"])
 
 
-def test_stage_registry():
-    assert config.stage_names()[0] == "booking_time" and len(config.stage_names()) == 5
+def test_stage_facts():
+    assert list(config.STAGE_DAYS)[0] == "booking_time" and len(config.STAGE_DAYS) == 5
     with pytest.raises(ValueError):
-        config.require_snapshot_path(DAY1, None)
-    assert config.output_root_for("/out", DAY1) == "/out/post_booking_day_1"
+        DAY1.check_input(None)
+    with pytest.raises(ValueError):
+        config.stage("day_9")
+    assert DAY1.output_root("/out") == "/out/post_booking_day_1" and BOOKING.output_root("/out") == "/out"
+    for s in (BOOKING, DAY1):
+        assert set(s.columns("number")) | set(s.columns("text")) == set(s.columns("feature"))
+        assert list(s.record()) == [config.RECORD_VERSION, *config.RECORD_LISTS]

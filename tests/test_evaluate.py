@@ -39,13 +39,13 @@ def test_auc_and_ap_with_ties(spark):
     rnd = random.Random(3)
     s = [round(rnd.random(), 1) for _ in range(400)]
     y = [1 if rnd.random() < si else 0 for si in s]
-    out = evaluate.curve_metrics(_frame(spark, y, s), "y", "score", ["model"]).first()
+    out = evaluate.classification_metrics(_frame(spark, y, s), "y", "score", by=["model"]).first()
     assert out.roc_auc == pytest.approx(_brute_auc(y, s), abs=1e-12)
     assert out.pr_auc == pytest.approx(_brute_ap(y, s), abs=1e-8)
 
 
 def test_single_class(spark):
-    out = evaluate.curve_metrics(_frame(spark, [0, 0, 0], [0.1, 0.2, 0.3]), "y", "score", ["model"]).first()
+    out = evaluate.classification_metrics(_frame(spark, [0, 0, 0], [0.1, 0.2, 0.3]), "y", "score", by=["model"]).first()
     assert out.roc_auc is None and out.pr_auc == 0.0
 
 

@@ -19,7 +19,7 @@ def _data(n=3000, seed=7):
 def test_global_rank_matches_sort_with_hot_ties(spark):
     rows = _data()
     df = spark.createDataFrame(rows, "g string, score double, k long")
-    out = global_rank(df, order=[("score", False), ("k", True)], by=["g"], rank_col="r", buckets=16).toPandas()
+    out = global_rank(df, order=[("score", False), ("k", True)], by=["g"], rank_col="r", partitions=16).toPandas()
     pdf = pd.DataFrame(rows, columns=["g", "score", "k"])
     pdf["expect"] = pdf.sort_values(["g", "score", "k"], ascending=[True, False, True]).groupby("g").cumcount() + 1
     merged = out.merge(pdf, on=["g", "score", "k"])
@@ -30,7 +30,7 @@ def test_global_rank_matches_sort_with_hot_ties(spark):
 def test_global_rank_continuous_across_groups(spark):
     rows = [("f2", 5), ("f1", 3), ("f1", 1), ("f2", 1), ("f3", 9)]
     df = spark.createDataFrame(rows, "f string, n long")
-    out = global_rank(df, order=[("n", True)], by=["f"], rank_col="id", continuous=True, buckets=4)
+    out = global_rank(df, order=[("n", True)], by=["f"], rank_col="id", continuous=True, partitions=4)
     got = sorted((r.f, r.n, r.id) for r in out.collect())
     assert got == [("f1", 1, 1), ("f1", 3, 2), ("f2", 1, 3), ("f2", 5, 4), ("f3", 9, 5)]
 
@@ -39,16 +39,51 @@ def test_prefix_sums(spark):
     rows = [("m", float(i % 17), i % 5, 1) for i in range(200)]
     pdf = pd.DataFrame(rows, columns=["g", "s", "pos", "neg"]).groupby(["g", "s"], as_index=False).sum()
     df = spark.createDataFrame(pdf)
-    out = prefix_sums(df, order=[("s", False)], sums=["pos", "neg"], by=["g"], buckets=4).toPandas()
+    out = prefix_sums(df, order=[("s", False)], sums=["pos", "neg"], by=["g"], partitions=4).toPandas()
     pdf = pdf.sort_values("s", ascending=False)
     pdf["pos_cum_e"] = pdf["pos"].cumsum()
     merged = out.merge(pdf, on=["g", "s"])
     assert (merged["pos_cum"] == merged["pos_cum_e"]).all()
 
 
-def test_global_rank_materialized_input(spark):
+def test_global_rank_input_read_twice(spark):
     rows = [("g", float(i % 7), i) for i in range(100)]
     df = spark.createDataFrame(rows, "g string, s double, k long")
-    a = {r.k: r.r for r in global_rank(df, [("s", True), ("k", True)], ["g"], "r", buckets=8).collect()}
-    b = {r.k: r.r for r in global_rank(df, [("s", True), ("k", True)], ["g"], "r", buckets=8, materialize=True).collect()}
+    a = {r.k: r.r for r in global_rank(df, [("s", True), ("k", True)], ["g"], "r", partitions=8).collect()}
+    b = {r.k: r.r for r in global_rank(df, [("s", True), ("k", True)], ["g"], "r", partitions=8).collect()}
     assert a == b and sorted(a.values()) == list(range(1, 101))
+
+
+def test_null_groups_and_null_scores_keep_their_rows(spark):
+    rows = [(None if i % 5 < 3 else "a", None if i % 2 else float(i % 3), i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, s double, k long")
+    out = global_rank(df, [("s", False), ("k", True)], ["g"], "r", partitions=8).collect()
+    assert len(out) == 1000
+    for g in (None, "a"):
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is None, -(x[1] or 0), x[2]))
+        assert {r.k: r.r for r in out if r.g == g} == {x[2]: i + 1 for i, x in enumerate(own)}
+    sums = prefix_sums(df, [("k", True)], ["k"], ["g"], partitions=8).collect()
+    assert len(sums) == 1000
+
+
+def test_hot_score_and_hot_tie_are_dealt_evenly(spark):
+    # Half the scores null, a third of the rows with one score and one tie value.
+    df = spark.range(60_000).selectExpr(
+        "case when id % 2 = 0 then null when id % 3 = 0 then 0.5 else rand(7) end as s",
+        "case when id % 3 = 0 then 7 else id end as tie", "id",
+    )
+    from riskloom.operators.ranking import _laid_out
+
+    rows = _laid_out(df, [("s", False), ("tie", True), ("id", True)], [], 32)
+    sizes = [r["count"] for r in rows.groupBy("_rk_part").count().collect()]
+    assert max(sizes) < 60_000 * 0.08
+    ranked = global_rank(df, [("s", False), ("tie", True), ("id", True)], (), "r", partitions=32)
+    assert ranked.selectExpr("min(r)", "max(r)", "count(distinct r)").first()[:] == (1, 60_000, 60_000)
+
+
+def test_no_group_over_many_partitions(spark):
+    df = spark.range(3000).selectExpr("id", "id as v")
+    out = global_rank(df, [("id", True)], (), "r", partitions=150)
+    assert out.where("r != id + 1").count() == 0 and out.count() == 3000
+    sums = prefix_sums(df, [("id", True)], ["v"], (), partitions=150)
+    assert sums.where("v_cum != id * (id + 1) / 2").count() == 0

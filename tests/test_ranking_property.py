@@ -17,7 +17,7 @@ rows_strategy = st.lists(
 def test_global_rank_equals_sort(spark, rows, buckets, desc):
     data = [(g, float(v), i) for i, (g, v) in enumerate(rows)]  # few distinct values: many hot ties
     df = spark.createDataFrame(data, "g string, v double, k long")
-    out = global_rank(df, order=[("v", not desc), ("k", True)], by=["g"], rank_col="r", buckets=buckets)
+    out = global_rank(df, order=[("v", not desc), ("k", True)], by=["g"], rank_col="r", partitions=buckets)
     got = {r.k: r.r for r in out.collect()}
     want = {}
     for g in {d[0] for d in data}:
