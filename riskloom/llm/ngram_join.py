@@ -37,6 +37,7 @@ CHUNK_BYTES = 12 << 20  # text packed into one set of blobs
 BUCKET_BYTES = 8 << 20  # text whose shingles one bucket holds
 LEAST_BUCKETS = 64
 COMMON = 32  # sets in a chunk from which a shingle counts as common without its list
+CELL = 1_000  # sets of one list compared in one place
 COMMON_DF = np.iinfo(np.int32).max
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -324,12 +325,10 @@ def boundary(costs: list[tuple[int, int, int]]) -> int:
 
 
 def tokens(sets: DataFrame, small: int) -> DataFrame:
-    """(tok, key, n, s, at, early, waits): what sets meet on.
+    """(tok, key, n, s, at, l, waits): what sets meet on.
 
     ``s`` counts a set's shared shingles, ``at`` is the token's place among them.
-    ``early`` marks a token that the set has among its first n - ceil(8 n / 9) + 1: of a
-    linked pair the set that is smaller by (n, key) has one of those in common with
-    the other's whole prefix, as a set of size n shares 8 n / 9 with one no smaller.
+    ``l`` counts the shingles that it puts on lists.
 
     Small sets give a token for each subset of two (of one for sets of size 1);
     large sets and the small ones that a large one could link to give one for
@@ -354,18 +353,15 @@ def tokens(sets: DataFrame, small: int) -> DataFrame:
     )
     # A subset's place says nothing about single shingles: None stands for "no bound from it".
     subsets = light.select(
-        pair.alias("tok"), "key", "n", "s", F.lit(None).cast("int").alias("at"), F.lit(True).alias("early"),
+        pair.alias("tok"), "key", "n", "s", F.lit(None).cast("int").alias("at"), F.lit(0).alias("l"),
         F.lit(False).alias("waits"), *BITS,
     )
     scanned = sets.where(n * 100 >= small * PERCENT).withColumn("waits", n <= small)
     # The inverted lists need the prefix without its last shingle, unless the set has one shingle in it.
     first = F.when(n > 1, F.expr("slice(prefix, 1, greatest(size(prefix) - 1, 1))")).otherwise(F.col("prefix"))
     lists = scanned.select(
-        F.posexplode(F.transform(first, lambda x: F.xxhash64(x, F.lit("list")))).alias("at", "tok"), "key", "n", "s", "waits", *BITS
-    )
-    # Its own shingles stand before the shared ones in a set's order.
-    early = F.col("at") < n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1 - (n - F.col("s"))
-    lists = lists.withColumn("early", early).select("tok", "key", "n", "s", "at", "early", "waits", *BITS)
+        F.posexplode(F.transform(first, lambda x: F.xxhash64(x, F.lit("list")))).alias("at", "tok"), "key", "n", "s", F.size(first).alias("l"), "waits", *BITS
+    ).select("tok", "key", "n", "s", "at", "l", "waits", *BITS)
     # A list on which everyone waits, or with one set, joins nothing.
     alone = lists.unionByName(subsets)
     live = alone.groupBy("tok").agg(F.count("*").alias("m"), F.min("waits").alias("idle")).where("m > 1 and not idle")
@@ -456,21 +452,136 @@ def links(sets: DataFrame) -> DataFrame:
         live = stored(_open(toks, comps))
         if 8 * hits < tried.count():  # what is left links rarely: compare it pair by pair
             break
-    x, y = live.alias("x"), live.alias("y")
-    near = may_link("x", "y") & (~F.col("x.waits") | ~F.col("y.waits"))
-    ordered = F.col("x.early") & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
-    rest = (
-        x.join(y, F.col("x.tok") == F.col("y.tok"))
-        .where(ordered & (F.col("x.comp") != F.col("y.comp")) & near)
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        .distinct()
-    )
-    last = stored(verified(rest, sets))
+    last = stored(verified(_remaining(live), sets))
     if last.isEmpty():
         return comps
     return stored(connected_components(edges.unionByName(last)))
 
 
+MET = "key long, partners binary, counts binary, needs binary"
+
+
+def _meetings(batches):
+    """Pairs of unconnected sets that meet in a cell: by the smaller set, its partners,
+    how often they met and how often they must meet in all to link.
+
+    Rows come sorted by cell; a cell that a batch cuts waits for the next one.
+    """
+    names = ["tok", "a", "b", "key", "comp", "n", "s", "at", "l", "block", "waits"]
+    held = None
+
+    def pairs(cols, first, size):
+        tok_end = np.repeat(first + size, size)
+        row = np.arange(len(tok_end))
+        count = tok_end - row - 1
+        upto = np.cumsum(count)
+        at = 0
+        while at < len(row):  # about a million pairs at a time
+            done = upto[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, done + 1_000_000, "right")))
+            i = np.repeat(row[at:to], count[at:to])
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[at:to] - count[at:to] - done, count[at:to])
+            yield i, j
+            at = to
+
+    def emit(cols):
+        cell = np.flatnonzero(
+            np.append(True, (cols["tok"][1:] != cols["tok"][:-1]) | (cols["a"][1:] != cols["a"][:-1]) | (cols["b"][1:] != cols["b"][:-1]))
+        )
+        size = np.diff(np.append(cell, len(cols["tok"])))
+        for i, j in pairs(cols, cell, size):
+            n, s, at, left = cols["n"], cols["s"], cols["at"], cols["s"] - cols["l"]
+            total = (n[i] + n[j]) * PERCENT
+            both = np.minimum(s[i], s[j])
+            here = np.minimum(at[i], at[j]) + np.minimum(s[i] - at[i], s[j] - at[j])
+            single = at[i] >= 0  # met on one shingle, not on a subset
+            most = np.where(single, np.minimum(both, here), both)
+            ok = (cols["comp"][i] != cols["comp"][j]) & (most * (100 + PERCENT) >= total)
+            ok &= ~(cols["waits"][i] & cols["waits"][j])
+            ok &= (cols["a"][i] == cols["b"][i]) | (cols["block"][i] != cols["block"][j])
+            i, j, single, total = i[ok], j[ok], single[ok], total[ok]
+            if not len(i):
+                continue
+            swap = (n[j] < n[i]) | ((n[j] == n[i]) & (cols["key"][j] < cols["key"][i]))
+            x, y = np.where(swap, j, i), np.where(swap, i, j)
+            # Whose prefix ends first in the order shares nothing of its prefix but what the
+            # other's prefix holds; the rest adds at most what is behind its prefix.
+            need = np.where(single, -(-total // (100 + PERCENT)) - np.maximum(left[x], left[y]), 0)
+            kx, ky = cols["key"][x], cols["key"][y]
+            order = np.lexsort((ky, kx))
+            kx, ky, need = kx[order], ky[order], need[order]
+            new = np.flatnonzero(np.append(True, (kx[1:] != kx[:-1]) | (ky[1:] != ky[:-1])))
+            met = np.diff(np.append(new, len(kx)))
+            need = np.minimum.reduceat(need, new)
+            kx, ky = kx[new], ky[new]
+            own = np.flatnonzero(np.append(True, kx[1:] != kx[:-1]))
+            per = np.diff(np.append(own, len(kx)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(kx[own]), binary_rows(ky, per), binary_rows(met.astype(np.int32), per),
+                    binary_rows(need.astype(np.int32), per),
+                ],
+                ["key", "partners", "counts", "needs"],
+            )
+
+    for batch in batches:
+        cols = {c: np.asarray(batch.column(c)) for c in names[:-1]} | {"waits": batch.column("waits").to_numpy(zero_copy_only=False)}
+        if held is not None:
+            cols = {c: np.concatenate([held[c], cols[c]]) for c in names}
+        same = (cols["tok"] == cols["tok"][-1]) & (cols["a"] == cols["a"][-1]) & (cols["b"] == cols["b"][-1]) if len(cols["tok"]) else None
+        if same is None:
+            continue
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        held = {c: v[cut:] for c, v in cols.items()}
+        if cut:
+            yield from emit({c: v[:cut] for c, v in cols.items()})
+    if held is not None:
+        yield from emit(held)
+
+
+def _enough(batches):
+    """Pairs (a, b) that met often enough."""
+    for batch in batches:
+        a, b = [], []
+        cols = (batch.column(c).to_pylist() for c in ("key", "partners", "counts", "needs"))
+        for key, ks, cs, ns in zip(*cols, strict=True):
+            partner = np.frombuffer(b"".join(ks), np.int64)
+            met, need = np.frombuffer(b"".join(cs), np.int32), np.frombuffer(b"".join(ns), np.int32)
+            who, back = np.unique(partner, return_inverse=True)
+            total = np.bincount(back, met, len(who))
+            least = np.full(len(who), np.iinfo(np.int32).max, np.int64)
+            np.minimum.at(least, back, need)
+            good = who[total >= least]
+            a.append(np.full(len(good), key))
+            b.append(good)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def _remaining(live: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different components that may link, each once.
+
+    A list of more than ``CELL`` sets is cut into blocks, and each two blocks make a
+    cell; pairs are counted inside the cells and never listed one by one.
+    """
+    sizes = live.groupBy("tok").agg(F.ceil(F.count("*") / CELL).cast("int").alias("g"))
+    cells = (
+        live.join(sizes, "tok")
+        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
+        .select(
+            "tok", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "key", "comp", "n", "s",
+            F.coalesce("at", F.lit(-1)).alias("at"), "l", "block", "waits",
+        )
+    )
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(parts, "tok", "a", "b").sortWithinPartitions("tok", "a", "b")
+    met = dealt.mapInArrow(_meetings, MET).groupBy("key").agg(
+        *[F.collect_list(c).alias(c) for c in ("partners", "counts", "needs")]
+    )
+    return met.mapInArrow(_enough, "a long, b long")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the class of each document.
 
