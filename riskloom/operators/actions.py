@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import config
+from riskloom.operators import ranking
 
 
 def rejection_reason(
@@ -44,50 +45,40 @@ def asof_latest(
     right_time: str,
     value: str,
     right_ties: Sequence[str] = (),
-    period: str = "month",
     out: str = "asof_value",
 ) -> DataFrame:
     """For each left row, ``value`` of the newest right row with the same key and
     ``right_time <= left_time`` (J8).  Ties at equal time: highest ``right_ties``.
 
-    Two levels keep a hot key from landing in one task with all its rows:
-    (1) per (key, period) cell the newest right value is a partial aggregate;
-    the cell table (distinct periods per key) carries the last value forward;
-    (2) inside a cell a window over that cell's rows picks the newest value at
-    or before each left row, falling back to the carried value.  No pairs of
-    left x right rows are ever formed.
+    Both sides are laid out together by (key, time, side, ties) over range
+    partitions, so a key with most of the rows, even all in one month, spans many
+    tasks.  Inside a partition the last right value runs on; over partitions it is
+    carried by one row for each partition and key.  No pairs are formed, and a null key
+    has no partner.
     """
-    order_struct = F.struct(F.col("_t"), *[F.col(c) for c in right_ties])
-    r = right.select(
-        F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
-        F.col(value).alias("_v"), *[F.col(c) for c in right_ties],
-    )
-    lcols = [c for c in left.columns]
-    l_ = left.select(
-        *[F.col(c) for c in lcols], F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
-    )
-    cell = F.date_trunc(period, F.col("_t"))
-    r = r.withColumn("_cell", cell)
-    l_ = l_.withColumn("_cell", cell)
-    cell_last = r.groupBy(key, "_cell").agg(F.max_by("_v", order_struct).alias("_cell_v"))
-    cells = (
-        l_.select(key, "_cell").distinct()
-        .join(cell_last, [key, "_cell"], "full")
-    )
-    carry = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_prev_v", F.last("_cell_v", ignorenulls=True).over(carry)).select(key, "_cell", "_prev_v")
-    # Within a cell: right rows first at equal time, then ties ascending, so
-    # the running last non-null right value is the as-of answer.
-    tie_cols = [F.col(c) for c in right_ties]
-    both = l_.unionByName(r.withColumn("_cell", cell), allowMissingColumns=True)
-    w = (
-        Window.partitionBy(key, "_cell")
-        .orderBy(F.col("_t"), F.col("_side"), *tie_cols)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    within = both.withColumn("_in_v", F.last(F.when(F.col("_side") == 0, F.col("_v")), ignorenulls=True).over(w))
-    lefts = within.filter(F.col("_side") == 1).join(cells, [key, "_cell"], "left")
-    return lefts.select(*[F.col(c) for c in lcols], F.coalesce("_in_v", "_prev_v").alias(out))
+    ties = [f"_tie{i}" for i in range(len(right_ties))]
+    cols = list(left.columns)
+    rows = left.select(
+        *cols, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v")
+    ).unionByName(
+        right.select(
+            F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"),
+            *[F.col(c).alias(n) for c, n in zip(right_ties, ties, strict=True)],
+        ),
+        allowMissingColumns=True,
+    )
+    # Right rows stand before left rows of the same time.
+    parts = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    laid = ranking.laid_out(rows, [("_t", True), ("_side", True), *[(c, True) for c in ties]], [key], parts)
+    held = F.when(F.col("_side") == 0, F.struct("_v"))  # a struct, so that a null value is a value too
+    local = Window.partitionBy("_rk_part", key).orderBy("_rk_place").rowsBetween(Window.unboundedPreceding, 0)
+    laid = laid.withColumn("_in", F.last(held, ignorenulls=True).over(local))
+    cells = laid.groupBy("_rk_part", key).agg(F.max_by("_in", F.when(F.col("_in").isNotNull(), F.col("_rk_place"))).alias("_last"))
+    carry = Window.partitionBy(key).orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("_rk_part", key, F.last("_last", ignorenulls=True).over(carry).alias("_before"))
+    both = ranking.with_cells(laid.where("_side = 1"), cells, [key])
+    found = F.when(F.col(key).isNotNull(), F.coalesce("_in", "_before")["_v"])
+    return both.select(*cols, found.alias(out))
 
 
 def create_actions(
@@ -102,9 +93,10 @@ def create_actions(
     """
     req = requests.withColumn("action_status", F.coalesce(F.col("action_status"), F.lit("open")))
     valid, rejected = validate(req)
-    ids = entities.select(key).distinct()
-    known = valid.join(ids, key, "left_semi")
-    unknown = valid.join(ids, key, "left_anti").withColumn("rejection_reason", F.lit("unknown_entity"))
+    ids = entities.select(key).distinct().withColumn("_known", F.lit(True))
+    told = valid.join(ids, key, "left")  # one join tells both sides
+    known = told.where("_known").drop("_known")
+    unknown = told.where("_known is null").drop("_known").withColumn("rejection_reason", F.lit("unknown_entity"))
     attached = asof_latest(
         known.drop("prediction_id"), predictions, key, "acted_at", "scored_at", "prediction_id",
         right_ties=prediction_ties, out="prediction_id",

@@ -34,7 +34,7 @@ def _order_cols(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_last() for c, asc in order]
 
 
-def _laid_out(df: DataFrame, order: Sequence[tuple[str, bool]], by: Sequence[str], partitions: int) -> DataFrame:
+def laid_out(df: DataFrame, order: Sequence[tuple[str, bool]], by: Sequence[str], partitions: int) -> DataFrame:
     """``df`` in (group, order) sequence with ``_rk_part`` and ``_rk_place``, stored.
 
     What is read back is fixed, so a lost executor costs a re-read and never
@@ -51,7 +51,7 @@ def _laid_out(df: DataFrame, order: Sequence[tuple[str, bool]], by: Sequence[str
     )
 
 
-def _with_earlier(rows: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
+def with_cells(rows: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join per-cell values back on (partition, group), null groups included."""
     side = cells.select(*[F.col(c).alias(f"_rk_c_{c}") for c in by], F.col("_rk_part").alias("_rk_c_part"), *[
         c for c in cells.columns if c not in (*by, "_rk_part")
@@ -110,12 +110,12 @@ def global_rank(
     """
     by = list(by)
     n = partitions or _partitions(df)
-    rows = _laid_out(df, order, by, n)
+    rows = laid_out(df, order, by, n)
     group = [] if continuous else by
     cells = rows.groupBy("_rk_part", *group).agg(F.count(F.lit(1)).alias("_rk_n"), F.min("_rk_place").alias("_rk_first"))
     cells = _sums_before(cells, {"_rk_n": "_rk_before"}, group, n).drop("_rk_n")
     rank = F.col("_rk_before") + F.col("_rk_place") - F.col("_rk_first") + 1
-    return _with_earlier(rows, cells, group).withColumn(rank_col, rank.cast("bigint")).drop(
+    return with_cells(rows, cells, group).withColumn(rank_col, rank.cast("bigint")).drop(
         "_rk_part", "_rk_place", "_rk_first", "_rk_before"
     )
 
@@ -134,9 +134,9 @@ def prefix_sums(
     """
     by = list(by)
     n = partitions or _partitions(df)
-    rows = _laid_out(df, order, by, n)
+    rows = laid_out(df, order, by, n)
     cells = rows.groupBy("_rk_part", *by).agg(*[F.sum(c).alias(f"_rk_t_{c}") for c in sums])
     cells = _sums_before(cells, {f"_rk_t_{c}": f"_rk_o_{c}" for c in sums}, by, n).drop(*[f"_rk_t_{c}" for c in sums])
     local = Window.partitionBy("_rk_part", *by).orderBy("_rk_place").rowsBetween(Window.unboundedPreceding, 0)
-    out = _with_earlier(rows.select("*", *[F.sum(c).over(local).alias(f"_rk_l_{c}") for c in sums]), cells, by)
+    out = with_cells(rows.select("*", *[F.sum(c).over(local).alias(f"_rk_l_{c}") for c in sums]), cells, by)
     return out.select(*df.columns, *[(F.col(f"_rk_o_{c}") + F.col(f"_rk_l_{c}")).alias(f"{c}{suffix}") for c in sums])

@@ -240,13 +240,20 @@ def action_counts_per_entity(actions: DataFrame) -> DataFrame:
 BOOTSTRAP_MODELS = ("logistic_regression", "gbt")
 
 
-def bootstrap_benchmark(spark) -> DataFrame:
-    """Benchmark rows before any model was evaluated (R5): planned models, pending metrics."""
-    rows = [
-        (m, "planned", "No evaluated predictions yet.", metric, None, "pending")
-        for m in BOOTSTRAP_MODELS
-        for metric in ("pr_auc", "roc_auc")
-    ]
-    return spark.createDataFrame(
-        rows, "model_name string, status string, notes string, name string, value double, status_metric string"
+def split_text(train_years, test_years) -> str:
+    def span(years) -> str:
+        return str(min(years)) if len(set(years)) == 1 else f"{min(years)}-{max(years)}"
+
+    return f"time-based split: train on {span(train_years)}, test on {span(test_years)}"
+
+
+def bootstrap_benchmark(spark, train_years=config.TRAIN_YEARS, test_years=config.TEST_YEARS) -> DataFrame:
+    """Benchmark rows before any model was evaluated (R5), with the columns of evaluated ones:
+    planned models, metrics pending (null), none recommended."""
+    schema = (
+        "model_name string, status string, notes string, pr_auc double, roc_auc double, precision double, "
+        "recall double, f1 double, brier_score double, is_recommended boolean, split_strategy string"
     )
+    text = split_text(train_years, test_years)
+    rows = [(m, "planned", "No evaluated predictions yet.", *[None] * 6, False, text) for m in BOOTSTRAP_MODELS]
+    return spark.createDataFrame(rows, schema)

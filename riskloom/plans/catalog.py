@@ -222,7 +222,7 @@ def action_effectiveness(spark, sf_dir):
 
 @register("action_effectiveness_artifact")
 def action_effectiveness_artifact(spark, sf_dir):
-    return reports.action_effectiveness(_f(spark, sf_dir).view(), None)
+    return reports.action_effectiveness(_f(spark, sf_dir).view(numbered=True), None)
 
 
 @register("action_status_breakdown")
@@ -630,17 +630,19 @@ def benchmark_report(spark, sf_dir):
     """
     fr = _f(spark, sf_dir)
     if fr.predictions().isEmpty():  # one-row probe: nothing scored yet -> planned rows
-        return reports.bootstrap_benchmark(spark)
+        return reports.bootstrap_benchmark(spark, TRAIN_YEARS, TEST_YEARS)
     metrics = _metrics(fr)
     comparison = evaluate.model_comparison(metrics)
-    versions = fr.predictions().groupBy("model_name").agg(F.max("model_version").alias("model_version"))
+    versions = fr.predictions().groupBy("model_name").agg(
+        F.max_by("model_version", F.struct("scored_at", "model_version")).alias("model_version")  # of the newest rows
+    )
     rows = comparison.join(versions, "model_name").select(
         "model_name",
         F.lit("trained").alias("status"),
         F.format_string("Version %s evaluated from latest artifact.", "model_version").alias("notes"),
         "pr_auc", "roc_auc", "precision", "recall", "f1", "brier_score",
         (F.col("comparison_rank") == 1).alias("is_recommended"),
-        F.lit("time-based split: train on 1995-1999, test on 2000-2001").alias("split_strategy"),
+        F.lit(reports.split_text(TRAIN_YEARS, TEST_YEARS)).alias("split_strategy"),
     )
     return rows
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.operators.actions import create_actions
-from riskloom.session import ensure_checkpoint_dir
+from riskloom.session import ensure_checkpoint_dir, stored
 
 REQUEST_SCHEMA = T.StructType(
     [
@@ -49,7 +49,12 @@ def start_action_ingest(
     requests = spark.readStream.schema(REQUEST_SCHEMA).parquet(request_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        accepted, rejected = create_actions(batch, entities, predictions, prediction_ties)
+        # The batch is stored once, and of the history only its entities' rows are read on.
+        rows = stored(batch)
+        keys = rows.select("reservation_id").distinct()
+        own = predictions.join(keys, "reservation_id", "left_semi")
+        known = entities.join(keys, "reservation_id", "left_semi")
+        accepted, rejected = create_actions(rows, known, own, prediction_ties)
         # Re-running a batch after a failure rewrites exactly that batch's partition.
         for df, path in ((accepted, accepted_dir), (rejected, rejected_dir)):
             (

@@ -113,4 +113,4 @@ def test_mandatory_key_resolution(spark):
 
 def test_bootstrap_benchmark(spark):
     rows = reports.bootstrap_benchmark(spark).collect()
-    assert {r.status for r in rows} == {"planned"} and all(r.value is None for r in rows)
+    assert {r.status for r in rows} == {"planned"} and all(r.pr_auc is None and not r.is_recommended for r in rows)

@@ -72,9 +72,9 @@ def test_hot_score_and_hot_tie_are_dealt_evenly(spark):
         "case when id % 2 = 0 then null when id % 3 = 0 then 0.5 else rand(7) end as s",
         "case when id % 3 = 0 then 7 else id end as tie", "id",
     )
-    from riskloom.operators.ranking import _laid_out
+    from riskloom.operators.ranking import laid_out
 
-    rows = _laid_out(df, [("s", False), ("tie", True), ("id", True)], [], 32)
+    rows = laid_out(df, [("s", False), ("tie", True), ("id", True)], [], 32)
     sizes = [r["count"] for r in rows.groupBy("_rk_part").count().collect()]
     assert max(sizes) < 60_000 * 0.08
     ranked = global_rank(df, [("s", False), ("tie", True), ("id", True)], (), "r", partitions=32)

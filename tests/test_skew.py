@@ -57,3 +57,25 @@ def test_top_k_hot_score_value(spark):
     cut = max(1, -(-3000 * 20 // 100))
     assert out["top_20pct"].selected_count == cut
     assert out["top_20pct"].captured_no_show == sum(r[1] for r in ranked[:cut])
+
+
+def test_asof_hot_key_in_one_month_is_dealt_evenly(spark):
+    """One key holds a third of history and requests, all in one month."""
+    rnd = random.Random(9)
+    when = lambda: T0 + dt.timedelta(seconds=rnd.randrange(28 * 86_400))
+    hist = [(0 if i % 3 == 0 else 1 + rnd.randrange(300), when(), f"p{i}", i) for i in range(6000)]
+    reqs = [(i, 0 if i % 3 == 0 else 1 + rnd.randrange(300), when()) for i in range(1500)]
+    right = spark.createDataFrame(hist, "k long, ts timestamp, pid string, tie long")
+    left = spark.createDataFrame([*reqs, (9999, None, T0)], "id long, k long, at timestamp")
+    got = {r.id: r.asof_value for r in asof_latest(left, right, "k", "at", "ts", "pid", ["tie"]).collect()}
+    by_key = {}
+    for k, ts, pid, tie in hist:
+        by_key.setdefault(k, []).append((ts, tie, pid))
+    want = {i: max([p for p in by_key.get(k, []) if p[0] <= at], default=(0, 0, None))[2] for i, k, at in reqs}
+    assert got == want | {9999: None}
+    from riskloom.operators.ranking import laid_out
+
+    both = right.selectExpr("k", "ts as t", "tie").unionByName(left.selectExpr("k", "at as t", "id as tie"))
+    laid = laid_out(both, [("t", True), ("tie", True)], ["k"], 32)
+    sizes = [r["count"] for r in laid.groupBy("_rk_part").count().collect()]
+    assert max(sizes) < 7500 * 0.08
