@@ -20,7 +20,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-_STRIP_PATTERN = r"(?U)^\s+|\s+$"
 # Whitespace set stripped from text fields: every code point for which
 # Python's ``str.isspace`` holds (the rule the source's string strip uses).
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -108,9 +107,8 @@ def parse_date(c: Column | str, fmt: str = "yyyy-MM-dd") -> Column:
     return F.try_to_date(_col(c), fmt)
 
 
-def bool_token(c: Column | str, true_tokens=("1", "true"), false_tokens=("0", "false")) -> Column:
+def bool_token(c: Column | str, true_tokens=("1", "true")) -> Column:
     """Token map to boolean; unknown tokens and nulls are false."""
-    del false_tokens  # everything that is not a true token is false
     return F.coalesce(_col(c).isin(list(true_tokens)), F.lit(False))
 
 

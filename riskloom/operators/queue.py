@@ -171,6 +171,23 @@ def filter_options(df: DataFrame, sep: str = "|") -> DataFrame:
     )
 
 
+def filter_option_rows(df: DataFrame) -> DataFrame:
+    """(option, value) of every property and channel that rows have, one row each.
+
+    The same choices as ``filter_options``, as rows: free text with very many values
+    stays distributed.
+    """
+    both = df.select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("property_id").alias("option"), F.col("property_id").alias("value")),
+                F.struct(F.lit("distribution_channel").alias("option"), F.col("distribution_channel").alias("value")),
+            )
+        ).alias("o")
+    )
+    return both.select("o.*").where("value is not null").distinct()
+
+
 def entity_detail(rows: DataFrame, actions: DataFrame | None, reservation_id: int) -> DataFrame:
     """One entity with its latest prediction, context and ordered action ids."""
     one = rows.filter(F.col("reservation_id") == reservation_id)

@@ -212,12 +212,6 @@ def action_effectiveness(rows: DataFrame, actions: DataFrame | None) -> DataFram
     return one_row([tot, cov], EFFECTIVENESS_COLUMNS)
 
 
-def high_risk_with_actions(rows: DataFrame, actions: DataFrame, with_action: bool = True) -> DataFrame:
-    """High-risk entity ids that have (semi join) or lack (anti join) any action."""
-    high = rows.filter(F.col("risk_class") == "high").select("reservation_id")
-    return high.join(actions.select("reservation_id"), "reservation_id", "left_semi" if with_action else "left_anti")
-
-
 def action_breakdown(actions: DataFrame, by: str) -> DataFrame:
     """(label, count) by action status or type; count desc, label asc."""
     return (

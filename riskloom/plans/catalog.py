@@ -132,6 +132,11 @@ def filter_options(spark, sf_dir):
     return queue.filter_options(_f(spark, sf_dir).view())
 
 
+@register("filter_option_rows")
+def filter_option_rows(spark, sf_dir):
+    return queue.filter_option_rows(_f(spark, sf_dir).view())
+
+
 @register("reservation_detail")
 def reservation_detail(spark, sf_dir):
     fr = _f(spark, sf_dir)

@@ -325,6 +325,10 @@ SELECT string_agg(DISTINCT property_id, '|' ORDER BY property_id) AS property_id
        string_agg(DISTINCT distribution_channel, '|' ORDER BY distribution_channel) AS distribution_channels,
        'high|medium|low' AS risk_classes, min(arrival_date) AS min_arrival_date, max(arrival_date) AS max_arrival_date
 FROM view""")
+    q["filter_option_rows"] = with_ctes(*v, body="""
+SELECT DISTINCT 'property_id' AS option, property_id AS value FROM view WHERE property_id IS NOT NULL
+UNION ALL
+SELECT DISTINCT 'distribution_channel', distribution_channel FROM view WHERE distribution_channel IS NOT NULL""")
     q["reservation_detail"] = with_ctes(*r, ACTIONS, body=f"""
 SELECT d.*, CAST(coalesce(a.action_count, 0) AS BIGINT) AS action_count, a.last_action_id, a.last_acted_at
 FROM (
