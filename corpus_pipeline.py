@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, decontam, langid, ngram_join, pii
-from riskloom.llm.common import read_table, stored
+from riskloom.llm.common import prepare, read_table, stored
 
 # A text in no learned language shares few of the ranked n-grams: its score is near 0.
 LEAST_SCORE = 0.2
@@ -37,6 +37,7 @@ def _rows(docs: DataFrame, *without: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told; profiles come from the labelled rows of ``docs``."""
+    prepare(spark)
     profiles = langid.fit(langid.training_rows(docs))
     told = langid.predict(_rows(docs), profiles, "row", "body")
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id.*")
@@ -48,6 +49,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with equal ids are told apart by their text; rows that equal each other in
     both are one document.
     """
+    prepare(spark)
     named = docs.withColumn("row_name", F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("h")))
     found = stored(ngram_join.components(named, "row_name"))
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
@@ -66,12 +68,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts."""
+    prepare(spark)
     done = pii.anonymise(_rows(docs, "text"), id_col="row", text_col="body").select("doc_id.*", "text")
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text and the text decoded from them."""
+    prepare(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
     row = docs.select(F.struct("doc_id", "lang", "source").alias("row"), docs["text"].alias("body"))
     both = bpe.round_trip_texts(row, path, "row", "body")

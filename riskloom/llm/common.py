@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 PIECE_BYTES = 1 << 19  # text handled by one round of array operations
+BATCH_BYTES = 8 << 20
 TASK_EDGES = 500_000  # links that one task contracts
 
 
@@ -48,13 +49,22 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers of a session that was started elsewhere must find this package.
+def prepare(spark: SparkSession) -> None:
+    """Settings that the operators' tasks need, for a session started elsewhere.
+
+    Python workers must find this package.  Arrow batches hold at most
+    ``BATCH_BYTES``, so long texts take no more memory than many short ones.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [known])])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
