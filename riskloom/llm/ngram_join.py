@@ -37,6 +37,7 @@ CHUNK_BYTES = 12 << 20  # text packed into one set of blobs
 BUCKET_BYTES = 8 << 20  # text whose shingles one bucket holds
 LEAST_BUCKETS = 64
 COMMON = 32  # sets in a chunk from which a shingle counts as common without its list
+PAIRS_AT_ONCE = 100_000
 CELL = 1_000  # sets of one list compared in one place
 COMMON_DF = np.iinfo(np.int32).max
 IS_WORD = np.ones(256, bool)
@@ -476,9 +477,9 @@ def _meetings(batches):
         count = tok_end - row - 1
         upto = np.cumsum(count)
         at = 0
-        while at < len(row):  # about a million pairs at a time
+        while at < len(row):
             done = upto[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(upto, done + 1_000_000, "right")))
+            to = max(at + 1, int(np.searchsorted(upto, done + PAIRS_AT_ONCE, "right")))
             i = np.repeat(row[at:to], count[at:to])
             j = i + 1 + np.arange(len(i)) - np.repeat(upto[at:to] - count[at:to] - done, count[at:to])
             yield i, j
