@@ -7,8 +7,8 @@ are.  A window's key is the smallest hash of its 32-byte grams, so equal windows
 have equal keys; neighbouring windows with the same such gram travel as one
 stretch (199 bytes longer than its number of windows).  Keys of one stretch only
 repeat nothing and go no further.  A key that very many texts share, such as that of
-a frequent line, is extended by the smallest hash under another hash function,
-again and again, so no key gathers a large share of the windows.
+a frequent line, is extended by the smallest hashes under further hash functions,
+so no key gathers a large share of the windows.
 
 *Comparing.*  The different stretches of a bucket of keys form one text, whose
 Burrows-Wheeler transform is built over suffixes sorted by at least 200 bytes.
@@ -37,10 +37,11 @@ SEGMENT = 1 << 18  # bytes of one text handled at once
 CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20  # text whose stretches one bucket of keys holds
 LEAST_BUCKETS = 64
-BWT_BYTES = 1 << 20  # stretch bytes in one transform
+BWT_BYTES = 1 << 17  # stretch bytes in one transform
 HOT_SHARE, HOT_LEAST = 32, 64  # a key is split if a chunk has it in 1/32 of its texts, 64 at least
 HOT_KEYS = 1 << 20
-LEVELS = 8
+LEVELS = 2
+EXTEND = 4  # hash functions that a split adds to a key
 OPEN = 255
 
 
@@ -102,15 +103,17 @@ def bounded_lcp(text: np.ndarray, bound: int = LENGTH) -> tuple[np.ndarray, np.n
     ``bound`` must be less than ``OPEN``.
     """
     n = len(text)
+    if n >= 1 << 31:
+        raise ValueError("too many bytes in one transform")
     order, code, first, bits = suffix_order(text, bound)
     first = min(first, bound)
-    before = text[order - 1]  # the transform; the byte before the first is the last, a separator
-    lf_order = np.argsort(before, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[lf_order] = np.arange(n)
+    before = text[order - 1].astype(np.uint16)  # the transform; the byte before the first is the last, a separator
+    lf_order = np.argsort(before, kind="stable").astype(np.int32)
+    lf = np.empty(n, np.int32)
+    lf[lf_order] = np.arange(n, dtype=np.int32)
     # For each row the next and the last row before it with the same byte.
     same = before[lf_order[1:]] == before[lf_order[:-1]]
-    later, earlier = np.full(n, n), np.full(n, -1)
+    later, earlier = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     later[lf_order[:-1][same]] = lf_order[1:][same]
     earlier[lf_order[1:][same]] = lf_order[:-1][same]
 
@@ -119,6 +122,7 @@ def bounded_lcp(text: np.ndarray, bound: int = LENGTH) -> tuple[np.ndarray, np.n
     lcp[0] = lcp[n] = 0
     packed = code[order]
     differ = packed[1:] ^ packed[:-1]
+    del code, packed, lf_order, same
     total = max(1, min(62 // bits, (63 - max(1, int(n).bit_length())) // bits)) * bits
     known = np.flatnonzero(differ)
     length = np.frexp(differ[known].astype(np.float64))[1]
@@ -138,8 +142,8 @@ def bounded_lcp(text: np.ndarray, bound: int = LENGTH) -> tuple[np.ndarray, np.n
         start = np.cumsum(size) - size
         row = np.arange(int(size.sum())) + np.repeat(lo - start, size)
         # Rows of an interval with one byte go to consecutive rows: its backward extension.
-        head = lf[row[earlier[row] < np.repeat(lo, size)]]
-        tail = lf[row[later[row] >= np.repeat(hi, size)]] + 1
+        head = lf[row[earlier[row] < np.repeat(lo, size)]].astype(np.int64)
+        tail = lf[row[later[row] >= np.repeat(hi, size)]].astype(np.int64) + 1
         head.sort()
         tail.sort()  # extensions are disjoint, so first and last rows pair up in order
         new = lcp[tail] == OPEN
@@ -222,29 +226,39 @@ def stretches(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray]):
         np.cumsum(BYTE_CODES[data] * up[: len(data)], out=sums[1:])
         gram = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
         key, place = _least_gram(gram)
-        m = len(key)
-        fresh = np.append(True, place[1:] != place[:-1])
+        m, width = len(key), LENGTH - GRAM + 1
         end = np.repeat(offsets[1:], np.diff(offsets))[:m]
-        valid = np.arange(m) + LENGTH <= end
+        own = np.flatnonzero(np.arange(m) + LENGTH <= end)  # windows that lie in one text
+        key = key[own]
+        fresh = np.append(True, place[1:] != place[:-1])[own]
+        fresh |= np.append(True, own[1:] != own[:-1] + 1)[: len(own)]
         for level, keys in enumerate(hot):
-            at = np.searchsorted(keys, key)
-            valid &= (keys[np.minimum(at, len(keys) - 1)] == key) if len(keys) else False
-            if not valid.any():
+            near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            keep = (keys[near] == key) if len(keys) else np.zeros(len(key), bool)
+            fresh = (fresh | ~np.append(False, keep[:-1])[: len(keep)])[keep]
+            own, key = own[keep], key[keep]
+            if not len(own):
                 return none
-            more, place = _least_gram(mix(gram ^ seeded(1, level + 7)[0]))
-            fresh |= np.append(True, place[1:] != place[:-1])
-            key = mix(key + more)
-        fresh |= np.append(True, ~valid[:-1])
-        edge = np.flatnonzero(fresh | ~valid)
-        size = np.diff(np.append(edge, m))
-        use = valid[edge]
-        at, size = edge[use], size[use]
-        if not len(at):
+            # Only the grams of these windows: runs of windows, each with its further grams.
+            run = np.flatnonzero(np.append(True, own[1:] != own[:-1] + 1))
+            size = np.diff(np.append(run, len(own)))
+            span = size + width - 1
+            base = np.cumsum(span) - span
+            these = gram[np.arange(int(span.sum())) + np.repeat(own[run] - base, span)]
+            spot = np.arange(len(own)) + np.repeat(base - run, size)
+            for salt in seeded(EXTEND, level + 7):
+                more, place = _least_gram(mix(these ^ salt))
+                place = place[spot]
+                fresh |= np.append(True, place[1:] != place[:-1])
+                key = mix(key + more[spot])
+        first = np.flatnonzero(fresh)
+        if not len(first):
             return none
+        at, key, size = own[first], key[first], np.diff(np.append(first, len(own)))
         length = size + LENGTH - 1
         content = mix((sums[at + length] - sums[at]) * down[at] + length.astype(U64) * BYTE_CODES[7])
     text = np.searchsorted(offsets, at, "right") - 1
-    return key[at], content, text, at - offsets[text], size
+    return key, content, text, at - offsets[text], size
 
 
 def _groups(*cols: np.ndarray) -> np.ndarray:
