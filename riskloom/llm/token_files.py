@@ -19,6 +19,7 @@ Spark reaches can hold.  Order: part, then seq, then place in the segment.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
@@ -47,12 +48,12 @@ NO_ID = -(1 << 63)  # stands for a null document id
 # tokenizer
 # --------------------------------------------------------------------------
 class WordEncoder:
-    """The library's encoding, with a bounded cache of words.
+    """The library's encoding, with a bounded cache of stretches between blanks.
 
-    The tokenizer drops white space and encodes the matches of its pattern one
-    by one, so the ids of a text are those of its words in turn.  Texts with
-    characters whose normal form, case or class libraries may see differently,
-    or with special strings, go to the library whole.
+    The tokenizer's pattern matches no white space, so no token spans it and the
+    ids of a text are those of its stretches in turn.  Texts with characters whose
+    normal form, case or class libraries may see differently, or with special
+    strings, go to the library whole.
     """
 
     # The tokenizer file's own word pattern (fixed value).
@@ -66,6 +67,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # Ids that end a match of the pattern: they tell the matches of a line apart.
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
@@ -78,15 +80,15 @@ class WordEncoder:
         ]
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2_000):
-            part = new[at : at + 2_000]
-            ids = self._ids([" ".join(part)])[0]
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                raw, cut = ids.tobytes(), [0, *(stops * 4).tolist()]
-                self.cache.update(
-                    zip(part, (raw[x:y] for x, y in zip(cut, cut[1:], strict=False)), strict=True)
-                )
+        for at in range(0, len(new), 4_000):
+            part = new[at : at + 4_000]
+            words = [self.pattern.findall(x) for x in part]
+            ids = self._ids([" ".join(itertools.chain.from_iterable(words))])[0]
+            stops = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            upto = np.cumsum([0, *map(len, words)])
+            if len(stops) == upto[-1] + 1 and stops[-1] == len(ids):
+                raw, cut = ids.tobytes(), (stops[upto] * 4).tolist()
+                self.cache.update(zip(part, (raw[x:y] for x, y in zip(cut, cut[1:], strict=False)), strict=True))
             else:
                 self.cache.update(zip(part, (x.tobytes() for x in self._ids(part)), strict=True))
 
@@ -94,7 +96,7 @@ class WordEncoder:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         split: list[list[str] | None] = [
-            self.pattern.findall(t.lower()) if "<|" not in t and self.PLAIN.fullmatch(t) else None
+            t.lower().split() if "<|" not in t and self.PLAIN.fullmatch(t) else None
             for t in texts
         ]
         new: set[str] = set()
