@@ -62,6 +62,8 @@ PATTERNS = {
     ),
 }
 ANY_TITLE = regex.compile(r"\b(?:" + "|".join(TITLES) + r")\b")
+HAS_SIGN = regex.compile(r"[A-Za-z0-9]")
+MARKS = "!#$%&*+-./:=?@^_|~"  # drawn for a secret without letters and digits
 HAS_DIGITS = regex.compile(r"\d{2}|\d[. -]\d")
 
 
@@ -86,8 +88,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "person":
                 found.append((m.start(2), -m.end(2), kind, TITLES[m[1]]))
             elif kind == "secret":
-                found.append((m.start(1), -m.end(1), kind, ""))
-            else:
+                if len(set(m[1])) > 1 or m[1][0].isalnum():  # not a mask such as ******** or a rule
+                    found.append((m.start(1), -m.end(1), kind, ""))
+            elif kind != "key" or HAS_SIGN.search(m[0], m[0].index("-") + 1 if "-" in m[0][:5] else 4):
                 found.append((m.start(), -m.end(), kind, ""))
     if not found:
         return []
@@ -222,6 +225,8 @@ def replaced(kind: str, norm: str, round_: int, key: bytes) -> str:
         for i in range(0 if len(parts) == 1 else 2, len(parts), 2):
             parts[i] = "".join(draw.pick(SYLLABLES) for _ in range(3)).capitalize()
         return f"{gender}:" + "".join(parts)
+    if kind == "secret" and not any(c.isalnum() for c in norm):
+        return "".join(draw.pick(MARKS) for _ in norm)
     return redrawn(draw, norm)
 
 

@@ -146,6 +146,14 @@ def test_collisions_are_redrawn(spark, monkeypatch):
     assert "s3" not in {r["new"] for r in got}
 
 
+def test_values_without_letters_and_digits(spark):
+    texts = ["password: ********", "auth: ------", "Password:\n==========", "sk-" + "-" * 20, "pwd = !?#!?#%", "ghp_" + "_" * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [t for _, t in rows(pii.anonymise(df).select("doc_id", "text"))]
+    assert [a == b for a, b in zip(got, texts, strict=True)] == [True] * 4 + [False, True]
+    assert got[4].startswith("pwd = ") and len(got[4]) == len(texts[4])
+
+
 def test_anonymise(spark, odd_docs, no_docs):
     rnd = random.Random(8)
     docs = [(i, f"{words(rnd, 5)} {rnd.choice(CASES[:5])[1]} {words(rnd, 3)} user{i % 7}@mail.example.org") for i in range(60)]
