@@ -11,7 +11,11 @@ titled person a given name of the title's gender.
 
 Collisions are checked over the whole corpus: a surrogate must differ from every
 other surrogate and every real entity of its type.  Entities that fail draw again
-with the next round number until none fails.
+with the next round number until none fails.  Names get a syllable more with each
+round.  The other kinds keep their shape for ``SHAPED_ROUNDS`` rounds; then values
+grow by a character a round, and the octets of an address take any length and
+from ``PORT_ROUNDS`` on a port number follows it.  So every entity settles,
+however many there are.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import pieces, stored
 
 DEFAULT_KEY = b"riskloom surrogate key"
+SHAPED_ROUNDS = 4  # draws that keep the exact shape; later ones are wider
+PORT_ROUNDS = 12
 EXCEPTION_ROWS = 200_000  # redrawn entities sent to all tasks; more are joined
 
 # Titles (fixed values) with the gender of the name that follows; empty: not told.
@@ -63,6 +69,7 @@ PATTERNS = {
 }
 ANY_TITLE = regex.compile(r"\b(?:" + "|".join(TITLES) + r")\b")
 HAS_SIGN = regex.compile(r"[A-Za-z0-9]")
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 MARKS = "!#$%&*+-./:=?@^_|~"  # drawn for a secret without letters and digits
 HAS_DIGITS = regex.compile(r"\d{2}|\d[. -]\d")
 
@@ -186,62 +193,79 @@ COUNTRY_DIGITS = 2  # of a number's leading digits behind "+", when it has at le
 def replaced(kind: str, norm: str, round_: int, key: bytes) -> str:
     """The surrogate's normal form."""
     draw = Draw(key, kind, norm, round_)
+    wider = max(0, round_ - SHAPED_ROUNDS + 1)  # characters that the value grows by
+
+    def grown(chars: str) -> str:
+        return "".join(draw.pick(chars) for _ in range(wider))
+
     if kind == "email":
         name, _, domain = norm.rpartition("@")
         head, _, top = domain.rpartition(".")
-        return f"{redrawn(draw, name)}@{redrawn(Draw(key, 'domain', domain, 0), head)}.{top}"
+        return f"{redrawn(draw, name)}{grown(LETTERS)}@{redrawn(Draw(key, 'domain', domain, 0), head)}.{top}"
     if kind == "card":
-        body = redrawn(draw, norm, 1)
+        body = redrawn(draw, norm, 1) + grown(DIGITS)
         if luhn_ok(norm):
-            body = next(body[:-1] + c for c in "0123456789" if luhn_ok(body[:-1] + c))
+            body = next(body[:-1] + c for c in DIGITS if luhn_ok(body[:-1] + c))
         return body
     if kind == "phone":
         if not norm.startswith("+"):
-            return redrawn(draw, norm)
+            return redrawn(draw, norm) + grown(DIGITS)
         keep = 1 + (1 if norm[1] in "17" else COUNTRY_DIGITS)
-        return redrawn(draw, norm, keep)
+        return redrawn(draw, norm, keep) + grown(DIGITS)
     if kind == "ip":
+        if wider:
+            address = ".".join(str(draw.below(256)) for _ in range(4))
+            more = round_ - PORT_ROUNDS + 1
+            return address + (":" + "".join(draw.pick(DIGITS[1:]) for _ in range(more)) if more > 0 else "")
         return ".".join(
             str(draw.below(10) if len(o) == 1 else 10 + draw.below(90) if len(o) == 2 else 100 + draw.below(156))
             for o in norm.split(".")
         )
     if kind == "iban":
-        return redrawn(draw, norm, 2)
+        return redrawn(draw, norm, 2) + grown(DIGITS)
     if kind == "key":
         for head in ("AKIA", "ASIA", "ghp_", "sk-", "xoxb-", "xoxp-"):
             if norm.startswith(head):
                 return head + "".join(
-                    draw.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" if c.isupper() or c.isdigit() else "abcdefghijklmnopqrstuvwxyz") if c.isalnum() else c
+                    draw.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" if c.isupper() or c.isdigit() else LETTERS) if c.isalnum() else c
                     for c in norm[len(head) :]
-                )
+                ) + grown(LETTERS)
     if kind == "person":
         gender, _, name = norm.partition(":")
         parts = regex.split(r"([ -])", name)
         if not all(p.isascii() for p in parts):
-            return f"{gender}:" + redrawn(draw, name)
+            tail = alike(name[-1]) if len(alike(name[-1])) > 1 else LETTERS
+            return f"{gender}:" + redrawn(draw, name) + "".join(draw.pick(tail) for _ in range(round_))
         if len(parts) > 1:
             given = GIVEN[gender] if gender else GIVEN["m"] + GIVEN["f"]
             parts[0] = draw.pick(given)
         for i in range(0 if len(parts) == 1 else 2, len(parts), 2):
-            parts[i] = "".join(draw.pick(SYLLABLES) for _ in range(3)).capitalize()
+            parts[i] = "".join(draw.pick(SYLLABLES) for _ in range(3 + round_)).capitalize()
         return f"{gender}:" + "".join(parts)
     if kind == "secret" and not any(c.isalnum() for c in norm):
-        return "".join(draw.pick(MARKS) for _ in norm)
-    return redrawn(draw, norm)
+        return "".join(draw.pick(MARKS) for _ in norm) + grown(MARKS)
+    return redrawn(draw, norm) + grown(DIGITS if kind == "ssn" else LETTERS)
 
 
 def shaped(kind: str, value: str, norm: str) -> str:
     """A surrogate's normal form in the spelling of the occurrence ``value``."""
     if kind in ("card", "phone", "ssn", "iban"):
         chars = iter(norm)
-        return "".join(next(chars) if c.isalnum() or c == "+" else c for c in value)
+        return "".join(next(chars) if c.isalnum() or c == "+" else c for c in value) + "".join(chars)
     if kind == "email":
-        return "".join(n.upper() if v.isupper() else n for v, n in zip(value, norm, strict=True))
+        name, domain = value.rpartition("@")[0], value.rpartition("@")[2]
+        new, new_domain = norm.rpartition("@")[0], norm.rpartition("@")[2]
+        return f"{_cased(name, new)}@{_cased(domain, new_domain)}"
     if kind == "person":
         return norm.partition(":")[2]
     return norm
 
 
+def _cased(value: str, new: str) -> str:
+    """``new`` with the capitals of ``value``; what is longer stays."""
+    return "".join(n.upper() if v.isupper() else n for v, n in zip(value, new)) + new[len(value) :]
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct (kind, norm) of all texts."""
 
@@ -273,9 +297,8 @@ def _drawn(ents: DataFrame, key: bytes) -> DataFrame:
 def collision_free(ents: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """(kind, norm, round, new) with ``new`` unique in its kind and no real entity.
 
-    Of several entities that draw the same surrogate the first keeps it.  An
-    entity of a kind whose values are all taken would never settle; the numbers
-    of digits and letters in the kinds above leave far more values than entities.
+    Of several entities that draw the same surrogate the first keeps it.  The
+    values to draw from grow with the round, so the rounds end.
     """
     real = ents.select("kind", F.col("norm").alias("new"))
     held = stored(_drawn(ents.withColumn("round", F.lit(0)), key))

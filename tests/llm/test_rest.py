@@ -154,6 +154,20 @@ def test_values_without_letters_and_digits(spark):
     assert got[4].startswith("pwd = ") and len(got[4]) == len(texts[4])
 
 
+def test_small_value_spaces_grow(spark):
+    quads = [("ip", f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}") for i in range(8000)]
+    small = [("secret", f"*****{c}") for c in "abcdefghijklmnopqrstuvwxyz"] + [("secret", "ªªªªªª"), ("email", "_@x.org"), ("email", "_@y.org")]
+    names = [("person", f"m:{''.join(chr(97 + i // 26**k % 26) for k in range(4)).capitalize()}") for i in range(40_000)]
+    ents = spark.createDataFrame(quads + small + names, "kind string, norm string")
+    got = pii.collision_free(ents).collect()
+    new = {(r["kind"], r["new"]) for r in got}
+    assert len(got) == len(new) == len(quads + small + names) and not new & set(quads + small + names)
+    ports = {pii.replaced("ip", "1.2.3.4", pii.PORT_ROUNDS + 3, bytes([i])) for i in range(9)}
+    assert all(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}:\d{4}", x) for x in ports) and len(ports) == 9
+    for kind, value in (("card", "4041 8949 7460 8795"), ("phone", "+1 (988) 555-2485"), ("email", "A.b@X.org")):
+        assert len(pii.shaped(kind, value, pii.replaced(kind, pii.normal(kind, "", value), 6, b"k"))) == len(value) + 3
+
+
 def test_anonymise(spark, odd_docs, no_docs):
     rnd = random.Random(8)
     docs = [(i, f"{words(rnd, 5)} {rnd.choice(CASES[:5])[1]} {words(rnd, 3)} user{i % 7}@mail.example.org") for i in range(60)]
