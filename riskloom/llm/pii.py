@@ -117,7 +117,7 @@ def normal(kind: str, gender: str, value: str) -> str:
         digits = "".join(c for c in value if c.isdigit())
         return ("+" if value.startswith("+") else "") + digits
     if kind == "email":
-        return value.lower()
+        return "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     if kind == "iban":
         return value.replace(" ", "")
     if kind == "person":
@@ -263,7 +263,7 @@ def shaped(kind: str, value: str, norm: str) -> str:
 
 def _cased(value: str, new: str) -> str:
     """``new`` with the capitals of ``value``; what is longer stays."""
-    return "".join(n.upper() if v.isupper() else n for v, n in zip(value, new)) + new[len(value) :]
+    return "".join(n.upper() if v.isupper() and len(n.upper()) == 1 else n for v, n in zip(value, new)) + new[len(value) :]
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:

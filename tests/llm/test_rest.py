@@ -168,6 +168,13 @@ def test_small_value_spaces_grow(spark):
         assert len(pii.shaped(kind, value, pii.replaced(kind, pii.normal(kind, "", value), 6, b"k"))) == len(value) + 3
 
 
+def test_letters_that_change_length_by_case():
+    for value in ("İnfo@example.com", "info@example.com", "straße@Example.com", "STRAßE.ŉ@example.com"):
+        text, spans = pii.replace_text(f"see {value} now", b"k", {})
+        assert [s[2] for s in spans] == ["email"] and value not in text and text.endswith(" now")
+        assert len(text) == len(value) + 8
+
+
 def test_anonymise(spark, odd_docs, no_docs):
     rnd = random.Random(8)
     docs = [(i, f"{words(rnd, 5)} {rnd.choice(CASES[:5])[1]} {words(rnd, 3)} user{i % 7}@mail.example.org") for i in range(60)]
