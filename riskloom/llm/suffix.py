@@ -7,8 +7,11 @@ are.  A window's key is the smallest hash of its 32-byte grams, so equal windows
 have equal keys; neighbouring windows with the same such gram travel as one
 stretch (199 bytes longer than its number of windows).  Keys of one stretch only
 repeat nothing and go no further.  A key that very many texts share, such as that of
-a frequent line, is extended by the smallest hashes under further hash functions,
-so no key gathers a large share of the windows.
+a frequent line, or whose different stretches take over ``KEY_BYTES`` in all, is
+extended by the smallest hashes under further hash functions.  Keys still above the
+bound after ``LEVELS`` such passes, such as the border of a passage in a large share of
+the texts, are split by whole windows: each window goes under its own hash, so
+such a key has one stretch.  No key gathers more than the bound in one transform.
 
 *Comparing.*  The different stretches of a bucket of keys form one text, whose
 Burrows-Wheeler transform is built over suffixes sorted by at least 200 bytes.
@@ -41,6 +44,9 @@ BWT_BYTES = 1 << 17  # stretch bytes in one transform
 HOT_SHARE, HOT_LEAST = 32, 64  # a key is split if a chunk has it in 1/32 of its texts, 64 at least
 HOT_KEYS = 1 << 20
 LEVELS = 2
+KEY_BYTES = 1 << 20  # different stretches under one key; more are split
+CHUNK_ROWS = 1 << 20  # stretches packed at once
+LAST_BUCKETS = 32  # times the buckets of keys when windows go singly
 EXTEND = 4  # hash functions that a split adds to a key
 OPEN = 255
 
@@ -212,7 +218,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray]):
     A stretch is a run of windows with the same smallest gram at the same place,
     so no window repeats inside one.  ``hot`` lists, by level, the keys to extend;
     with ``hot`` non-empty only windows whose keys are hot at every level but the
-    last are returned.
+    last are returned.  The keys listed at the last level, behind ``LEVELS``, are
+    replaced by the hash of the whole window, each window being a stretch.
     """
     empty = np.zeros(0, np.int64)
     none = empty.view(U64), empty.view(U64), empty, empty, empty
@@ -239,6 +246,10 @@ def stretches(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray]):
             own, key = own[keep], key[keep]
             if not len(own):
                 return none
+            if level >= LEVELS:
+                whole = mix((sums[own + LENGTH] - sums[own]) * down[own] + BYTE_CODES[9])
+                key, fresh = mix(key + whole), np.ones(len(own), bool)
+                continue
             # Only the grams of these windows: runs of windows, each with its further grams.
             run = np.flatnonzero(np.append(True, own[1:] != own[:-1] + 1))
             size = np.diff(np.append(run, len(own)))
@@ -325,8 +336,11 @@ def _collect(buckets: int, hot: list[np.ndarray], factor: int):
         twice = np.repeat(np.add.reduceat(many, first) > 1, count) if len(first) else many > 1
         group = _groups(key[first])
         kinds = np.diff(np.append(group, len(first)))
-        limit = max(HOT_LEAST, len(names) // HOT_SHARE) * factor
-        split = kinds > limit if len(hot) < LEVELS else np.zeros(len(kinds), bool)
+        split = np.zeros(len(kinds), bool)
+        if len(hot) <= LEVELS and len(kinds):
+            split = np.add.reduceat(size[first] + LENGTH - 1, group) > KEY_BYTES * factor
+        if len(hot) < LEVELS:
+            split |= kinds > max(HOT_LEAST, len(names) // HOT_SHARE) * factor
         crowded = np.repeat(split, kinds)
         told = key[first[group][split]]
         # Places of stretches that meet only now, unless their key is split further.
@@ -365,7 +379,7 @@ def _collect(buckets: int, hot: list[np.ndarray], factor: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], fields)
 
     def run(batches):
-        held, passed, texts, size = [], [], {}, 0
+        held, passed, texts, size, count = [], [], {}, 0, 0
         for batch in batches:
             for piece in pieces(batch, "t", SEGMENT):
                 names = np.asarray(piece.column("dk"))
@@ -380,10 +394,11 @@ def _collect(buckets: int, hot: list[np.ndarray], factor: int):
                     one, places = _folded(k, c, number[rows[t]], at + base[t], w)
                     held.append(one)
                     passed.append(places)
+                    count += len(one[0])
                 size += len(data)
-                if size > CHUNK_BYTES:
+                if size > CHUNK_BYTES or count > CHUNK_ROWS:
                     yield pack(held, passed, texts)
-                    held, passed, texts, size = [], [], {}, 0
+                    held, passed, texts, size, count = [], [], {}, 0, 0
         if held:
             yield pack(held, passed, texts)
 
@@ -393,9 +408,10 @@ def _collect(buckets: int, hot: list[np.ndarray], factor: int):
 FOUND = "kind int, key long, content long, dk long, at int, windows int, many int"
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(table: pa.Table, bound: int | None = None) -> pa.Table:
     """One bucket of keys: stretches whose key occurs more than once (kind 0), places
-    known to repeat (kind 1) and keys to split (kind 2)."""
+    known to repeat (kind 1) and keys to split (kind 2), among them those whose
+    different stretches take over ``bound`` bytes."""
     cols = [[], [], [], [], [], []]
     passed: list[list] = [[], [], []]
     told = [np.zeros(0, U64)]
@@ -432,6 +448,12 @@ def _meet(table: pa.Table) -> pa.Table:
             shared = np.repeat(np.add.reduceat(many, key_at) > 1, key_n)
             text_at = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
             weight = np.repeat(np.add.reduceat(many, text_at), np.diff(np.append(text_at, len(k))))
+            if bound is not None:
+                fresh = np.zeros(len(k), np.int64)
+                fresh[text_at] = w[text_at] + LENGTH - 1
+                large = np.add.reduceat(fresh, key_at) > bound
+                told = np.concatenate([told, k[key_at[large]]])
+                shared &= ~np.repeat(large, key_n)
             # The same place of equal texts in several chunks: once is enough.
             once = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (dk[1:] != dk[:-1]) | (at[1:] != at[:-1]))
             use = shared & once
@@ -445,11 +467,15 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table(arrays, names=[x.split()[0] for x in FOUND.split(", ")])
 
 
+def _met(bound: int | None):
+    return lambda table: _meet(table, bound)
+
+
 def shared_stretches(texts: DataFrame) -> DataFrame:
     """Stretches of ``texts`` (dk, t) that may repeat, by the rules of ``_meet``.
 
-    Passes over the texts until no key is shared by too many; after the first,
-    a pass handles the windows of split keys only.
+    Passes over the texts until no key is shared by too many or holds too many bytes;
+    after the first, a pass handles the windows of split keys only.
     """
     total = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
@@ -457,8 +483,9 @@ def shared_stretches(texts: DataFrame) -> DataFrame:
     out = None
     factor = 1
     while True:
-        blobs = texts.mapInArrow(_collect(buckets, hot, factor), BLOB)
-        found = stored(blobs.groupBy("bucket").applyInArrow(_meet, FOUND))
+        last = len(hot) > LEVELS
+        blobs = texts.mapInArrow(_collect(buckets * (LAST_BUCKETS if last else 1), hot, factor), BLOB)
+        found = stored(blobs.groupBy("bucket").applyInArrow(_met(None if last else KEY_BYTES * factor), FOUND))
         named = found.where("kind = 2").select("key")
         keys = named.limit(HOT_KEYS + 1).collect()
         if len(keys) > HOT_KEYS:  # the list of split keys goes to all tasks, so it stays bounded

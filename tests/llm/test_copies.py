@@ -110,6 +110,22 @@ def test_repeats_equal_brute_force(spark, monkeypatch, least):
     assert rows(suffix.digest(suffix.repeats(df))) == sorted(suffix.brute_force(docs), key=repr)
 
 
+def test_border_of_a_common_passage_is_split(spark, monkeypatch):
+    rnd = random.Random(11)
+
+    def noise(n):
+        return "".join(rnd.choice("abcdefghij ") for _ in range(n))
+
+    passage = noise(400)
+    docs = [(i, noise(150) + passage + ("same tail of some " if i % 3 else "") + noise(150)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix, "KEY_BYTES", 3000)
+    found = suffix.shared_stretches(df.selectExpr("xxhash64(text) as dk", "text as t")).where("kind = 0")
+    keys = found.select("key", "content", "windows").distinct().selectExpr("key", "windows + 199 as n").groupBy("key").sum("n")
+    assert keys.agg({"sum(n)": "max"}).first()[0] <= 3000
+    assert rows(suffix.digest(suffix.repeats(df))) == sorted(suffix.brute_force(docs), key=repr)
+
+
 def test_long_texts_are_cut_alike(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SEGMENT", 700)
     monkeypatch.setattr(suffix, "_POWERS", {})
