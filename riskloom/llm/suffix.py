@@ -13,7 +13,8 @@ bound after ``LEVELS`` such passes, such as the border of a passage in a large s
 the texts, are split by whole windows: each window goes under its own hash, so
 such a key has one stretch.  No key gathers more than the bound in one transform.
 
-*Comparing.*  The different stretches of a bucket of keys form one text, whose
+*Comparing.*  Equal texts (xxhash64) and equal stretches (64-bit content hash) are
+told by hash and repeat as a whole.  The different stretches of a bucket of keys form one text, whose
 Burrows-Wheeler transform is built over suffixes sorted by at least 200 bytes.
 Interval expansion then derives the longest common prefixes of neighbouring suffixes in
 increasing order: the intervals of all strings of length l are extended backward
