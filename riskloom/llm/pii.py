@@ -7,10 +7,16 @@ A surrogate keeps what the type shows: digits stay digits and letters stay
 letters of the same case and script, punctuation stays; a phone number keeps its
 country code, a card its first digit and a valid check digit, an address its
 octet lengths, an e-mail its top-level domain (equal domains stay equal), a
-titled person a given name of the title's gender.
+titled person a given name of the title's gender.  Surnames are entities of their
+own, so "Mr John Smith", "Mr Smith" and "Dr Smith" share one; given names are drawn
+by gender and whole name, and a mention whose title tells no gender takes that of
+the same name, else of the same surname, in its text if there is just one.
 
 Collisions are checked over the whole corpus: a surrogate must differ from every
-other surrogate and every real entity of its type.  Entities that fail draw again
+other surrogate and every real entity of its type, for people as printed, over all
+genders.  Surnames and e-mail domains are checked by themselves; given names
+within a surname and local parts within a domain, so whole names and addresses
+differ too.  Entities that fail draw again
 with the next round number until none fails.  Names get a syllable more with each
 round.  The other kinds keep their shape for ``SHAPED_ROUNDS`` rounds; then values
 grow by a character a round, and the octets of an address take any length and
@@ -108,6 +114,24 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if start >= at:
             out.append((start, -stop, kind, gender))
             at = -stop
+    return _gendered(text, out)
+
+
+def _gendered(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` with the gender of people that only other mentions in the text tell."""
+    told: dict[str, set[str]] = {}
+    for a, b, kind, gender in found:
+        if kind == "person" and gender:
+            for name in (text[a:b], text[a:b].rpartition(" ")[2]):
+                told.setdefault(name, set()).add(gender)
+    if not told:
+        return found
+    out = []
+    for a, b, kind, gender in found:
+        if kind == "person" and not gender:
+            known = told.get(text[a:b]) or told.get(text[a:b].rpartition(" ")[2]) or ()
+            gender = next(iter(known)) if len(known) == 1 else ""
+        out.append((a, b, kind, gender))
     return out
 
 
@@ -125,6 +149,17 @@ def normal(kind: str, gender: str, value: str) -> str:
     return value
 
 
+def named(kind: str, gender: str, value: str) -> list[tuple[str, str]]:
+    """(kind, norm) of what an occurrence's surrogate is drawn for."""
+    norm = normal(kind, gender, value)
+    if kind == "email":
+        return [(kind, norm), ("domain", norm.rpartition("@")[2])]
+    if kind == "person":
+        given, _, surname = norm.partition(":")[2].rpartition(" ")
+        return [("surname", surname)] + [(kind, norm)] * bool(given)
+    return [(kind, norm)]
+
+
 class Draw:
     """Endless pseudo-random numbers below given bounds, keyed by an entity."""
 
@@ -191,7 +226,8 @@ COUNTRY_DIGITS = 2  # of a number's leading digits behind "+", when it has at le
 
 
 def replaced(kind: str, norm: str, round_: int, key: bytes) -> str:
-    """The surrogate's normal form."""
+    """The surrogate's normal form; of an e-mail with the real domain, of a person
+    with the real surname: these are drawn as entities of their own."""
     draw = Draw(key, kind, norm, round_)
     wider = max(0, round_ - SHAPED_ROUNDS + 1)  # characters that the value grows by
 
@@ -200,8 +236,10 @@ def replaced(kind: str, norm: str, round_: int, key: bytes) -> str:
 
     if kind == "email":
         name, _, domain = norm.rpartition("@")
-        head, _, top = domain.rpartition(".")
-        return f"{redrawn(draw, name)}{grown(LETTERS)}@{redrawn(Draw(key, 'domain', domain, 0), head)}.{top}"
+        return f"{redrawn(draw, name)}{grown(LETTERS)}@{domain}"
+    if kind == "domain":
+        head, _, top = norm.rpartition(".")
+        return f"{redrawn(draw, head)}{grown(LETTERS)}.{top}"
     if kind == "card":
         body = redrawn(draw, norm, 1) + grown(DIGITS)
         if luhn_ok(norm):
@@ -230,23 +268,29 @@ def replaced(kind: str, norm: str, round_: int, key: bytes) -> str:
                     draw.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" if c.isupper() or c.isdigit() else LETTERS) if c.isalnum() else c
                     for c in norm[len(head) :]
                 ) + grown(LETTERS)
-    if kind == "person":
+    if kind == "person" and " " in norm:
         gender, _, name = norm.partition(":")
-        parts = regex.split(r"([ -])", name)
-        if not all(p.isascii() for p in parts):
-            tail = alike(name[-1]) if len(alike(name[-1])) > 1 else LETTERS
-            return f"{gender}:" + redrawn(draw, name) + "".join(draw.pick(tail) for _ in range(round_))
-        if len(parts) > 1:
-            given = GIVEN[gender] if gender else GIVEN["m"] + GIVEN["f"]
-            parts[0] = draw.pick(given)
-        for i in range(0 if len(parts) == 1 else 2, len(parts), 2):
-            parts[i] = "".join(draw.pick(SYLLABLES) for _ in range(3 + round_)).capitalize()
-        return f"{gender}:" + "".join(parts)
+        given, _, surname = name.rpartition(" ")
+        if not given.isascii():
+            return f"{_longer(draw, redrawn(draw, given), round_)} {surname}"
+        pool = GIVEN[gender] if gender else GIVEN["m"] + GIVEN["f"]
+        parts = [p if p in " -" else draw.pick(pool) for p in regex.split(r"([ -])", given)]
+        return "".join(parts) + "".join("-" + draw.pick(pool) for _ in range(round_ - 1)) + f" {surname}"
+    if kind in ("person", "surname"):
+        name = norm.rpartition(":")[2]
+        if not name.isascii():
+            return _longer(draw, redrawn(draw, name), round_)
+        return "-".join("".join(draw.pick(SYLLABLES) for _ in range(3 + round_)).capitalize() for _ in name.split("-"))
     if kind == "secret" and not any(c.isalnum() for c in norm):
         return "".join(draw.pick(MARKS) for _ in norm) + grown(MARKS)
     return redrawn(draw, norm) + grown(DIGITS if kind == "ssn" else LETTERS)
 
 
+def _longer(draw: Draw, name: str, more: int) -> str:
+    tail = alike(name[-1])
+    return name + "".join(draw.pick(tail if len(tail) > 1 else LETTERS) for _ in range(more))
+
+
 def shaped(kind: str, value: str, norm: str) -> str:
     """A surrogate's normal form in the spelling of the occurrence ``value``."""
     if kind in ("card", "phone", "ssn", "iban"):
@@ -256,11 +300,20 @@ def shaped(kind: str, value: str, norm: str) -> str:
         name, domain = value.rpartition("@")[0], value.rpartition("@")[2]
         new, new_domain = norm.rpartition("@")[0], norm.rpartition("@")[2]
         return f"{_cased(name, new)}@{_cased(domain, new_domain)}"
-    if kind == "person":
-        return norm.partition(":")[2]
     return norm
 
 
+def surrogate(kind: str, gender: str, value: str, key: bytes, rounds: dict[tuple[str, str], int]) -> str:
+    """What replaces the occurrence ``value``."""
+    new = {k: replaced(k, n, rounds.get((k, n), 0), key) for k, n in named(kind, gender, value)}
+    if kind == "email":
+        return shaped(kind, value, new["email"].rpartition("@")[0] + "@" + new["domain"])
+    if kind == "person":
+        given = new.get("person", "").rpartition(" ")[0]
+        return f"{given} {new['surname']}" if given else new["surname"]
+    return shaped(kind, value, new[kind])
+
+
 def _cased(value: str, new: str) -> str:
     """``new`` with the capitals of ``value``; what is longer stays."""
     return "".join(n.upper() if v.isupper() and len(n.upper()) == 1 else n for v, n in zip(value, new)) + new[len(value) :]
@@ -274,7 +327,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
             seen = set()
             for text in batch.column("t").to_pylist():
                 for a, b, kind, gender in find(text or ""):
-                    seen.add((kind, normal(kind, gender, text[a:b])))
+                    seen.update(named(kind, gender, text[a:b]))
             own = sorted(seen)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in own], pa.string()), pa.array([x for _, x in own], pa.string())],
@@ -297,10 +350,14 @@ def _drawn(ents: DataFrame, key: bytes) -> DataFrame:
 def collision_free(ents: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """(kind, norm, round, new) with ``new`` unique in its kind and no real entity.
 
+    ``new`` is a person's given name with the real surname, an e-mail's local part
+    with the real domain; see ``replaced``.
+
     Of several entities that draw the same surrogate the first keeps it.  The
     values to draw from grow with the round, so the rounds end.
     """
-    real = ents.select("kind", F.col("norm").alias("new"))
+    visible = F.when(F.col("kind") == "person", F.regexp_replace("norm", "^[mf]?:", "")).otherwise(F.col("norm"))
+    real = ents.select("kind", visible.alias("new"))
     held = stored(_drawn(ents.withColumn("round", F.lit(0)), key))
     while True:
         first = held.groupBy("kind", "new").agg(F.min(F.struct("round", "norm")).alias("first"), F.count("*").alias("n"))
@@ -323,8 +380,7 @@ def replace_text(text: str, key: bytes, rounds: dict[tuple[str, str], int]) -> t
     out, spans, at = [], [], 0
     size = 0
     for a, b, kind, gender in find(text):
-        norm = normal(kind, gender, text[a:b])
-        new = shaped(kind, text[a:b], replaced(kind, norm, rounds.get((kind, norm), 0), key))
+        new = surrogate(kind, gender, text[a:b], key, rounds)
         out += [text[at:a], new]
         size += a - at
         spans.append((size, size + len(new), kind))
@@ -391,7 +447,7 @@ def _with_rounds(src: DataFrame, again: DataFrame) -> DataFrame:
             rows = set()
             for h, text in zip(batch.column("h").to_pylist(), batch.column("t").to_pylist(), strict=True):
                 for a, b, kind, gender in find(text or ""):
-                    rows.add((h, kind, normal(kind, gender, text[a:b])))
+                    rows.update((h, k, norm) for k, norm in named(kind, gender, text[a:b]))
             cols = list(zip(*sorted(rows), strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["h", "kind", "norm"])
 

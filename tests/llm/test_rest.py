@@ -175,6 +175,29 @@ def test_letters_that_change_length_by_case():
         assert len(text) == len(value) + 8
 
 
+def test_mentions_of_a_person_agree():
+    text, _ = pii.replace_text("Mr John Smith met Dr Smith, Mr. Smith and Dr John Smith; Mrs Smith-Jones.", b"k", {})
+    new = re.fullmatch(r"Mr (\w+) (\w+) met Dr (\w+), Mr\. (\w+) and Dr (\w+) (\w+); Mrs (\w+-\w+)\.", text).groups()
+    assert new[1] == new[2] == new[3] == new[5] != "Smith" and new[0] == new[4] in pii.GIVEN["m"]
+
+
+def test_people_and_domains_differ_as_printed(spark):
+    rnd = random.Random(3)
+    names = sorted({"".join(rnd.choice("abcdefghij") for _ in range(5)).capitalize() for _ in range(900)})
+    people = [f"{'Mr' if i % 2 else 'Ms'} {n}" for i, n in enumerate(names)]
+    people += [f"Mr {a.capitalize()}us Miller" for a in pii.SYLLABLES]
+    mails = [f"{a}@{b}.org" for a in "xyz" for b in "abcdefghijklmn"]
+    df = spark.createDataFrame([(i, f"see {v};") for i, v in enumerate(people + mails)], "doc_id long, text string")
+    got = dict(rows(pii.anonymise(df).select("doc_id", "text")))
+    printed = [got[i].split(" ", 2)[2] for i in range(len(people))]
+    assert len(set(printed)) == len(people) and not {x.rstrip(";") for x in printed} & set(names)
+    assert len({x.rsplit(" ")[-1] for x in printed[len(names) :]}) == 1  # one surname
+    new = [got[len(people) + i][4:-1] for i in range(len(mails))]
+    assert len(set(new)) == len(new) and not set(new) & set(mails)
+    pairs_ = {(a.split("@")[1], b.split("@")[1]) for a, b in zip(mails, new, strict=True)}
+    assert len(pairs_) == len({b for _, b in pairs_}) == 14 and not {a for a, _ in pairs_} & {b for _, b in pairs_}
+
+
 def test_anonymise(spark, odd_docs, no_docs):
     rnd = random.Random(8)
     docs = [(i, f"{words(rnd, 5)} {rnd.choice(CASES[:5])[1]} {words(rnd, 3)} user{i % 7}@mail.example.org") for i in range(60)]
