@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import unicodedata
 from collections.abc import Iterator
 
@@ -66,16 +67,28 @@ PATTERNS = {
     "card": regex.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"),
     "ip": regex.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"),
     "phone": regex.compile(
-        r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"
+        r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+        r"|\d{3} \d{3} \d{4}|0\d(?:[ .-]\d\d){4}|0\d{2,4}[ /]\d{5,8}|0\d{2,4} \d{3,4} \d{3,4})(?![\w-]|[ .]\d)"
     ),
+    "ipv6": regex.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:]|\.\d)"),
     "ssn": regex.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "person": regex.compile(
         r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? (\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2})"
     ),
 }
+# A whole name in front of an e-mail address, and one under a letter.
+NAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){1,2}"
+BY_EMAIL = regex.compile(rf"\b({NAME}),? ?[<(\[]?(?:mailto:)?$")
+SIGNED = regex.compile(
+    r"\b(?:[Rr]egards|[Ss]incerely|Yours (?:truly|faithfully)|[Gg]rüßen?|Cordialement|Saludos|Atentamente|Signed(?: by)?)[,:]?\s+"
+    rf"({NAME})(?=\s*(?:[\n,.;]|$))"
+)
+ANY_SIGNED = regex.compile("egards|incerely|Yours|rüße|Cordialement|Saludos|Atentamente|Signed")
+NEAR = 80  # characters in front of an e-mail address that are searched for a name
+CAPITALISED = regex.compile(r"(?<![\w])\p{Lu}\p{Ll}+(?!\w)")
 ANY_TITLE = regex.compile(r"\b(?:" + "|".join(TITLES) + r")\b")
 HAS_SIGN = regex.compile(r"[A-Za-z0-9]")
-LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+LETTERS, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 MARKS = "!#$%&*+-./:=?@^_|~"  # drawn for a secret without letters and digits
 HAS_DIGITS = regex.compile(r"\d{2}|\d[. -]\d")
 
@@ -93,6 +106,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         wanted += ["iban", "card", "ip", "phone", "ssn"]
     if digits or "-" in text or "_" in text or "AKIA" in text or "ASIA" in text:
         wanted.append("key")
+    if text.count(":") > 1:
+        wanted.append("ipv6")
     if ANY_TITLE.search(text):
         wanted.append("person")
     found = []
@@ -100,13 +115,24 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in PATTERNS[kind].finditer(text):
             if kind == "person":
                 found.append((m.start(2), -m.end(2), kind, TITLES[m[1]]))
+            elif kind == "ipv6":
+                if _is_ipv6(m[0]):
+                    found.append((m.start(), -m.end(), kind, ""))
             elif kind == "secret":
                 if len(set(m[1])) > 1 or m[1][0].isalnum():  # not a mask such as ******** or a rule
                     found.append((m.start(1), -m.end(1), kind, ""))
             elif kind != "key" or HAS_SIGN.search(m[0], m[0].index("-") + 1 if "-" in m[0][:5] else 4):
                 found.append((m.start(), -m.end(), kind, ""))
+            if kind == "email":
+                name = BY_EMAIL.search(text[max(0, m.start() - NEAR) : m.start()])
+                if name:
+                    at = max(0, m.start() - NEAR)
+                    found.append((at + name.start(1), -(at + name.end(1)), "person", ""))
+    if ANY_SIGNED.search(text):
+        found += [(m.start(1), -m.end(1), "person", "") for m in SIGNED.finditer(text)]
     if not found:
         return []
+    found += _later_mentions(text, {text[a:-b] for a, b, kind, _ in found if kind == "person"})
     rank = {k: i for i, k in enumerate(PATTERNS)}
     found.sort(key=lambda x: (x[0], x[1], rank[x[2]]))
     out, at = [], 0
@@ -117,6 +143,30 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return _gendered(text, out)
 
 
+def _is_ipv6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in value)  # not C++ names such as a::b
+
+
+def _later_mentions(text: str, names: set[str]) -> list[tuple[int, int, str, str]]:
+    """Mentions without title of the whole names and surnames that the text introduces."""
+    names = names | {n.rpartition(" ")[2] for n in names}
+    if not names:
+        return []
+    # One pass over capitalised words; a set lookup each, however many names there are.
+    words = list(CAPITALISED.finditer(text))
+    out = []
+    for i, w in enumerate(words):
+        for j in range(min(i + 6, len(words)) - 1, i - 1, -1):
+            if text[w.start() : words[j].end()] in names:
+                out.append((w.start(), -words[j].end(), "person", ""))
+                break
+    return out
+
+
 def _gendered(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """``found`` with the gender of people that only other mentions in the text tell."""
     told: dict[str, set[str]] = {}
@@ -144,6 +194,8 @@ def normal(kind: str, gender: str, value: str) -> str:
         return "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(value).compressed
     if kind == "person":
         return f"{gender}:{unicodedata.normalize('NFC', value)}"
     return value
@@ -247,7 +299,7 @@ def replaced(kind: str, norm: str, round_: int, key: bytes) -> str:
         return body
     if kind == "phone":
         if not norm.startswith("+"):
-            return redrawn(draw, norm) + grown(DIGITS)
+            return redrawn(draw, norm, norm.startswith("0")) + grown(DIGITS)
         keep = 1 + (1 if norm[1] in "17" else COUNTRY_DIGITS)
         return redrawn(draw, norm, keep) + grown(DIGITS)
     if kind == "ip":
@@ -259,6 +311,13 @@ def replaced(kind: str, norm: str, round_: int, key: bytes) -> str:
             str(draw.below(10) if len(o) == 1 else 10 + draw.below(90) if len(o) == 2 else 100 + draw.below(156))
             for o in norm.split(".")
         )
+    if kind == "ipv6":
+        if wider:
+            return ":".join(f"{draw.below(0xF000) + 0x1000:x}" for _ in range(8))
+        # Groups keep their length and zeros stay, so the form stays the shortest one.
+        return ":".join(
+            g if g in ("", "0") else draw.pick(HEX[1:]) + "".join(draw.pick(HEX) for _ in g[1:]) for g in norm.split(":")
+        )
     if kind == "iban":
         return redrawn(draw, norm, 2) + grown(DIGITS)
     if kind == "key":
@@ -300,6 +359,9 @@ def shaped(kind: str, value: str, norm: str) -> str:
         name, domain = value.rpartition("@")[0], value.rpartition("@")[2]
         new, new_domain = norm.rpartition("@")[0], norm.rpartition("@")[2]
         return f"{_cased(name, new)}@{_cased(domain, new_domain)}"
+    if kind == "ipv6":
+        norm = ipaddress.IPv6Address(norm).exploded if len(value) == 39 else norm
+        return norm.upper() if value.upper() == value else norm
     return norm
 
 

@@ -198,6 +198,26 @@ def test_people_and_domains_differ_as_printed(spark):
     assert len(pairs_) == len({b for _, b in pairs_}) == 14 and not {a for a, _ in pairs_} & {b for _, b in pairs_}
 
 
+@pytest.mark.parametrize("kind,value", [("phone", v) for v in ("555 123 4567", "01 23 45 67 89", "030 1234567", "020 7946 0958")] + [
+    ("ipv6", v) for v in ("2001:db8::ff00:42:8329", "fe80::1", "2001:0DB8:0000:0000:0000:FF00:0042:8329")])
+def test_national_phones_and_ipv6(kind, value):
+    text, spans = pii.replace_text(f"call {value} now", b"k", {})
+    assert [s[2] for s in spans] == [kind] and value not in text
+    assert [s[2] for s in pii.replace_text(text, b"k", {})[1]] == [kind] or value[0] == "5"
+    assert re.sub(r"[0-9a-fA-F]", "x", text[5:-4]) == re.sub(r"[0-9a-fA-F]", "x", value)
+
+
+def test_people_without_title():
+    text, spans = pii.replace_text(
+        "Mr John Smith came. John Smith saw Smith.\nAnna Berg <anna@x.org> and Berg.\nBest regards,\nPaul Maier\n", b"k", {}
+    )
+    assert not any(n in text for n in ("John", "Smith", "Anna", "Berg", "Paul Maier", "Maier"))
+    m = re.match(r"Mr (\w+ (\w+)) came\. (\w+ \w+) saw (\w+)\.\n\w+ (\w+) <[^>]+> and (\w+)\.\nBest regards,\n", text)
+    assert m[1] == m[3] and m[2] == m[4] and m[5] == m[6]
+    for plain in ("The std::vector<int> a::b at 12:30:45", "on 01.02.2020, 05/12/2020 or 2020-01-02", "Best regards, all of us"):
+        assert pii.replace_text(plain, b"k", {}) == (plain, [])
+
+
 def test_anonymise(spark, odd_docs, no_docs):
     rnd = random.Random(8)
     docs = [(i, f"{words(rnd, 5)} {rnd.choice(CASES[:5])[1]} {words(rnd, 3)} user{i % 7}@mail.example.org") for i in range(60)]
