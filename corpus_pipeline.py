@@ -1,7 +1,8 @@
 """Corpus pipeline: stages over ``documents``, each written and read again.
 
 1. language ID: documents whose language cannot be told go: texts without a
-   letter, and texts far from the profile of every language;
+   letter, and texts that score far below the training texts of their length in
+   the nearest language;
 2. n-gram Jaccard join: of each group of near copies the smallest id stays;
 3. benchmark decontamination: documents that share a window with an item go;
 4. PII: entities in the text are replaced by surrogates, ``n_chars`` follows;
@@ -18,14 +19,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, decontam, langid, ngram_join, pii
 from riskloom.llm.common import prepare, read_table, stored
 
 # A text in no learned language shares few of the ranked n-grams: its score is near 0.
-LEAST_SCORE = 0.2
+LEAST_SCORE = 0.2  # highest bar; scripts with many letters and short texts have lower ones
+LOW_SHARE, FAR = 0.05, 0.5  # bar: FAR times the score that LOW_SHARE of the language's training texts stay under
 
 
 def _rows(docs: DataFrame, *without: str) -> DataFrame:
@@ -35,12 +37,35 @@ def _rows(docs: DataFrame, *without: str) -> DataFrame:
     )
 
 
+def _length_class(text: Column) -> Column:
+    """Texts of one class differ in length by less than a factor of two."""
+    return F.floor(F.log2(F.length(text) + 1)).cast("int")
+
+
+def score_bars(docs: DataFrame, profiles: dict[str, list[int]]) -> tuple[DataFrame, DataFrame]:
+    """(lang_pred, class, bar) from the training texts that are told as their own
+    language, and (lang_pred, low) with the lowest bar, for lengths they lack."""
+    rows = langid.training_rows(docs).where("lang is not null and text is not null")
+    label = F.struct(rows["lang"].cast("string").alias("own"), _length_class(rows["text"]).alias("class"))
+    told = langid.predict(rows.select(label.alias("label"), rows["text"].alias("body")), profiles, "label", "body")
+    low = F.percentile_approx("score", LOW_SHARE, 1000) * FAR
+    bars = stored(
+        told.where(F.col("doc_id.own") == F.col("lang_pred"))
+        .groupBy("lang_pred", F.col("doc_id.class").alias("class"))
+        .agg(F.least(low, F.lit(LEAST_SCORE)).alias("bar"))
+    )
+    return bars, bars.groupBy("lang_pred").agg(F.min("bar").alias("low"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told; profiles come from the labelled rows of ``docs``."""
     prepare(spark)
     profiles = langid.fit(langid.training_rows(docs))
     told = langid.predict(_rows(docs), profiles, "row", "body")
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id.*")
+    bars, lowest = score_bars(docs, profiles)
+    told = told.where("lang_pred != 'und'").withColumn("class", _length_class(F.col("doc_id.text")))
+    told = told.join(F.broadcast(bars), ["lang_pred", "class"], "left").join(F.broadcast(lowest), "lang_pred", "left")
+    return told.where(F.col("score") >= F.coalesce("bar", "low", F.lit(LEAST_SCORE))).select("doc_id.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -5,6 +7,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from riskloom.llm import decontam, langid, ngram_join, pii, queries
 
+from .conftest import DOC_SCHEMA
+
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,3 +57,16 @@ def test_one_of_equal_rows_stays(odd_docs, spark):
 def test_registered_queries():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_short_texts_of_large_scripts_stay(spark):
+    rnd = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(3500)]
+    weight = [1 / (i + 10) for i in range(3500)]
+    big = ["".join(rnd.choices(letters, weight, k=n)) for n in (50, 100, 300) for _ in range(60)]
+    small = [" ".join(rnd.choices("the cat sat on a mat with some other dogs and birds".split(), k=40)) for _ in range(90)]
+    odd = ["".join(chr(0x3B1 + rnd.randrange(17)) for _ in range(n)) for n in (50, 100, 300)]  # in no learned language
+    rows_ = [(t, "zz") for t in big] + [(t, "en") for t in small] + [(t, None) for t in odd]
+    docs = spark.createDataFrame([(i, t, lang, "a", len(t)) for i, (t, lang) in enumerate(rows_)], DOC_SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert kept == set(range(len(big) + len(small)))
