@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, ngram_join, pii, quality, reshard, rpforest, suffix, token_files
+from . import (
+    bpe, decontam, langid, license_scan, negatives, ngram_join, pii, quality, repair, reshard, rpforest, suffix,
+    token_files,
+)
 from .common import read_table
 
 
@@ -66,6 +69,20 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.digest(decontam.annotate(docs, items))
 
 
+def op11_anchor_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(read_table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
@@ -78,8 +95,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_round_trip": op8_bpe_round_trip,
         "op9_projection_forest": op9_projection_forest,
         "op10_winnowing_decontamination": op10_winnowing_decontamination,
+        "op11_anchor_tree_negatives": op11_anchor_tree_negatives,
+        "op12_license_scan": op12_license_scan,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_winnowing_decontamination": decontam.ORACLE}
+    return {
+        "op10_winnowing_decontamination": decontam.ORACLE,
+        "op11_anchor_tree_negatives": negatives.ORACLE,
+        "op12_license_scan": license_scan.ORACLE,
+    }
