@@ -341,7 +341,7 @@ def recommended_model(comparison: DataFrame) -> DataFrame:
         F.col("model_name").alias("recommended_model"),
         F.col("threshold").alias("selected_threshold"),
         F.format_string(
-            "Recommended by latest artifact because it leads on PR-AUC (%.3f) under the current selection policy.",
+            config.RECOMMENDATION_NOTE,
             F.col("pr_auc"),
         ).alias("recommendation_reason"),
     )

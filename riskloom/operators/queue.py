@@ -12,7 +12,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranking import global_rank
+from riskloom.operators.ranking import global_rank, keys_below
+from riskloom.session import stored
 
 MAX_PAGE_SIZE = 200
 DEFAULT_PAGE_SIZE = 50
@@ -81,27 +82,25 @@ def entity_view(
     )
 
 
-def numbered_page(view: DataFrame, page: DataFrame) -> DataFrame:
-    """``page`` (at most ``MAX_PAGE_SIZE`` rows of ``view``) with the dense ids of its rows.
+def numbered_page(view: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
+    """The first ``limit`` rows of ``view`` (that meet ``where``) with their dense ids.
 
     A row's id is the number of view rows up to it in (source_file,
-    source_row_number) order: one pass counts them for all rows of the page.
+    source_row_number) order, a null file first.  The view is computed once and kept;
+    one pass over its keys tells in which interval between page keys each row lies, and
+    the interval counts are summed upward.  Page and counts are joined in Spark.
     """
-    rows = page.collect()
-    if len(rows) > MAX_PAGE_SIZE:
-        raise ValueError(f"a page has at most {MAX_PAGE_SIZE} rows")
-    schema = page.schema.add("reservation_id", "long")
-    if not rows:
-        return page.sparkSession.createDataFrame([], schema)
-    file, number = F.col("source_file"), F.col("source_row_number")
-    upto = [
-        F.count_if(
-            file.isNull() | (file < F.lit(r["source_file"])) | ((file == F.lit(r["source_file"])) & (number <= r["source_row_number"]))
-        )
-        for r in rows
-    ]
-    ids = view.agg(F.array(*upto).alias("ids")).first()["ids"]
-    return page.sparkSession.createDataFrame([(*r, i) for r, i in zip(rows, ids, strict=True)], schema)
+    kept = stored(view)
+    page = kept if where is None else kept.where(where)
+    page = stored(page.orderBy(*artifact_order()).limit(check_page_size(limit)))
+    key = F.struct("source_file", "source_row_number")
+    # The keys of a page: one small value.
+    keys = page.agg(F.array_sort(F.collect_list(key)).alias("keys")).scalar()
+    below = lambda rows: rows.withColumn("_keys", keys).withColumn("_at", keys_below(key, F.col("_keys"), MAX_PAGE_SIZE))
+    counts = below(kept.select("source_file", "source_row_number")).groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+    upward = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)  # at most MAX_PAGE_SIZE + 1 rows
+    ids = counts.select("_at", F.sum("_n").over(upward).cast("bigint").alias("reservation_id"))
+    return below(page).drop("_keys").join(F.broadcast(ids), "_at").drop("_at")
 
 
 def artifact_order(with_arrival: bool = True) -> list[Column]:
@@ -110,14 +109,13 @@ def artifact_order(with_arrival: bool = True) -> list[Column]:
     return [F.col("score").desc_nulls_last(), *arrival, F.col("source_file").asc(), F.col("source_row_number").asc()]
 
 
-def apply_filters(
-    df: DataFrame,
+def filter_condition(
     property_id: str | None = None,
     distribution_channel: str | None = None,
     risk_class: str | None = None,
     date_from: dt.date | str | None = None,
     date_to: dt.date | str | None = None,
-) -> DataFrame:
+) -> Column | None:
     """Conjunctive optional filters (P44); only given arguments become predicates."""
     conds: list[Column] = []
     if property_id:
@@ -130,9 +128,16 @@ def apply_filters(
         conds.append(F.col("arrival_date") >= F.lit(date_from).cast("date"))
     if date_to:
         conds.append(F.col("arrival_date") <= F.lit(date_to).cast("date"))
+    out = None
     for c in conds:
-        df = df.filter(c)
-    return df
+        out = c if out is None else out & c
+    return out
+
+
+def apply_filters(df: DataFrame, **filters) -> DataFrame:
+    """Rows that meet ``filter_condition``."""
+    cond = filter_condition(**filters)
+    return df if cond is None else df.where(cond)
 
 
 def queue_order(id_ascending: bool = False, id_col: str = "reservation_id") -> list[Column]:

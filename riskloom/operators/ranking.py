@@ -140,3 +140,16 @@ def prefix_sums(
     local = Window.partitionBy("_rk_part", *by).orderBy("_rk_place").rowsBetween(Window.unboundedPreceding, 0)
     out = with_cells(rows.select("*", *[F.sum(c).over(local).alias(f"_rk_l_{c}") for c in sums]), cells, by)
     return out.select(*df.columns, *[(F.col(f"_rk_o_{c}") + F.col(f"_rk_l_{c}")).alias(f"{c}{suffix}") for c in sums])
+
+
+def keys_below(key: Column, keys: Column, most: int) -> Column:
+    """Number of values in the sorted array ``keys`` (at most ``most``) that lie below ``key``.
+
+    A binary search by halving steps; a null key (or struct with nulls) sorts first.
+    """
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most).bit_length()))])
+
+    def step(at: Column, by: Column) -> Column:
+        return F.when(F.get(keys, at + by - 1) < key, at + by).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)

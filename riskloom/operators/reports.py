@@ -119,7 +119,7 @@ def operations_summary(rows: DataFrame, actions: DataFrame | None = None, store_
     ).select(*SUMMARY_COLUMNS)
     if not store_rules:
         out = out.withColumn(
-            "note", F.lit("Artifact fallback read-only mode. Action metrics become available after DB persistence.")
+            "note", F.lit(config.SUMMARY_NOTES[config.ARTIFACT_SOURCE])
         )
     return out
 
@@ -195,7 +195,7 @@ def action_effectiveness(rows: DataFrame, actions: DataFrame | None) -> DataFram
         )
         totals = cov.withColumns({c: F.lit(0).cast("bigint") for c in EFFECTIVENESS_COLUMNS[:4]})
         return totals.select(*EFFECTIVENESS_COLUMNS).withColumn(
-            "note", F.lit("Artifact fallback read-only mode. Action analytics require DB-backed action logs.")
+            "note", F.lit(config.ACTION_NOTES[config.ARTIFACT_SOURCE])
         )
     acted = actions.select("reservation_id").distinct().withColumn("_acted", F.lit(True))
     flagged = high.join(acted, "reservation_id", "left")
@@ -238,7 +238,7 @@ def split_text(train_years, test_years) -> str:
     def span(years) -> str:
         return str(min(years)) if len(set(years)) == 1 else f"{min(years)}-{max(years)}"
 
-    return f"time-based split: train on {span(train_years)}, test on {span(test_years)}"
+    return config.SPLIT_NOTE % (span(train_years), span(test_years))
 
 
 def bootstrap_benchmark(spark, train_years=config.TRAIN_YEARS, test_years=config.TEST_YEARS) -> DataFrame:

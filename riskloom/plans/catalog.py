@@ -115,10 +115,9 @@ def queue_store(spark, sf_dir):
 
 @register("queue_artifact")
 def queue_artifact(spark, sf_dir):
-    view = _f(spark, sf_dir).view()
-    filtered = queue.apply_filters(view, property_id="CITY_H2", risk_class="high")
-    page = filtered.orderBy(*queue.artifact_order()).limit(queue.check_page_size(50))
-    return queue.numbered_page(view, page).select(*QUEUE_COLUMNS)
+    view = _f(spark, sf_dir).view().select(*QUEUE_COLUMNS[1:], "source_row_number")
+    wanted = queue.filter_condition(property_id="CITY_H2", risk_class="high")
+    return queue.numbered_page(view, 50, wanted).select(*QUEUE_COLUMNS)
 
 
 @register("queue_count")
@@ -154,11 +153,9 @@ def risky_store(spark, sf_dir):
 
 @register("risky_artifact")
 def risky_artifact(spark, sf_dir):
-    view = _f(spark, sf_dir).view()
-    page = view.where(F.col("risk_class").isin("high", "medium")).orderBy(*queue.artifact_order()).limit(12)
-    return queue.numbered_page(view, page).select(
-        "reservation_id", "property_id", "arrival_date", "distribution_channel", "risk_class", "score", "model_version"
-    )
+    columns = ("property_id", "arrival_date", "distribution_channel", "risk_class", "score", "model_version")
+    view = _f(spark, sf_dir).view().select(*columns, "source_file", "source_row_number")
+    return queue.numbered_page(view, 12, F.col("risk_class").isin("high", "medium")).select("reservation_id", *columns)
 
 
 # --- reports ---------------------------------------------------------------------------
@@ -644,7 +641,7 @@ def benchmark_report(spark, sf_dir):
     rows = comparison.join(versions, "model_name").select(
         "model_name",
         F.lit("trained").alias("status"),
-        F.format_string("Version %s evaluated from latest artifact.", "model_version").alias("notes"),
+        F.format_string(config.VERSION_NOTE, "model_version").alias("notes"),
         "pr_auc", "roc_auc", "precision", "recall", "f1", "brier_score",
         (F.col("comparison_rank") == 1).alias("is_recommended"),
         F.lit(reports.split_text(TRAIN_YEARS, TEST_YEARS)).alias("split_strategy"),
@@ -698,6 +695,8 @@ def action_stream_ingest(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from riskloom.plans import answers  # noqa: F401  registers the composed answers
+
     return dict(REGISTRY)
 
 

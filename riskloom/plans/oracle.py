@@ -869,6 +869,9 @@ def oracle_sql() -> dict[str, str]:
     out.update(_report_queries())
     out.update(_more_queries())
     out.update(_action_queries())
+    from riskloom.plans import oracle_answers
+
+    out.update(oracle_answers.queries(out))
     # the streaming ingest accepts exactly the batch path's rows
     out["action_stream_ingest"] = out["action_asof_prediction"]
     return out

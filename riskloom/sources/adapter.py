@@ -134,6 +134,21 @@ def raw_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reservation_base(spark, sf_dir).drop("arrival_text")
 
 
+def raw_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_file, value): the raw rows as CSV lines with all fields quoted.
+
+    Every 61st order has a field too many, every 67th lacks its last two (one that is both
+    has too many).
+    """
+    fields = [f"concat('\"', replace({c}, '\"', '\"\"'), '\"')" for c in RAW_COLUMNS]
+    whole, cut = f"concat_ws(',', {', '.join(fields)})", f"concat_ws(',', {', '.join(fields[:-2])})"
+    return raw_reservations(spark, sf_dir).selectExpr(
+        "source_file",
+        f"CASE WHEN reservation_id % 61 = 0 THEN concat({whole}, ',\"more, than asked\"')"
+        f" WHEN reservation_id % 67 = 0 THEN {cut} ELSE {whole} END AS value",
+    )
+
+
 def predictions(spark: SparkSession, sf_dir: str, with_keys: bool = True) -> DataFrame:
     """Prediction history: one scored row per line item (two models by line status).
 

@@ -7,8 +7,11 @@ JVM ``FileSystem`` so they work the same on a cluster.
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,12 +57,49 @@ CSV_RULES = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteS
 _NO_NULL = "\u0001no null\u0001"
 
 
+# Holds the text of a record whose number of fields differs from the header's.
+RECORD = "_record"
+ERROR_COLUMNS = ("source_file", "source_row_number", "raw_record", "error_code", "error_message")
+
+
+def _first_record(spark: SparkSession, path: str) -> str:
+    """The first record that is not blank, with the line breaks its quotes hold."""
+    fs, p = _fs_path(spark, path)
+    jvm = spark.sparkContext._jvm
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        record = ""
+        while (line := reader.readLine()) is not None:
+            record += line
+            if record.strip() and record.count('"') % 2 == 0:
+                break
+            record = record + "\n" if record.strip() else ""
+        return record.removeprefix("\ufeff")
+    finally:
+        reader.close()
+
+
 def header_columns(spark: SparkSession, path: str) -> list[str]:
-    """Column names of one CSV file, read by the same rules as its rows."""
-    df = spark.read.options(**CSV_RULES).option("multiLine", "true").csv(path)
-    if not df.columns:
+    """Column names of one CSV file: one read of its first record, no Spark job.
+
+    An unnamed column gets its place as a name, a repeated name its place behind it.
+    """
+    names = next(csv.reader(io.StringIO(_first_record(spark, path))), [])
+    if not names:
         raise ValueError(f"Empty CSV file: {path}")
-    return df.columns
+    names = [n or f"_c{i}" for i, n in enumerate(names)]
+    lower = [n.lower() for n in names]
+    return [n if lower.count(n.lower()) == 1 else f"{n}{i}" for i, n in enumerate(names)]
+
+
+def header_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header; the headers are read side by side."""
+    found = _csv_files(spark, paths)
+    out: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for path, names in zip(found, pool.map(lambda f: header_columns(spark, f), found), strict=True):
+            out.setdefault(tuple(names), []).append(path)
+    return out
 
 
 def _csv_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -78,11 +118,15 @@ def _csv_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return sorted(out)
 
 
-def _text_scan(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], multi_line: bool, base: str | None) -> DataFrame:
+def _text_scan(
+    spark: SparkSession, paths: Sequence[str], columns: Sequence[str], multi_line: bool, base: str | None, header: bool = True
+) -> DataFrame:
+    """All columns as text, the text of malformed records, and each record's place."""
     reader = (
-        spark.read.schema(all_string_schema(columns)).options(**CSV_RULES)
-        .option("multiLine", str(multi_line).lower())
-        .option("nullValue", _NO_NULL).option("emptyValue", "").option("mode", "PERMISSIVE")
+        spark.read.schema(all_string_schema([*columns, RECORD])).options(**CSV_RULES)
+        .option("header", str(header).lower()).option("multiLine", str(multi_line).lower())
+        .option("nullValue", _NO_NULL).option("emptyValue", "")
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RECORD)
     )
     if base:
         reader = reader.option("basePath", base)
@@ -90,30 +134,70 @@ def _text_scan(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]
         {"_file": F.col("_metadata.file_name"), "_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
     )
     # The parser hands an empty field on as null; here it is the empty text.
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in columns}).withColumn("_fields", F.lit(len(columns)))
 
 
-def read_snapshot_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A snapshot file: all text, its own key columns kept, no numbering."""
-    (path,) = require_inputs(spark, [path])
-    first = _csv_files(spark, [path])[0]
-    columns = header_columns(spark, first)
-    return _text_scan(spark, [path], columns, multi_line, None).select(*columns)
+def _scan_groups(
+    spark: SparkSession, groups: dict, multi_line: bool, base: str | None, source: str | None, header: bool = True
+) -> DataFrame:
+    """One stored scan for each header, joined by column name; malformed records included."""
+    out = None
+    for names, paths in groups.items():
+        df = _text_scan(spark, paths, names, multi_line, base, header)
+        df = df.select(
+            *names,
+            F.col(source or "_file").cast("string").alias("source_file"),
+            RECORD, "_fields", "_path", "_block",
+            F.monotonically_increasing_id().alias("_mid"),
+        )
+        df = stored(df)  # one scan fixes the rows, their places and what is malformed
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def _split_malformed(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of numbered records."""
+    # Quoted stretches hold no separators; a doubled quote is two stretches side by side.
+    bare = F.regexp_replace(RECORD, r'"[^"]*+"', "")
+    found = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    code = F.when(found < F.col("_fields"), "too_few_fields").when(found > F.col("_fields"), "too_many_fields").otherwise("unreadable")
+    errors = numbered.where(F.col(RECORD).isNotNull()).select(
+        "source_file",
+        "source_row_number",
+        F.rtrim(RECORD, F.lit("\r\n")).alias("raw_record"),
+        code.alias("error_code"),
+        F.format_string("expected %d fields, found %d", "_fields", found).alias("error_message"),
+    )
+    return numbered.where(F.col(RECORD).isNull()).drop(RECORD, "_fields"), errors
 
 
-def read_raw_csv(
+def require_well_formed(errors: DataFrame, shown: int = 5) -> None:
+    """Raise if there is a malformed record; the error names the first ones by file and place."""
+    first = errors.orderBy("source_file", "source_row_number").limit(shown).collect()
+    if first:
+        where = "; ".join(f"{r.source_file} record {r.source_row_number}: {r.error_message}" for r in first)
+        raise ValueError(f"Malformed CSV records: {where}")
+
+
+def scan_raw_csv(
     spark: SparkSession,
     paths: Sequence[str],
     columns: Sequence[str] | None = None,
     multi_line: bool = True,
     source_col: str | None = None,
-) -> DataFrame:
-    """CSV scan with every column as text and no implicit missing values.
+    header: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of a CSV scan with every column as text.
+
+    A record with more or fewer fields than its file's header is no row: it goes to
+    ``errors`` with its file, its number, its text, a code and a message.  Records are
+    numbered with the malformed ones among them, so a number is a place in the source.
 
     Quoted commas, doubled quotes and line breaks in fields read as they were
     written; an empty field is an empty text.  Files may order their columns
     differently: files with one header are one scan, and scans meet by column
-    name.  ``columns`` skips the header pass when all files are known to agree.
+    name.  ``columns`` skips the header pass when all files are known to agree;
+    files without a header line need it, with ``header=False``.
 
     ``multi_line=False`` lets Spark split large files; it is right only for
     files whose fields hold no line breaks, which the caller must know.
@@ -123,27 +207,63 @@ def read_raw_csv(
     ``source_row_number`` per source (S2) and ``reservation_key``.
     """
     paths = require_inputs(spark, sorted(paths))
-    if columns is not None:
-        groups = {tuple(columns): list(paths)}
-    else:
-        groups = {}
-        for f in _csv_files(spark, paths):  # one header line for each file
-            groups.setdefault(tuple(header_columns(spark, f)), []).append(f)
+    if columns is None and not header:
+        raise ValueError("files without a header need their columns named")
+    groups = header_groups(spark, paths) if columns is None else {tuple(columns): list(paths)}
     base = paths[0] if source_col and len(paths) == 1 else None
-    out = None
-    for names, files in groups.items():
-        df = _text_scan(spark, files, names, multi_line, base)
-        source = F.col(source_col) if source_col else F.col("_file")
-        df = df.select(
-            *names,
-            source.cast("string").alias("source_file"),
-            "_path",
-            "_block",
-            F.monotonically_increasing_id().alias("_mid"),
-        )
-        df = stored(df)  # one scan fixes both the rows and their places
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return number_rows_per_file(out)
+    return _split_malformed(number_rows_per_file(_scan_groups(spark, groups, multi_line, base, source_col, header)))
+
+
+def read_raw_csv(
+    spark: SparkSession,
+    paths: Sequence[str],
+    columns: Sequence[str] | None = None,
+    multi_line: bool = True,
+    source_col: str | None = None,
+    header: bool = True,
+) -> DataFrame:
+    """Rows of ``scan_raw_csv``; a malformed record is an error."""
+    rows, errors = scan_raw_csv(spark, paths, columns, multi_line, source_col, header)
+    require_well_formed(errors)
+    return rows
+
+
+def scan_snapshot_csv(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of a snapshot file or a folder of them: all text, own key columns.
+
+    Files of a folder may order their columns differently; they meet by name, and a
+    column that a file lacks is null there.  The numbers of ``errors`` count the records
+    of a file; rows carry none.
+    """
+    (path,) = require_inputs(spark, [path])
+    groups = header_groups(spark, [path])
+    if not groups:
+        raise ValueError(f"No CSV file in {path}")
+    # A snapshot's own source_file column stays; the file's name is needed for errors only.
+    own = "_own_source_file"
+    out, bad = None, None
+    for names, paths in groups.items():
+        df = _text_scan(spark, paths, names, multi_line, None)
+        columns = [F.col(n).alias(own) if n == "source_file" else F.col(n) for n in names]
+        df = stored(
+            df.select(
+                *columns, F.col("_file").alias("source_file"), RECORD, "_fields", "_path", "_block",
+                F.monotonically_increasing_id().alias("_mid"),
+            )
+        )
+        rows = df.where(F.col(RECORD).isNull())
+        rows = rows.select(*[F.col(own).alias(n) if n == "source_file" else F.col(n) for n in names])
+        keep = df.select("source_file", RECORD, "_fields", "_path", "_block", "_mid")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        bad = keep if bad is None else bad.unionByName(keep)
+    return out, _split_malformed(number_rows_per_file(bad))[1]
+
+
+def read_snapshot_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Rows of ``scan_snapshot_csv``; a malformed record is an error."""
+    rows, errors = scan_snapshot_csv(spark, path, multi_line)
+    require_well_formed(errors)
+    return rows
 
 
 def number_rows_per_file(df: DataFrame) -> DataFrame:
@@ -213,15 +333,15 @@ def run_paths(root: str, run_id: str) -> dict[str, str]:
 
 def read_artifact_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction artifact scan + tolerant re-typing."""
-    df = spark.read.parquet(path) if not path.endswith(".csv") else spark.read.option("header", "true").csv(path)
-    return df.withColumns(
-        {
-            "arrival_date": F.try_to_date(F.col("arrival_date").cast("string")),
-            "scored_at": F.try_to_timestamp(F.col("scored_at").cast("string")),
-            "score": F.col("score").cast("string").try_cast("double"),
-            "threshold_used": F.col("threshold_used").cast("string").try_cast("double"),
-        }
-    )
+    df = spark.read.options(**CSV_RULES).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    text = lambda c: F.col(c).cast("string")
+    typed = {
+        "arrival_date": lambda c: F.try_to_date(text(c)),
+        "scored_at": lambda c: F.try_to_timestamp(text(c)),
+        "score": lambda c: text(c).try_cast("double"),
+        "threshold_used": lambda c: text(c).try_cast("double"),
+    }
+    return df.withColumns({c: read(c) for c, read in typed.items() if c in df.columns})
 
 
 def read_artifact_clean(spark: SparkSession, path: str) -> DataFrame:

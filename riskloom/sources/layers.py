@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 NATURAL_KEY = ("source_file", "source_row_number")
@@ -23,18 +23,31 @@ def _json(cols) -> F.Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
-def import_batch(raw: DataFrame, source_name: str, feature_set_version: str) -> DataFrame:
-    """One batch row: sorted distinct source files, row count."""
-    return raw.agg(
+def import_batch(raw: DataFrame, source_name: str, feature_set_version: str, errors: DataFrame | None = None) -> DataFrame:
+    """One batch row: sorted distinct source files, row and error counts.
+
+    Files count by rows and errors alike.  Rows are first combined to one per file, so
+    the list holds file names only; an import has as many as it reads files.
+    """
+    records = raw.select("source_file", F.lit(1).alias("ok"))
+    if errors is not None:
+        records = records.unionByName(errors.select("source_file", F.lit(0).alias("ok")))
+    files = records.groupBy("source_file").agg(F.sum("ok").alias("rows"), F.sum(1 - F.col("ok")).alias("errors"))
+    return files.agg(
         F.lit(source_name).alias("source_name"),
-        F.array_join(F.array_sort(F.collect_set("source_file")), ",").alias("source_files"),
+        F.array_join(F.array_sort(F.collect_list("source_file")), ",").alias("source_files"),
         F.lit("completed").alias("status"),
-        F.count(F.lit(1)).cast("bigint").alias("row_count"),
-        F.lit(0).cast("bigint").alias("error_count"),
+        F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("row_count"),
+        F.coalesce(F.sum("errors"), F.lit(0)).cast("bigint").alias("error_count"),
         F.lit(feature_set_version).alias("feature_set_version"),
     )
 
 
+def error_layer(errors: DataFrame) -> DataFrame:
+    """Malformed records in quarantine: key, payload, code and message."""
+    return errors.select(*NATURAL_KEY, _json(["raw_record"]).alias("raw_payload"), "error_code", "error_message")
+
+
 def raw_layer(raw: DataFrame) -> DataFrame:
     """Raw rows with a JSON payload of all source columns."""
     source_cols = [c for c in raw.columns if c not in (*NATURAL_KEY, "reservation_key", "reservation_id")]
@@ -81,32 +94,51 @@ def clean_layer(clean: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 LAYERS = ("import_batches", "reservations_raw", "reservations_clean", "reservation_features", "predictions")
+ERRORS = "import_errors"
+NO_ERRORS = "source_file string, source_row_number bigint, raw_record string, error_code string, error_message string"
 
 
 def append_run(
     spark, store: str, raw: DataFrame, clean: DataFrame, features: DataFrame, predictions: Mapping[str, DataFrame],
-    feature_set_version: str, run_id: str, source_name: str = "source_files",
+    feature_set_version: str, run_id: str, source_name: str = "source_files", errors: DataFrame | None = None,
 ) -> dict[str, int]:
-    """Append a run's rows to the five layers under ``store`` (S15-S19); rows by layer.
+    """Append a run's rows to the layers under ``store`` (S15-S20); rows by layer.
 
     Each layer is a Parquet folder partitioned by run, so a rerun of the same run
-    replaces its own rows and no others.
+    replaces its own rows and no others.  Rows are counted while they are written
+    (an observed metric), so no layer is read back.  ``errors`` are the run's
+    malformed records, kept in a quarantine layer beside the others.
     """
     for rows, what in ((features, "feature rows"), *((p, f"{n} predictions") for n, p in predictions.items())):
         require_resolved(rows, clean, what)
+    errors = spark.createDataFrame([], NO_ERRORS) if errors is None else errors
     frames = {
-        "import_batches": import_batch(raw, source_name, feature_set_version),
+        "import_batches": import_batch(raw, source_name, feature_set_version, errors),
         "reservations_raw": raw_layer(raw),
         "reservations_clean": clean_layer(clean, raw),
         "reservation_features": feature_layer(features),
         "predictions": prediction_layer(predictions),
+        ERRORS: error_layer(errors),
     }
+    counts = {}
     for name, df in frames.items():
         kept = df.drop("scoring_run_id").withColumn("run_id", F.lit(run_id))
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(
-            f"{store.rstrip('/')}/{name}"
-        )
-    return {name: read_layer(spark, store, name).where(F.col("run_id") == run_id).count() for name in LAYERS}
+        seen = Observation(f"{name} of {run_id}")
+        kept.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("run_id").parquet(f"{store.rstrip('/')}/{name}")
+        counts[name] = seen.get["rows"]
+        if not counts[name]:  # a dynamic overwrite without rows leaves what a former run of this name wrote
+            drop_run(spark, store, name, run_id)
+    return counts
+
+
+def drop_run(spark, store: str, name: str, run_id: str) -> None:
+    """Remove a run's rows from a layer."""
+    jvm = spark.sparkContext._jvm
+    part = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+    path = jvm.org.apache.hadoop.fs.Path(f"{store.rstrip('/')}/{name}/run_id={part}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_layer(spark, store: str, name: str) -> DataFrame:
