@@ -350,7 +350,8 @@ def _cell_join(blocks: DataFrame, groups: DataFrame, n_blocks: int, n_groups: in
     """Each block beside each group of its vector length, dealt by stripes.
 
     A block is sent once for each stripe of groups, a group once for each stripe of
-    blocks.  Stripes are narrower while the table has few blocks.
+    blocks.  Stripes are narrower while the table has few blocks.  Both sides are
+    dealt by key: their estimated sizes leave the copies out, so a broadcast could grow.
     """
     at_once = blocks.sparkSession.sparkContext.defaultParallelism
     wide = max(1, min(STRIPE, n_blocks // (4 * at_once)))
@@ -363,7 +364,7 @@ def _cell_join(blocks: DataFrame, groups: DataFrame, n_blocks: int, n_groups: in
     )
     for c in ("ids", "ties", "labels", "vectors"):
         right = right.withColumnRenamed(c, f"g_{c}")
-    return left.join(right, ["stripe", "deal", "dim"])
+    return left.join(right.hint("merge"), ["stripe", "deal", "dim"])
 
 
 def _first(found: DataFrame, by: list[str], k: int) -> DataFrame:
