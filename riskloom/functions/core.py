@@ -42,35 +42,50 @@ def strip_all(c: Column | str) -> Column:
     return F.trim(_col(c), F.lit(WHITESPACE))
 
 
-def strip_all_sql(name: str) -> str:
-    return f"trim(BOTH {_WHITESPACE_SQL} FROM {_ident(name)})"
+# The SQL texts below name their value several times, so they are right for a plain column
+# that a projection below them computes: that projection then runs once for each row.
+# Comparisons with one-character texts test first characters by byte order.
+_LAST = "substring({x}, -1, 1)"
+_PLAIN_ENDS = f"{{x}} >= '!' AND {{x}} < '\\u007f' AND {_LAST} >= '!' AND {_LAST} < '\\u007f'"
+
+
+def strip_sql(name: str) -> str:
+    """SQL text of :func:`strip_all` for a column that plain ``trim`` has passed.
+
+    Nearly all values then begin and end with a visible ASCII character and are done.
+    """
+    x = _ident(name)
+    return f"CASE WHEN {_PLAIN_ENDS.format(x=x)} THEN {x} ELSE trim(BOTH {_WHITESPACE_SQL} FROM {x}) END"
 
 
 def cleanse_text_sql(name: str, tokens: Sequence[str] = config.NULL_TOKENS) -> str:
-    """SQL text of :func:`cleanse_text` for a named column (one JVM parse per column)."""
-    stripped = strip_all_sql(name)
-    toks = ", ".join(_sql_str(t) for t in tokens)
-    return f"CASE WHEN {stripped} IN ({toks}) THEN CAST(NULL AS STRING) ELSE {stripped} END"
+    """SQL text that maps the null tokens of a stripped column to null."""
+    x = _ident(name)
+    return f"CASE WHEN {x} IN ({', '.join(_sql_str(t) for t in tokens)}) THEN CAST(NULL AS STRING) ELSE {x} END"
 
 
 def tolerant_number_sql(name: str) -> str:
-    """SQL text of :func:`tolerant_number` for a named column."""
-    s = f"CAST({_ident(name)} AS STRING)"
-    return f"CASE WHEN {s} RLIKE {_sql_str(_NUMBER_PATTERN)} THEN try_cast({s} AS DOUBLE) END"
+    """SQL text of :func:`tolerant_number` for a text column.
+
+    A value that begins like a number, ends with a digit or point and holds no x (hexadecimal)
+    casts exactly if the number pattern matches; only others are matched against it.
+    """
+    x = _ident(name)
+    last = _LAST.format(x=x)
+    # From '+' to '9' there are also a comma and a slash, which neither the cast nor the pattern takes.
+    plain = f"{x} >= '+' AND {x} < ':' AND {last} >= '.' AND {last} < ':' AND NOT contains({x}, 'x') AND NOT contains({x}, 'X')"
+    matches = f"{x} RLIKE {_sql_str(_NUMBER_PATTERN)}"
+    return f"CASE WHEN ({plain}) OR {matches} THEN try_cast({x} AS DOUBLE) END"
 
 
 def cleanse_text(c: Column | str, tokens: Sequence[str] = config.NULL_TOKENS) -> Column:
     """Strip, then map every null token to null."""
-    if isinstance(c, str):
-        return F.expr(cleanse_text_sql(c, tokens))
     stripped = strip_all(c)
     return F.when(stripped.isin(list(tokens)), F.lit(None).cast("string")).otherwise(stripped)
 
 
 def tolerant_number(c: Column | str) -> Column:
     """String -> double; anything unparseable becomes null instead of an error."""
-    if isinstance(c, str):
-        return F.expr(tolerant_number_sql(c))
     s = _col(c).cast("string")
     return F.when(s.rlike(_NUMBER_PATTERN), s.try_cast("double"))
 

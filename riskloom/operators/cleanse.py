@@ -7,6 +7,8 @@ clean table (one row per raw row, no shuffle: a single narrow projection).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from riskloom import config
 from riskloom import functions as RF
 from riskloom.config import Stage
-from riskloom.functions.core import cleanse_text_sql, tolerant_number_sql
+from riskloom.functions.core import cleanse_text_sql, strip_sql, tolerant_number_sql
 from riskloom.operators.contracts import require_columns
 
 
@@ -22,17 +24,23 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def cleanse_strings(df: DataFrame, columns: list[str] | None = None, tokens=config.NULL_TOKENS) -> DataFrame:
-    """Strip every (or the given) string column and null out null tokens."""
+def cleanse_strings(
+    df: DataFrame, columns: Sequence[str] | None = None, tokens=config.NULL_TOKENS, numbers: Sequence[str] = ()
+) -> DataFrame:
+    """Strip every (or the given) string column and null out null tokens.
+
+    ``numbers`` of them come back parsed; no null token is a number, so these are only
+    stripped first.  Three projections, each over plain columns of the one below, so a
+    column's source expression runs once however often its value is used.
+    """
     targets = set(columns if columns is not None else string_columns(df))
-    exprs = [f"{cleanse_text_sql(c, tokens)} AS `{c}`" if c in targets else f"`{c}`" for c in df.columns]
-    return df.selectExpr(*exprs)
 
+    def each(value) -> list[str]:
+        return [f"{value(c)} AS `{c}`" if c in targets or c in numbers else f"`{c}`" for c in df.columns]
 
-def parse_numbers(df: DataFrame, columns) -> DataFrame:
-    """Tolerant numeric parse of the given columns (in place)."""
-    targets = set(columns)
-    return df.selectExpr(*[f"{tolerant_number_sql(c)} AS `{c}`" if c in targets else f"`{c}`" for c in df.columns])
+    trimmed = df.selectExpr(*each(lambda c: f"trim(CAST(`{c}` AS STRING))" if c in targets else f"CAST(`{c}` AS STRING)"))
+    stripped = trimmed.selectExpr(*each(lambda c: strip_sql(c) if c in targets else f"`{c}`"))
+    return stripped.selectExpr(*each(lambda c: tolerant_number_sql(c) if c in numbers else cleanse_text_sql(c, tokens)))
 
 
 def label_from_outcome(status: Column) -> Column:
@@ -54,7 +62,7 @@ def normalize_reservations(raw: DataFrame, cfg: Stage | None = None) -> DataFram
     Non-string pass-through columns (e.g. a stable ``reservation_id``) are kept.
     """
     cfg = cfg or config.stage()
-    df = parse_numbers(cleanse_strings(raw), config.RAW_NUMERIC_COLUMNS)
+    df = cleanse_strings(raw, numbers=config.RAW_NUMERIC_COLUMNS)
     status = F.col("ReservationStatus")
     excluded = ~is_labelled(status)
     month = RF.month_number("ArrivalDateMonth")
@@ -80,8 +88,6 @@ def normalize_reservations(raw: DataFrame, cfg: Stage | None = None) -> DataFram
     return df.select(*keys, *derived, *renamed)
 
 
-
-
 def normalize_snapshot(snapshot: DataFrame, cfg: Stage) -> DataFrame:
     """As-of-cutoff snapshot rows -> typed, labelled rows of one stage.
 
@@ -93,7 +99,7 @@ def normalize_snapshot(snapshot: DataFrame, cfg: Stage) -> DataFrame:
     for c in config.SNAPSHOT_OPTIONAL_COLUMNS:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    df = parse_numbers(cleanse_strings(df), config.SNAPSHOT_NUMERIC_COLUMNS)
+    df = cleanse_strings(df, numbers=config.SNAPSHOT_NUMERIC_COLUMNS)
     # Spark reads a time-only string as "today"; require a leading calendar date.
     snap_at = F.when(F.col("snapshot_at").rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(F.col("snapshot_at")))
     active = RF.bool_token("is_active_at_snapshot")

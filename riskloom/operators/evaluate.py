@@ -4,15 +4,16 @@ top-K capture, calibration and model comparison.
 All metrics are computed per ``by`` group (e.g. model) from distributed
 aggregates.  One scan collapses rows into tie groups ``(by, score) -> (rows,
 positives, negatives)``; distributed prefix sums over these groups
-(:mod:`riskloom.operators.ranking`) give every metric.  Single rows are ranked
-only inside groups that a top-K cut or a calibration border crosses.
+(:mod:`riskloom.operators.ranking`) give every curve metric.  Top-K cuts and
+calibration borders come from a score histogram; single rows are ranked only
+inside the bins that a cut or border crosses.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import config
@@ -66,8 +67,8 @@ def tie_groups(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
 def ranked_groups(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
     """Tie groups with running sums from the lowest score up, and the group totals.
 
-    The one expensive step of the curve metrics, the top-K table and the calibration: one
-    scan, one aggregate, one pass of prefix sums over the groups.  Null scores come last.
+    The one expensive step of the curve metrics: one scan, one aggregate, one pass of
+    prefix sums over the groups.  Null scores come last.
     ``*_le`` are sums up to and with a group; ``*_all`` those of its ``by`` group.
     """
     up = stored(prefix_sums(tie_groups(df, label, score, by), [(score, True)], ["rows", "pos", "neg"], by, "_le"))
@@ -190,6 +191,67 @@ def threshold_sweep(
     )
 
 
+# --- cuts and borders by narrowing ----------------------------------------------------
+
+_BINS = 1 << 13  # bins of a score histogram
+_WINDOW_ROWS = 100_000  # rows of one bin that a single window may rank
+
+
+def score_bin(score: Column) -> Column:
+    """Histogram bin of a score: never falls as the score rises; NaN and null have bins of their own.
+
+    Scores of [-2, 2) spread over the bins and others lie in the outer ones, which then
+    hold many rows and are narrowed like any full bin.
+    """
+    inside = F.floor(F.least(F.greatest(score, F.lit(-2.0)), F.lit(2.0)) * (_BINS // 4)).cast("int")
+    return F.when(score.isNull(), _BINS).when(F.isnan(score), _BINS - 1).otherwise(inside)
+
+
+def score_histogram(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """One row for each (by, bin) with rows: counts, running counts from the lowest score up, totals.
+
+    One scan with a partial aggregate; at most ``_BINS + 2`` rows of a group reach the shuffle
+    from a task, whatever the number of distinct scores.  Stored, as cuts and sums both read it.
+    """
+    bins = stored(
+        df.groupBy(*by, score_bin(F.col(score).cast("double")).alias("_bin")).agg(
+            F.count(F.lit(1)).cast("bigint").alias("rows"),
+            F.count_if(_pos(label)).cast("bigint").alias("pos"),
+            F.count(score).cast("bigint").alias("scored"),
+            F.sum(score).alias("total"),
+            F.min(score).alias("low"),
+            F.max(score).alias("high"),
+        )
+    )
+    w = Window.partitionBy(*by)  # at most _BINS + 2 rows
+    up = w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    return bins.select(
+        "*",
+        *[F.sum(c).over(up).alias(f"{c}_le") for c in ("rows", "pos")],
+        *[F.sum(c).over(w).alias(f"{c}_all") for c in ("rows", "pos", "scored")],
+        F.min("low").over(w).alias("least"),
+        F.max("high").over(w).alias("most"),
+    )
+
+
+def ranked_in_bins(
+    df: DataFrame, wanted: DataFrame, by: Sequence[str], score: str, order: Sequence[tuple[str, bool]], columns: Sequence[str]
+) -> DataFrame:
+    """Rows of the ``wanted`` (by, _bin) bins with their rank ``_r`` in ``order`` inside the bin.
+
+    Only these rows leave the scan.  A bin of up to ``_WINDOW_ROWS`` rows is ranked by a
+    window; if one holds more (very many equal scores), rows of all wanted bins are laid
+    out over range partitions instead, with the same ranks.
+    """
+    rows = df.select(*by, score_bin(F.col(score).cast("double")).alias("_bin"), *columns)
+    inside = null_safe_join(rows, wanted, [*by, "_bin"])
+    largest = wanted.agg(F.max("rows")).first()[0] or 0
+    if largest > _WINDOW_ROWS:
+        return global_rank(inside, order, [*by, "_bin"], "_r")
+    cols = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
+    return inside.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(*cols)))
+
+
 def top_k_capture(
     df: DataFrame,
     label: str,
@@ -201,36 +263,37 @@ def top_k_capture(
 ) -> DataFrame:
     """Positives captured in the K highest scores and the top p%.
 
-    K is clipped to n; the percent cut is ``max(1, ceil(n*p))``.  Rank ties
-    are broken by ``tie_break`` (ascending) so the result is deterministic.
+    K is clipped to n; the percent cut is ``max(1, ceil(n*p))``.  Rank ties are broken by
+    ``tie_break`` (ascending) so the result is deterministic; unscored rows come last.
+
+    A histogram tells in which bin each cut lies; bins above it count whole, and only rows
+    of the cut bins are ranked.
     """
     if not by:
         return top_k_capture(
             df.withColumn("_all", F.lit("all")), label, score, tie_break, top_k, top_percent, ["_all"]
         ).drop("_all")
     by = list(by)
-    groups = ranked_groups(df, label, score, by)
-    # From the top: scored groups by falling score, then the unscored one.
-    hidden = F.col(score).isNull()
-    seen = F.coalesce("unscored", F.lit(0))
-    upto = F.when(hidden, F.col("rows_all")).otherwise(F.col("rows_all") - seen - F.col("rows_le") + F.col("rows"))
-    groups = groups.withColumns({"_upto": upto, "_above": upto - F.col("rows"), "_n": F.col("rows_all"), "_p": F.col("pos_all")})
     names = [f"top_{k}" for k in top_k] + [f"top_{int(round(p * 100))}pct" for p in top_percent]
-    cuts = groups.withColumn("_cut", F.expr(f"array({', '.join(_cut_sql(n) for n in names)})"))
-    # A group is taken whole, not at all, or cut: only rows of cut groups are ranked one by one.
-    whole = cuts.groupBy(*by, "_n", "_p").agg(
+    # From the top: bins by falling score, then the unscored rows.
+    hidden = F.col("_bin") == _BINS
+    unscored = F.col("rows_all") - F.col("scored_all")
+    upto = F.when(hidden, F.col("rows_all")).otherwise(F.col("rows_all") - unscored - F.col("rows_le") + F.col("rows"))
+    bins = score_histogram(df, label, score, by).withColumns(
+        {"_upto": upto, "_above": upto - F.col("rows"), "_n": F.col("rows_all"), "_p": F.col("pos_all")}
+    )
+    bins = bins.withColumn("_cut", F.expr(f"array({', '.join(_cut_sql(n) for n in names)})"))
+    whole = bins.groupBy(*by, "_n", "_p").agg(
         *[F.sum(F.when(F.col("_upto") <= F.col("_cut")[i], F.col("pos")).otherwise(0)).alias(f"_w{i}") for i in range(len(names))]
     )
     is_cut = F.lit(False)
     for i in range(len(names)):
         is_cut = is_cut | ((F.col("_above") < F.col("_cut")[i]) & (F.col("_cut")[i] < F.col("_upto")))
-    split = cuts.where(is_cut).select(*by, score, "_above", "_cut")
-    inside = null_safe_join(df.select(*by, label, score, *tie_break), split, [*by, score])
-    ranked = global_rank(inside, [(c, True) for c in tie_break], [*by, score], "_r")
+    wanted = bins.where(is_cut).select(*by, "_bin", "rows", "_above", "_upto", "_cut")
+    order = [(score, False), *[(c, True) for c in tie_break]]
+    ranked = ranked_in_bins(df, wanted, by, score, order, [label, score, *tie_break])
     place = F.col("_above") + F.col("_r")
-    # A group below a cut has its rows beyond it; one that is whole for a cut was counted above.
-    rows_above = cuts.where(is_cut).select(*by, score, "_upto")
-    ranked = null_safe_join(ranked, rows_above, [*by, score])
+    # A bin that is whole for one cut and cut for another was counted above for the first.
     part = ranked.groupBy(*by).agg(
         *[
             F.count_if((F.col("_upto") > F.col("_cut")[i]) & (place <= F.col("_cut")[i]) & _pos(label)).alias(f"_s{i}")
@@ -279,27 +342,26 @@ def calibration(
     if not by:
         return calibration(df.withColumn("_all", F.lit("all")), label, score, tie_break, bins, ["_all"]).drop("_all")
     by = list(by)
-    groups = ranked_groups(df, label, score, by)
-    varied = groups.where(F.col(score).isNotNull()).groupBy(*by).agg((F.count(F.lit(1)) > 1).alias("_varied"))
-    groups = null_safe_join(groups, varied, by, "left").withColumn("_first", F.col("rows_le") - F.col("rows") + 1)
+    hist = score_histogram(df, label, score, by).withColumns(
+        {"_first": F.col("rows_le") - F.col("rows") + 1, "_varied": F.coalesce(F.col("least") < F.col("most"), F.lit(False))}
+    )
     n = F.col("rows_all")
     q = F.least(F.lit(bins), n)
 
     def bin_of(rank: Column) -> Column:
         num, den = (rank - 1) * q, n - 1
         ceil_div = F.when(den > 0, F.floor((num + den - 1) / den))
-        return F.when(F.coalesce("_varied", F.lit(False)), F.greatest(F.lit(0), ceil_div - 1)).otherwise(F.lit(0)).cast("bigint")
+        return F.when(F.col("_varied"), F.greatest(F.lit(0), ceil_div - 1)).otherwise(F.lit(0)).cast("bigint")
 
-    groups = groups.withColumns({"_lo": bin_of(F.col("_first")), "_hi": bin_of(F.col("rows_le"))})
+    hist = hist.withColumns({"_lo": bin_of(F.col("_first")), "_hi": bin_of(F.col("rows_le"))})
+    whole = hist.where("_lo = _hi").select(
+        *by, F.col("_lo").alias("bin"), F.col("rows").alias("_k"), "pos", F.col("scored").alias("_ks"), F.col("total").alias("_s")
+    )
+    # Only rows of score bins that a border crosses are ranked one by one.
+    wanted = hist.where("_lo < _hi").select(*by, "_bin", "rows", "_first", "rows_all", "_varied")
+    order = [(score, True), *[(c, True) for c in tie_break]]
+    ranked = ranked_in_bins(df, wanted, by, score, order, [label, score, *tie_break])
     scored = F.col(score).isNotNull()
-    whole = groups.where("_lo = _hi").select(
-        *by, F.col("_lo").alias("bin"), F.col("rows").alias("_k"), "pos",
-        F.when(scored, F.col("rows")).otherwise(0).alias("_ks"), (F.col(score) * F.col("rows")).alias("_s"),
-    )
-    # Only rows of groups that a bin's border crosses are ranked one by one.
-    split = groups.where("_lo < _hi").select(*by, score, "_first", "rows_all", "_varied")
-    inside = null_safe_join(df.select(*by, label, score, *tie_break), split, [*by, score])
-    ranked = global_rank(inside, [(c, True) for c in tie_break], [*by, score], "_r")
     part = ranked.select(
         *by, bin_of(F.col("_first") + F.col("_r") - 1).alias("bin"), F.lit(1).cast("bigint").alias("_k"),
         F.when(_pos(label), 1).otherwise(0).cast("bigint").alias("pos"),
@@ -325,8 +387,6 @@ def metrics_long(metrics: DataFrame, by: Sequence[str] = ("model_name",), names=
 
 def model_comparison(metrics: DataFrame) -> DataFrame:
     """Models ordered by PR-AUC desc, ROC-AUC desc with their rank."""
-    from pyspark.sql import Window
-
     # The comparison table has one row per model: a global window over it is tiny.
     w = Window.orderBy(F.col("pr_auc").desc_nulls_last(), F.col("roc_auc").desc_nulls_last(), F.col("model_name"))
     return metrics.select(

@@ -58,18 +58,24 @@ def entity_view(
     id alone.
 
     ``numbered`` adds the dense id 1..n in (source_file, source_row_number) order,
-    which lays the rows out once.  Reports do not need it, and a page numbers only
+    which lays the rows' keys out once (whole rows without ``join_on_id``).  Reports do not need it, and a page numbers only
     its own rows (``numbered_page``).
     """
     keys = list(keys)
+    order = [("source_row_number", True)]
     if join_on_id:
+        if numbered:
+            # Only the keys are laid out; the numbers meet their rows by the stable id.
+            slim = model_predictions.select(join_on_id, "source_file", "source_row_number")
+            ids = global_rank(slim, order, ["source_file"], "_dense", continuous=True).select(join_on_id, "_dense")
+            model_predictions = model_predictions.join(ids, join_on_id)
         view = right_join_suffixed(clean.drop(*keys), model_predictions, [join_on_id]).drop(join_on_id)
+        if numbered:
+            view = view.withColumnRenamed("_dense", "reservation_id")
     else:
         view = right_join_suffixed(clean.drop("reservation_id"), model_predictions.drop("reservation_id"), keys)
-    if numbered:
-        view = global_rank(
-            view, order=[("source_row_number", True)], by=["source_file"], rank_col="reservation_id", continuous=True
-        )
+        if numbered:
+            view = global_rank(view, order, ["source_file"], "reservation_id", continuous=True)
     version = F.col("model_version")
     if model_version:
         version = F.coalesce(version, F.lit(model_version))

@@ -224,7 +224,9 @@ def action_effectiveness(spark, sf_dir):
 
 @register("action_effectiveness_artifact")
 def action_effectiveness_artifact(spark, sf_dir):
-    return reports.action_effectiveness(_f(spark, sf_dir).view(numbered=True), None)
+    # An entity is one row of the view: its key stands for the id that numbering would give.
+    view = _f(spark, sf_dir).view().withColumn("reservation_id", F.struct("source_file", "source_row_number"))
+    return reports.action_effectiveness(view, None)
 
 
 @register("action_status_breakdown")
@@ -608,7 +610,10 @@ def ml_logistic(spark, sf_dir):
 @register("ml_logistic_checks")
 def ml_logistic_checks(spark, sf_dir):
     """The exact parts of scored rows: key, label, side, model, and that score and class agree."""
-    rows = _ml_predictions(spark, sf_dir, "logistic_regression")
+    return _score_checks(_ml_predictions(spark, sf_dir, "logistic_regression"))
+
+
+def _score_checks(rows: DataFrame) -> DataFrame:
     in_range = F.col("score").between(0.0, 1.0)
     agrees = F.col("risk_class") == F.when(F.col("score") >= config.HIGH_RISK_THRESHOLD, "high").when(
         F.col("score") >= config.ACTION_THRESHOLD, "medium"
@@ -619,6 +624,31 @@ def ml_logistic_checks(spark, sf_dir):
     )
 
 
+@register("ml_gbt_checks")
+def ml_gbt_checks(spark, sf_dir):
+    """As ``ml_logistic_checks``, for a few rounds of boosted trees."""
+    from riskloom import jobs
+    from riskloom.operators.ml import GBTParams
+
+    preds = jobs.train_and_score(
+        _modeling(_f(spark, sf_dir)), BOOKING, TRAIN_YEARS, TEST_YEARS, "booking_time-adapter", kinds=["gbt"],
+        gbt=GBTParams(max_depth=3, max_iter=5),
+    )
+    return _score_checks(preds["gbt"])
+
+
+@register("feature_medians")
+def feature_medians(spark, sf_dir):
+    """Exact median of every numeric feature over the training side (M1)."""
+    from riskloom.operators.quantile import exact_quantiles
+    from riskloom.session import stored
+
+    train = features.split_rows(_modeling(_f(spark, sf_dir)), BOOKING, TRAIN_YEARS, TEST_YEARS).where("split_name = 'train'")
+    names = BOOKING.columns("number")
+    found = exact_quantiles(stored(train.select(*names)), names)
+    return spark.createDataFrame(list(found.items()), "feature string, median double")
+
+
 @register("ml_gbt")
 def ml_gbt(spark, sf_dir):
     return _ml_predictions(spark, sf_dir, "gbt")

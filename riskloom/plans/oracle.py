@@ -590,6 +590,12 @@ SELECT * FROM (
 SELECT reservation_key, 'logistic_regression' AS model_name, CAST(no_show_flag AS BIGINT) AS actual_no_show_flag,
        'test' AS split_name, true AS score_in_range, true AS class_agrees
 FROM modeling WHERE arrival_year IN ({te})""")
+    q["ml_gbt_checks"] = q["ml_logistic_checks"].replace("'logistic_regression' AS model_name", "'gbt' AS model_name")
+    numbers = config.stage().columns("number")
+    medians = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST(median({c}) AS DOUBLE) AS median FROM modeling WHERE arrival_year IN ({tr})" for c in numbers
+    )
+    q["feature_medians"] = with_ctes(*f, modeling.replace("modeling AS (", "modeling AS MATERIALIZED ("), body=medians)
     raw_text = ", '|', ".join(f'coalesce("{col}", \'\')' for col in adapter.RAW_COLUMNS)
     q["csv_row_summary"] = with_ctes(*c, body=f"""
 SELECT source_file, CAST(count(*) AS BIGINT) AS row_count, CAST(1 AS BIGINT) AS first_row,

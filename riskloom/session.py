@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM compiles no method above 8000 bytes; wide projections then run as split functions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Broadcast only what the planner can prove small; 32 MB keeps dimension
     # tables in, keeps fact tables out at any scale.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
