@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NATURAL_KEY = ("source_file", "source_row_number")
@@ -105,9 +105,9 @@ def append_run(
     """Append a run's rows to the layers under ``store`` (S15-S20); rows by layer.
 
     Each layer is a Parquet folder partitioned by run, so a rerun of the same run
-    replaces its own rows and no others.  Rows are counted while they are written
-    (an observed metric), so no layer is read back.  ``errors`` are the run's
-    malformed records, kept in a quarantine layer beside the others.
+    replaces its own rows and no others.  The counts come from the footers of the
+    run's own files: no column is read back.  ``errors`` are the run's malformed
+    records, kept in a quarantine layer beside the others.
     """
     for rows, what in ((features, "feature rows"), *((p, f"{n} predictions") for n, p in predictions.items())):
         require_resolved(rows, clean, what)
@@ -122,14 +122,14 @@ def append_run(
     }
     counts = {}
     for name, df in frames.items():
+        path = f"{store.rstrip('/')}/{name}"
         kept = df.drop("scoring_run_id").withColumn("run_id", F.lit(run_id))
-        seen = Observation(f"{name} of {run_id}")
-        kept.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("run_id").parquet(f"{store.rstrip('/')}/{name}")
-        counts[name] = seen.get["rows"]
-        if not counts[name]:  # a dynamic overwrite without rows leaves what a former run of this name wrote
-            drop_run(spark, store, name, run_id)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+        counts[name] = spark.read.schema(kept.schema).parquet(path).where(F.col("run_id") == run_id).count()
+    # A dynamic overwrite without rows leaves what a former run of this name wrote.
+    if errors.isEmpty() and counts[ERRORS]:
+        drop_run(spark, store, ERRORS, run_id)
+        counts[ERRORS] = 0
     return counts
 
 

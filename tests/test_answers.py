@@ -174,8 +174,8 @@ def test_page_reads_the_view_once(spark):
     assert "Range (" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_append_counts_while_writing(spark, tmp_path):
-    """Counts come from the writes; a rerun without errors removes the run's quarantine."""
+def test_append_counts_and_quarantine(spark, tmp_path):
+    """A run's rows by layer; a rerun without errors removes the run's quarantine."""
     raw = spark.createDataFrame([("H1.csv", 1, "x", "2016-01-01"), ("H1.csv", 3, "y", None)], "source_file string, source_row_number bigint, ReservationStatus string, ReservationStatusDate string")
     clean = raw.select("source_file", "source_row_number")
     feats = clean.withColumn("feature_set_version", F.lit("v1")).withColumn("f", F.lit(1))
