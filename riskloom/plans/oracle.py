@@ -875,7 +875,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_report_queries())
     out.update(_more_queries())
     out.update(_action_queries())
-    from riskloom.plans import oracle_answers
+    from riskloom.plans import answers, oracle_answers  # noqa: F401  the first registers what the second checks
 
     out.update(oracle_answers.queries(out))
     # the streaming ingest accepts exactly the batch path's rows
