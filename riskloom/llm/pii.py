@@ -7,10 +7,13 @@ A surrogate keeps what the type shows: digits stay digits and letters stay
 letters of the same case and script, punctuation stays; a phone number keeps its
 country code, a card its first digit and a valid check digit, an address its
 octet lengths, an e-mail its top-level domain (equal domains stay equal), a
-titled person a given name of the title's gender.  Surnames are entities of their
-own, so "Mr John Smith", "Mr Smith" and "Dr Smith" share one; given names are drawn
-by gender and whole name, and a mention whose title tells no gender takes that of
-the same name, else of the same surname, in its text if there is just one.
+titled person a given name of the title's gender, in ASCII, accented Latin or
+Cyrillic letters as the real one.  Names have any number of words: initials,
+particles (which stay), apostrophes, inner capitals and words in capitals.  The last
+word is the surname, an entity of its own, so "Mr John Smith", "Mr SMITH" and "Dr
+Smith" share one; given names are drawn by gender and whole name, and a mention whose
+title tells no gender takes that of the same name, else of the same surname, in its
+text if there is just one.
 
 Collisions are checked over the whole corpus: a surrogate must differ from every
 other surrogate and every real entity of its type, for people as printed, over all
@@ -26,6 +29,7 @@ however many there are.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import ipaddress
@@ -54,7 +58,34 @@ GIVEN = {
     "m": "Adam Bruno Carl David Emil Felix Gustav Hugo Ivan Jonas Karl Leo Martin Noel Oscar Paul".split(),
     "f": "Ada Berta Clara Diana Emma Flora Greta Helena Irene Julia Karla Lena Marta Nora Olga Paula".split(),
 }
+ACCENTED = {
+    "m": "André Björn Günter Héctor Jérôme Jörg José Léo Óscar Raúl René Sébastien Søren Tomás Víctor Zoltán".split(),
+    "f": "Adèle Chloé Éva Hélène Inés Irène Léa Lucía Märta Mónica Noëlle Renée Sofía Sólveig Zoë Zsófia".split(),
+}
+CYRILLIC = {
+    "m": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Леонид Максим Никита Олег Павел Роман Степан Юрий".split(),
+    "f": "Алла Вера Галина Дарья Елена Зоя Ирина Ксения Лидия Марина Нина Ольга Полина Раиса Софья Юлия".split(),
+}
+# Lower-case words within names (fixed values); the second kind only behind one of the first.
+LINKS = "de del della di da das do dos du van von vom ter bin ibn ben y".split()
+INNER_LINKS = "la las los der den dem het zu".split()
+PARTICLES = frozenset(LINKS + INNER_LINKS)
+# Capitalised words that no name runs through (fixed values).
+NO_NAME = "And Or But The An Of In On At To For From With By Is Was Are Were Has Had Said Email Mail Contact Dear Hello Hi Cc".split()
 SYLLABLES = "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va ve".split()
+ACCENT_SYLLABLES = [x[0] + "áéó"["aeo".index(x[1])] for x in SYLLABLES]
+CYRILLIC_SYLLABLES = [c + v for c in "бвгдклмнпрст" for v in "аео"]
+
+LETTER = r"[\p{L}\p{M}]"
+BLANK = r"[ \t\xa0]+"
+PART = (  # Smith, SMITH, McDonald, O'Brien, d'Angelo; not the 's of a possessive
+    rf"(?:\p{{Ll}}['’]|(?:al|el)-)?\p{{Lu}}(?:{LETTER}+|(?=['’]\p{{Lu}}{LETTER}))"
+    rf"(?:['’](?![sS](?!{LETTER}))\p{{Lu}}{LETTER}*)*(?!{LETTER})"
+)
+WORD = rf"(?!(?:{'|'.join([*TITLES, *NO_NAME])})(?![\w-])){PART}(?:-{PART})*"
+LINK = rf"(?:{'|'.join(LINKS)})(?:{BLANK}(?:{'|'.join(INNER_LINKS)}))*"
+LEAD = rf"(?:(?:{LINK}|{WORD}|(?![AI]\b)\p{{Lu}}){BLANK}|\p{{Lu}}\.-?(?:{BLANK})?)"
+NAME = rf"{LEAD}*{WORD}"
 
 PATTERNS = {
     "email": regex.compile(r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -73,19 +104,22 @@ PATTERNS = {
     "ipv6": regex.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:]|\.\d)"),
     "ssn": regex.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "person": regex.compile(
-        r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? (\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2})"
+        rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\.?{BLANK}({NAME})"
     ),
 }
-# A whole name in front of an e-mail address, and one under a letter.
-NAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){1,2}"
-BY_EMAIL = regex.compile(rf"\b({NAME}),? ?[<(\[]?(?:mailto:)?$")
-SIGNED = regex.compile(
+# Names of two words or more under a letter, and in front of an e-mail address, where
+# words are taken one by one, backward.
+ANY_PARTICLE = rf"(?:{'|'.join(sorted(PARTICLES))})(?!\w)"
+WHOLE_NAME = regex.compile(rf"(?!{LINK}{BLANK}){LEAD}+{WORD}")
+WORD_BEFORE = regex.compile(rf"(?r)(?<![\w'’-])(?:({WORD})|\p{{Lu}}\.|(?![AI]\b)\p{{Lu}}|({ANY_PARTICLE}))(?<=(\.)|.)({BLANK})?")
+TO_EMAIL = regex.compile(r"(?r),? ?[<(\[]?(?:mailto:)?")
+CLOSING = regex.compile(
     r"\b(?:[Rr]egards|[Ss]incerely|Yours (?:truly|faithfully)|[Gg]rüßen?|Cordialement|Saludos|Atentamente|Signed(?: by)?)[,:]?\s+"
-    rf"({NAME})(?=\s*(?:[\n,.;]|$))"
 )
+LINE_END = regex.compile(r"\s*(?:[\n,.;]|$)")
 ANY_SIGNED = regex.compile("egards|incerely|Yours|rüße|Cordialement|Saludos|Atentamente|Signed")
-NEAR = 80  # characters in front of an e-mail address that are searched for a name
-CAPITALISED = regex.compile(r"(?<![\w])\p{Lu}\p{Ll}+(?!\w)")
+TOKEN = regex.compile(r"[^\s\xa0.]+\.?")  # a word of a name; an initial with its point
+MENTION = regex.compile(rf"(?<![\w'’-])(?:{WORD}|\p{{Lu}}\b\.?|{ANY_PARTICLE})")
 ANY_TITLE = regex.compile(r"\b(?:" + "|".join(TITLES) + r")\b")
 HAS_SIGN = regex.compile(r"[A-Za-z0-9]")
 LETTERS, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
@@ -124,12 +158,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             elif kind != "key" or HAS_SIGN.search(m[0], m[0].index("-") + 1 if "-" in m[0][:5] else 4):
                 found.append((m.start(), -m.end(), kind, ""))
             if kind == "email":
-                name = BY_EMAIL.search(text[max(0, m.start() - NEAR) : m.start()])
-                if name:
-                    at = max(0, m.start() - NEAR)
-                    found.append((at + name.start(1), -(at + name.end(1)), "person", ""))
+                found += _name_before(text, TO_EMAIL.match(text, 0, m.start()).start())
     if ANY_SIGNED.search(text):
-        found += [(m.start(1), -m.end(1), "person", "") for m in SIGNED.finditer(text)]
+        for m in CLOSING.finditer(text):
+            name = WHOLE_NAME.match(text, m.end())
+            if name and LINE_END.match(text, name.end()):
+                found.append((name.start(), -name.end(), "person", ""))
     if not found:
         return []
     found += _later_mentions(text, {text[a:-b] for a, b, kind, _ in found if kind == "person"})
@@ -143,6 +177,23 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return _gendered(text, out)
 
 
+def _name_before(text: str, stop: int) -> list[tuple[int, int, str, str]]:
+    """The name of two words or more that ends at ``stop``, if there is one."""
+    words, first, at, inner = 0, stop, stop, False
+    while m := WORD_BEFORE.match(text, 0, at):
+        word, particle, point, blank = m.groups()
+        if bool(words) != bool(blank or point) or not (words or word):
+            break
+        if particle:
+            inner = particle in INNER_LINKS or inner and particle not in LINKS
+        elif inner:
+            break  # such as "der" behind no "von"
+        else:
+            words, first = words + 1, m.start()
+        at = m.start()
+    return [(first, -stop, "person", "")] if words > 1 else []
+
+
 def _is_ipv6(value: str) -> bool:
     try:
         ipaddress.IPv6Address(value)
@@ -151,36 +202,91 @@ def _is_ipv6(value: str) -> bool:
     return any(c.isdigit() for c in value)  # not C++ names such as a::b
 
 
+def _lowered(value: str) -> str:
+    if value.isascii():
+        return value.lower()
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+
+
+def _uppered(value: str) -> str:
+    return "".join(c.upper() if len(c.upper()) == 1 else c for c in value)
+
+
+@functools.lru_cache(65_536)
+def _word(word: str) -> str:
+    """A name's word as its spellings share it; capitalised words stay apart from particles."""
+    low = _lowered(unicodedata.normalize("NFC", word)).replace("’", "'")
+    return low.capitalize() if low in PARTICLES and word != low else low
+
+
+def _words(name: str) -> tuple[str, ...]:
+    return tuple(map(_word, TOKEN.findall(name)))
+
+
 def _later_mentions(text: str, names: set[str]) -> list[tuple[int, int, str, str]]:
     """Mentions without title of the whole names and surnames that the text introduces."""
-    names = names | {n.rpartition(" ")[2] for n in names}
-    if not names:
+    known = {_words(n) for n in names}
+    known |= {n[-1:] for n in known}
+    if not known:
         return []
-    # One pass over capitalised words; a set lookup each, however many names there are.
-    words = list(CAPITALISED.finditer(text))
+    marks = [(m.start(), m.end(), _word(m[0])) for m in MENTION.finditer(text)]
+    # Sequences of words are told apart by a rolling hash of 127 bits, so a look costs
+    # the same for a name of any length.
+    ids: dict[str, int] = {}
+    wanted: dict[str, dict[int, set[int]]] = {}
+    for n in known:
+        of_word = wanted.setdefault(n[0], {})
+        of_word.setdefault(len(n), set()).add(_rolled(n, ids)[-1])
+    upto = _rolled([w for _, _, w in marks], ids)
+    power = [1]
+    ends = list(range(1, len(marks) + 1))  # of the run of words with only blanks between
+    for i in range(len(marks) - 2, -1, -1):
+        if not text[marks[i][1] : marks[i + 1][0]].strip(" \t\xa0"):
+            ends[i] = ends[i + 1]
     out = []
-    for i, w in enumerate(words):
-        for j in range(min(i + 6, len(words)) - 1, i - 1, -1):
-            if text[w.start() : words[j].end()] in names:
-                out.append((w.start(), -words[j].end(), "person", ""))
+    for i, (start, stop, word) in enumerate(marks):
+        for n, hashes in sorted(wanted.get(word, {}).items(), reverse=True):
+            while len(power) <= n:
+                power.append(power[-1] * ROLL % MERSENNE)
+            if i + n <= ends[i] and (upto[i + n] - upto[i] * power[n]) % MERSENNE in hashes:
+                out.append((start, -marks[i + n - 1][1], "person", ""))
                 break
+        else:
+            at = start
+            for part in text[start:stop].split("-") if "-" in word else ():
+                if (_word(part),) in known:
+                    out.append((at, -(at + len(part)), "person", ""))
+                at += len(part) + 1
+    return out
+
+
+MERSENNE, ROLL = (1 << 127) - 1, 0x5DEECE66D1B2F3A4975310FEDCBA987
+
+
+def _rolled(words, ids: dict[str, int]) -> list[int]:
+    """Hashes of all beginnings of ``words``; ``ids`` numbers the words seen."""
+    out = [0]
+    for w in words:
+        out.append((out[-1] * ROLL + ids.setdefault(w, len(ids) + 1)) % MERSENNE)
     return out
 
 
 def _gendered(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """``found`` with the gender of people that only other mentions in the text tell."""
-    told: dict[str, set[str]] = {}
+    told: dict[tuple[str, ...], set[str]] = {}
     for a, b, kind, gender in found:
         if kind == "person" and gender:
-            for name in (text[a:b], text[a:b].rpartition(" ")[2]):
-                told.setdefault(name, set()).add(gender)
+            name = _words(text[a:b])
+            for n in (name, name[-1:]):
+                told.setdefault(n, set()).add(gender)
     if not told:
         return found
     out = []
     for a, b, kind, gender in found:
         if kind == "person" and not gender:
-            known = told.get(text[a:b]) or told.get(text[a:b].rpartition(" ")[2]) or ()
-            gender = next(iter(known)) if len(known) == 1 else ""
+            name = _words(text[a:b])
+            genders = told.get(name) or told.get(name[-1:]) or ()
+            gender = next(iter(genders)) if len(genders) == 1 else ""
         out.append((a, b, kind, gender))
     return out
 
@@ -191,13 +297,13 @@ def normal(kind: str, gender: str, value: str) -> str:
         digits = "".join(c for c in value if c.isdigit())
         return ("+" if value.startswith("+") else "") + digits
     if kind == "email":
-        return "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        return _lowered(value)
     if kind == "iban":
         return value.replace(" ", "")
     if kind == "ipv6":
         return ipaddress.IPv6Address(value).compressed
     if kind == "person":
-        return f"{gender}:{unicodedata.normalize('NFC', value)}"
+        return f"{gender}:{' '.join(_words(value))}"
     return value
 
 
@@ -207,8 +313,8 @@ def named(kind: str, gender: str, value: str) -> list[tuple[str, str]]:
     if kind == "email":
         return [(kind, norm), ("domain", norm.rpartition("@")[2])]
     if kind == "person":
-        given, _, surname = norm.partition(":")[2].rpartition(" ")
-        return [("surname", surname)] + [(kind, norm)] * bool(given)
+        *given, surname = norm.partition(":")[2].split(" ")
+        return [("surname", surname)] + [(kind, norm)] * (not PARTICLES.issuperset(given))
     return [(kind, norm)]
 
 
@@ -248,6 +354,7 @@ def alike(c: str) -> list[str]:
             x
             for x in map(chr, range((ord(c) >> 8) << 8, ((ord(c) >> 8) + 1) << 8))
             if (unicodedata.name(x, "?").split(" ")[0], unicodedata.category(x)) == cell[:2]
+            and (x == x.upper().lower() or not x.islower())  # so words in capitals differ as well
         ]
     return _ALIKE[cell]
 
@@ -329,17 +436,13 @@ def replaced(kind: str, norm: str, round_: int, key: bytes) -> str:
                 ) + grown(LETTERS)
     if kind == "person" and " " in norm:
         gender, _, name = norm.partition(":")
-        given, _, surname = name.rpartition(" ")
-        if not given.isascii():
-            return f"{_longer(draw, redrawn(draw, given), round_)} {surname}"
-        pool = GIVEN[gender] if gender else GIVEN["m"] + GIVEN["f"]
-        parts = [p if p in " -" else draw.pick(pool) for p in regex.split(r"([ -])", given)]
-        return "".join(parts) + "".join("-" + draw.pick(pool) for _ in range(round_ - 1)) + f" {surname}"
+        *given, surname = name.split(" ")
+        out = [word if word in PARTICLES else _new_given(draw, gender, word) for word in given]
+        last = max(i for i, word in enumerate(given) if word not in PARTICLES)
+        out[last] += "".join("-" + draw.pick(_pool(gender, given[last])).lower() for _ in range(round_ - 1))
+        return " ".join([*out, surname])
     if kind in ("person", "surname"):
-        name = norm.rpartition(":")[2]
-        if not name.isascii():
-            return _longer(draw, redrawn(draw, name), round_)
-        return "-".join("".join(draw.pick(SYLLABLES) for _ in range(3 + round_)).capitalize() for _ in name.split("-"))
+        return _new_parts(norm.rpartition(":")[2], lambda part: _new_surname(draw, part, round_))
     if kind == "secret" and not any(c.isalnum() for c in norm):
         return "".join(draw.pick(MARKS) for _ in norm) + grown(MARKS)
     return redrawn(draw, norm) + grown(DIGITS if kind == "ssn" else LETTERS)
@@ -350,6 +453,61 @@ def _longer(draw: Draw, name: str, more: int) -> str:
     return name + "".join(draw.pick(tail if len(tail) > 1 else LETTERS) for _ in range(more))
 
 
+def _script(word: str) -> str:
+    """ascii, LATIN (with accents), CYRILLIC, or empty for any other or mixed ones."""
+    if word.isascii():
+        return "ascii"
+    found = {unicodedata.name(c, "?").split(" ")[0] for c in word if c.isalpha()}
+    return found.pop() if found in ({"LATIN"}, {"CYRILLIC"}) else ""
+
+
+def _pool(gender: str, word: str) -> list[str]:
+    names = {"ascii": GIVEN, "LATIN": ACCENTED, "CYRILLIC": CYRILLIC}.get(_script(word), GIVEN)
+    return names[gender] if gender else names["m"] + names["f"]
+
+
+def _new_parts(word: str, new) -> str:
+    """``word`` with the parts between hyphens and apostrophes replaced; a head such as o' or al- stays."""
+    parts = regex.split("([-'])", word)
+    tails = [*parts[1::2], ""]
+    return "".join(
+        (part if not part or tail == "'" and len(part) < 3 or tail == "-" and part in ("al", "el") else new(part)) + tail
+        for part, tail in zip(parts[::2], tails, strict=True)
+    )
+
+
+def _new_given(draw: Draw, gender: str, word: str) -> str:
+    if sum(c.isalpha() for c in word) == 1:  # an initial
+        return redrawn(draw, word)
+    return _new_parts(
+        word, lambda part: draw.pick(_pool(gender, part)).lower() if _script(part) else redrawn(draw, part)
+    )
+
+
+def _new_surname(draw: Draw, part: str, round_: int) -> str:
+    script = _script(part)
+    if not script:
+        return _longer(draw, redrawn(draw, part), round_)
+    heads = {"ascii": SYLLABLES, "LATIN": ACCENT_SYLLABLES, "CYRILLIC": CYRILLIC_SYLLABLES}[script]
+    rest = CYRILLIC_SYLLABLES if script == "CYRILLIC" else SYLLABLES
+    return draw.pick(heads) + "".join(draw.pick(rest) for _ in range(2 + round_))
+
+
+def _named_like(value: str, new: str) -> str:
+    """A name's lower-case word ``new`` in the capitals and apostrophes of ``value``."""
+    value = unicodedata.normalize("NFC", value)
+    if value.isupper() and sum(map(str.isalpha, value)) > 1:
+        return _uppered(new)
+    old = regex.split("([-'’])", value)
+    out = []
+    for i, piece in enumerate(regex.split("([-'])", new)):
+        if i % 2:
+            out.append(old[i] if i < len(old) else piece)
+        else:
+            out.append(_cased(old[i] if i < len(old) else "A", piece))
+    return "".join(out)
+
+
 def shaped(kind: str, value: str, norm: str) -> str:
     """A surrogate's normal form in the spelling of the occurrence ``value``."""
     if kind in ("card", "phone", "ssn", "iban"):
@@ -371,8 +529,13 @@ def surrogate(kind: str, gender: str, value: str, key: bytes, rounds: dict[tuple
     if kind == "email":
         return shaped(kind, value, new["email"].rpartition("@")[0] + "@" + new["domain"])
     if kind == "person":
-        given = new.get("person", "").rpartition(" ")[0]
-        return f"{given} {new['surname']}" if given else new["surname"]
+        places = list(TOKEN.finditer(value))
+        given = new["person"].split(" ")[:-1] if "person" in new else [m[0] for m in places[:-1]]
+        out, at = [], 0
+        for m, word in zip(places, [*given, new["surname"]], strict=True):
+            out += [value[at : m.start()], m[0] if m[0] in PARTICLES else _named_like(m[0], word)]
+            at = m.end()
+        return "".join(out)
     return shaped(kind, value, new[kind])
 
 
@@ -420,22 +583,28 @@ def collision_free(ents: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """
     visible = F.when(F.col("kind") == "person", F.regexp_replace("norm", "^[mf]?:", "")).otherwise(F.col("norm"))
     real = ents.select("kind", visible.alias("new"))
-    held = stored(_drawn(ents.withColumn("round", F.lit(0)), key))
+    # Each round draws for the entities that failed only, and compares with all earlier
+    # draws: a value that was given up is still held by the entity that won it.
+    fresh = stored(_drawn(ents.withColumn("round", F.lit(0)), key))
+    earlier, settled = None, None
     while True:
-        first = held.groupBy("kind", "new").agg(F.min(F.struct("round", "norm")).alias("first"), F.count("*").alias("n"))
-        taken = first.where("n > 1").select("kind", "new", "first.norm").withColumnRenamed("norm", "owner")
+        first = fresh.groupBy("kind", "new").agg(F.min("norm").alias("owner"), F.count("*").alias("n")).where("n > 1")
         clash = (
-            held.join(taken, ["kind", "new"])
+            fresh.join(first, ["kind", "new"])
             .where("norm != owner")
-            .select("kind", "norm")
-            .unionByName(held.join(real, ["kind", "new"], "left_semi").select("kind", "norm"))
-            .distinct()
+            .select("kind", "norm", "round")
+            .unionByName(fresh.join(real, ["kind", "new"], "left_semi").select("kind", "norm", "round"))
         )
-        clash = stored(clash)
+        if earlier is not None:
+            clash = clash.unionByName(fresh.join(earlier, ["kind", "new"], "left_semi").select("kind", "norm", "round"))
+        clash = stored(clash.distinct())
+        kept = fresh.join(clash, ["kind", "norm"], "left_anti")
+        settled = kept if settled is None else settled.unionByName(kept)
         if clash.isEmpty():
-            return held
-        again = held.join(clash, ["kind", "norm"], "left_semi").withColumn("round", F.col("round") + 1)
-        held = stored(held.join(clash, ["kind", "norm"], "left_anti").unionByName(_drawn(again, key)))
+            return settled
+        values = fresh.select("kind", "new")
+        earlier = values if earlier is None else earlier.unionByName(values)
+        fresh = stored(_drawn(clash.withColumn("round", F.col("round") + 1), key))
 
 
 def replace_text(text: str, key: bytes, rounds: dict[tuple[str, str], int]) -> tuple[str, list[tuple[int, int, str]]]:

@@ -233,3 +233,67 @@ def test_anonymise(spark, odd_docs, no_docs):
     assert rows(out.select("doc_id", "text")) == sorted(pairs(odd_docs), key=repr)
     assert out.where("size(spans) > 0").count() == 0
     assert pii.anonymise(no_docs).count() == 0
+
+
+def new_name(text):
+    return pii.replace_text(text, b"k", {})[0]
+
+
+@pytest.mark.parametrize("text,shape", [
+    ("Mr John Paul George Smith, then Mr Smith.", r"Mr [A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+ (\w+), then Mr \1\."),
+    ("Mr McDonald's", r"Mr [A-Z][a-z][A-Z][a-z]+'s"),
+    ("Mr O'Brien and Mr D’Angelo", r"Mr O'[A-Z][a-z]+ and Mr D’[A-Z][a-z]+"),
+    ("Mr de la Cruz; Cruz", r"Mr de la ([A-Z][a-z]+); \1"),
+    ("Mr van der Berg", r"Mr van der [A-Z][a-z]+"),
+    ("Ms Ana MARTINEZ, Ana Martinez, MARTINEZ", r"Ms ([A-Z][a-z]+) ([A-Z]+), \1 (?i:\2), \2"),
+    ("Mr J.R. Tolkien and J. R. Tolkien", r"Mr ([A-Z])\.([A-Z])\. ([A-Z][a-z]+) and \1\. \2\. \3"),
+    ("Mr Ben Smith", r"Mr [A-Z][a-z]+ [A-Z][a-z]+"),
+    ("Prof Dr Smith", r"Prof Dr [A-Z][a-z]+"),
+    ("Mr Smith And Mrs Jones", r"Mr [A-Z][a-z]+ And Mrs [A-Z][a-z]+"),
+    ("Mrs Smith-Jones and Mr Smith at a Smith-Doe", r"Mrs [A-Z][a-z]+-[A-Z][a-z]+ and Mr ([A-Z][a-z]+) at a \1-Doe"),
+    ("Ana van der Berg <q@example.org>", r"[A-Z][a-z]+ van der [A-Z][a-z]+ <.*>"),
+    ("Haus der Ana Berg (q@example.org)", r"Haus der [A-Z][a-z]+ [A-Z][a-z]+ \(.*\)"),
+    ("Regards,\nJ. Adam Paul Eric O'Neil\n", r"Regards,\n[A-Z]\.( [A-Z][a-z]+){3} O'[A-Z][a-z]+\n"),
+])
+def test_whole_names(text, shape):
+    new = new_name(text)
+    assert re.fullmatch(shape, new), new
+    real = {w for w in re.findall(r"\w{3,}", text) if w[0].isupper()} - set(pii.TITLES) - set("And Regards Haus Doe".split())
+    assert not real & set(re.findall(r"\w+", new))
+
+
+def test_gender_of_accented_and_cyrillic_names():
+    for title, first, pool in [
+        ("Señora", "María", pii.ACCENTED["f"]), ("Herr", "Jürgen", pii.ACCENTED["m"]),
+        ("Г-жа", "Анна", pii.CYRILLIC["f"]), ("Г-н", "Пётр", pii.CYRILLIC["m"]),
+    ]:
+        words = new_name(f"{title} {first} Nováková").split(" ")
+        assert words[0] == title and words[1] in pool and words[2] != "Nováková" and not words[2].isascii()
+
+
+def test_very_long_names():
+    long = "Aa " * 20_000
+    for text in (f"Mr {long}", f"{long}<q@example.org>", f"Regards\n{long}x", f"{long}q@example.org " * 2):
+        assert len(pii.find(text)) <= 4
+    assert len(pii.find(f"Mr {long}")) == 1 and pii.find(f"Mr {long}")[0][1] == len(long) + 2
+
+
+def test_distinct_and_coreferent_over_a_corpus(spark):
+    """Every pair of mentions, compared one by one: equal words have equal surrogates, others differ."""
+    rnd = random.Random(5)
+    surnames = ["Smith", "SMITH", "O'Brien", "McDonald", "Nováková", "Иванова", "Cruz", "Berg", "Lee"] + [
+        "".join(rnd.choice("abcdeu") for _ in range(4)).capitalize() for _ in range(300)
+    ]
+    given = ["Ana", "ANA", "José", "Ben", "Jean-Luc", "Анна", "Ana Paula"]
+    people = [(rnd.choice(given), rnd.choice(["", "", "van der "]) + rnd.choice(surnames)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, f"Mr {g} {s}.") for i, (g, s) in enumerate(people)], "doc_id long, text string")
+    got = dict(rows(pii.anonymise(df).select("doc_id", "text")))
+    last, whole = {}, {}
+    for i, (g, s) in enumerate(people):
+        new = got[i][3:-1]
+        last.setdefault(s.split(" ")[-1].lower(), set()).add(new.split(" ")[-1].lower())
+        whole.setdefault(f"{g} {s}".lower(), set()).add(new.lower())
+    for named in (last, whole):
+        assert all(len(v) == 1 for v in named.values())
+        new = {v.copy().pop() for v in named.values()}
+        assert len(new) == len(named) and not new & set(named)
