@@ -19,16 +19,17 @@ Spark reaches can hold.  Order: part, then seq, then place in the segment.
 
 from __future__ import annotations
 
-import itertools
 import os
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, pieces, scratch_dir
@@ -39,8 +40,9 @@ BLOCK, LANES, SCALE = 16_384, 32, 20
 LOW = U64(1 << 31)
 SEGMENT_TOKENS = 2_000_000
 END_ID = 2
-WORD_BYTES = 2 << 20  # text whose new words are encoded together
-CACHE_WORDS = 1_200_000
+WORD_BYTES = 8 << 20  # text whose new words are encoded together
+CACHE_WORDS = 600_000  # of a generation; two are held
+DEAL_CHARS = 64
 NO_ID = -(1 << 63)  # stands for a null document id
 
 
@@ -51,65 +53,90 @@ class WordEncoder:
     """The library's encoding, with a bounded cache of stretches between blanks.
 
     The tokenizer's pattern matches no white space, so no token spans it and the
-    ids of a text are those of its stretches in turn.  Texts with characters whose
-    normal form, case or class libraries may see differently, or with special
-    strings, go to the library whole.
+    ids of a text are those of its stretches in turn.  Each different stretch of some
+    texts is looked up once; their ids are then gathered as arrays.  New stretches are
+    cut by the pattern here, so the library gets words and blanks and need not
+    normalise.  Texts with characters whose normal form, case or class libraries may see
+    differently, or with special strings, go to the library whole.
     """
 
-    # The tokenizer file's own word pattern (fixed value).
+    # The tokenizer file's own word pattern (fixed value), and what is left of it for lower-case ASCII.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
     PLAIN = regex.compile("[\t-\r -\x7e\xa1-įı-ɏ]*")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library, self.by_blanks, self.ascii = (Tokenizer.from_file(path) for _ in range(3))
+        for tokenizer in (self.library, self.by_blanks, self.ascii):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+        self.by_blanks.normalizer = self.ascii.normalizer = normalizers.Sequence([])
+        blanks = pre_tokenizers.WhitespaceSplit()
+        self.by_blanks.pre_tokenizer = pre_tokenizers.Sequence(
+            [blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.ascii.pre_tokenizer = blanks  # printable ASCII stands for itself at byte level
         # Ids that end a match of the pattern: they tell the matches of a line apart.
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.pattern = regex.compile(self.PATTERN)
+        self.pattern = regex.compile(self.PATTERN + "|\n")
+        self.ascii_pattern = re.compile(self.ASCII_PATTERN + "|\n")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [
-            np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+    def _ids(self, text: str, tokenizer=None) -> np.ndarray:
+        got = (tokenizer or self.library).encode_batch_fast([text], add_special_tokens=False)
+        return np.array(got[0].ids, "<u4")
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], tokenizer, pattern) -> None:
         for at in range(0, len(new), 4_000):
             part = new[at : at + 4_000]
-            words = [self.pattern.findall(x) for x in part]
-            ids = self._ids([" ".join(itertools.chain.from_iterable(words))])[0]
+            words = pattern.findall("\n".join(part) + "\n")
+            ids = self._ids(" ".join(words), tokenizer)
             stops = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
-            upto = np.cumsum([0, *map(len, words)])
-            if len(stops) == upto[-1] + 1 and stops[-1] == len(ids):
+            lines = np.array([i for i, w in enumerate(words) if w == "\n"])
+            upto = np.append(0, lines - np.arange(len(lines)))  # words before each line's end
+            if len(lines) == len(part) and len(stops) == upto[-1] + 1 and stops[-1] == len(ids):
                 raw, cut = ids.tobytes(), (stops[upto] * 4).tolist()
                 self.cache.update(zip(part, (raw[x:y] for x, y in zip(cut, cut[1:], strict=False)), strict=True))
             else:
-                self.cache.update(zip(part, (x.tobytes() for x in self._ids(part)), strict=True))
+                self.cache.update((x, self._ids(x).tobytes()) for x in part)
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
+    def _bodies(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each stretch; those not seen for a generation are let go."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        split: list[list[str] | None] = [
-            t.lower().split() if "<|" not in t and self.PLAIN.fullmatch(t) else None
-            for t in texts
-        ]
-        new: set[str] = set()
-        for words in split:
-            new.update(words or ())
-        new.difference_update(self.cache)
-        if new:
-            self._learn(sorted(new))
-        get = self.cache.__getitem__
-        return [
-            self._ids([t])[0].tobytes() if words is None else b"".join(map(get, words))
-            for t, words in zip(texts, split, strict=True)
-        ]
+            self.older, self.cache = self.cache, {}
+        new = set(stretches).difference(self.cache)
+        known = new.intersection(self.older)
+        self.cache.update((x, self.older[x]) for x in known)
+        new = sorted(new - known)
+        self._learn([x for x in new if x.isascii()], self.ascii, self.ascii_pattern)
+        self._learn([x for x in new if not x.isascii()], self.by_blanks, self.pattern)
+        return list(map(self.cache.__getitem__, stretches))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        plain = ["<|" not in t and self.PLAIN.fullmatch(t) is not None for t in texts]
+        lower = [t.lower() for t, p in zip(texts, plain, strict=True) if p]
+        split = pc.utf8_split_whitespace(pa.array(lower, pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        # One text of all stretches, which hold no line breaks, becomes Python strings quickest.
+        one = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary)
+        joined = pc.binary_join(one, pa.scalar("\n", pa.large_string()))
+        bodies = self._bodies(joined[0].as_py().split("\n") if len(words.dictionary) else [])
+        size = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        ids = np.frombuffer(b"".join(bodies), "<u4")
+        which = words.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        first = (np.cumsum(size) - size)[which] - (ends - n)
+        raw = ids[np.repeat(first, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        upto = (np.append(0, ends)[split.offsets.to_numpy()] * 4).tolist()
+        done = (raw[a:b] for a, b in zip(upto, upto[1:], strict=False))
+        return [next(done) if p else self._ids(t).tobytes() for t, p in zip(texts, plain, strict=True)]
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -242,10 +269,11 @@ SEGMENT_SCHEMA = "part int, seq int, n_docs long, n_tokens long, payload binary"
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write segments to ``path`` in ascending id order.
 
-    The texts are dealt by id range, so each task writes its own stretch.  Each
-    document ends with id 2; a null or empty text is that id alone.  Null ids
-    come first; rows with equal ids are ordered by text, so repeated rows are
-    interchangeable.  Ids must be integers.  An empty table gives no segments.
+    The texts are dealt by range of id and ``DEAL_CHARS`` first characters, which agrees
+    with the order by id and text, so each task writes its own stretch and different
+    texts under one id fill many tasks.  Each document ends with id 2; a null or empty
+    text is that id alone.  Null ids come first; rows with equal ids are ordered by
+    text, so repeated rows are interchangeable.  Ids must be integers.  An empty table gives no segments.
     """
 
     def run(batches):
@@ -285,7 +313,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
 
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     src = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"))
-    dealt = src.repartitionByRange(n, "i").sortWithinPartitions("i", "t")
+    dealt = src.repartitionByRange(n, F.col("i"), F.substring("t", 1, DEAL_CHARS)).sortWithinPartitions("i", "t")
     dealt.mapInArrow(run, SEGMENT_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -306,13 +334,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     for row in totals:
         before[row["part"]] = at
         at += row["n"]
-    counts = files.select("part", "seq", "n_tokens").alias("c")
-    earlier = (
-        counts.alias("a")
-        .join(counts.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("b.seq") < F.col("a.seq")))
-        .groupBy("a.part", "a.seq")
-        .agg(F.sum("b.n_tokens").alias("before"))
-    )
+    ahead = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = files.select("part", "seq", F.sum("n_tokens").over(ahead).alias("before"))
 
     def run(batches):
         for batch in batches:
