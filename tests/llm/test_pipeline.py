@@ -56,7 +56,7 @@ def test_one_of_equal_rows_stays(odd_docs, spark):
 
 def test_registered_queries():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_short_texts_of_large_scripts_stay(spark):
