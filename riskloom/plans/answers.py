@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom import config
-from riskloom.operators import answers, evaluate, reports
+from riskloom.operators import answers, evaluate, queue, reports
 from riskloom.plans import catalog
 from riskloom.plans.catalog import BY, LABEL, SCORE, TIE_BREAK, register
 from riskloom.plans.frames import ARTIFACT_MODEL, Frames
 from riskloom.session import shared_path
-from riskloom.sources import adapter, files, layers, resolver
+from riskloom.sources import adapter, files, layers, resolver, state
 
 RUN = "20250101T000000Z"
 QUEUE_FILTER = {"property_id": "CITY_H2", "risk_class": "high"}
@@ -140,3 +141,61 @@ def benchmark_document(spark, sf_dir):
         reports.split_text(catalog.TRAIN_YEARS, catalog.TEST_YEARS),
     )
     return answers.document_rows(document)
+
+
+# --- stored state -------------------------------------------------------------------------
+
+ENTITY = ["reservation_id"]
+
+
+def _merged(fr: Frames) -> DataFrame:
+    """Newest predictions of a history that comes in two deliveries: odd lines, then even ones."""
+    rows = fr.predictions()
+    table = state.store_latest(rows.where("tie_line % 2 = 1"), ENTITY, adapter.PREDICTION_ORDER)
+    table = state.merge_latest(fr.spark, table, rows.where("tie_line % 2 = 0"), ENTITY, adapter.PREDICTION_ORDER)
+    return fr.spark.table(table)
+
+
+@register("latest_prediction_merged")
+def latest_prediction_merged(spark, sf_dir):
+    return _merged(Frames(spark, sf_dir)).select(*ENTITY, *queue.PREDICTION_FIELDS)
+
+
+@register("queue_store_bucketed")
+def queue_store_bucketed(spark, sf_dir):
+    """The store's queue page over entities and newest predictions in equal buckets."""
+    fr = Frames(spark, sf_dir)
+    entities = spark.table(state.write_bucketed(fr.clean(), "entities", ENTITY))
+    rows = queue.with_latest(entities, _merged(fr))
+    return queue.queue_page(rows, 50, id_ascending=False).select(*catalog.QUEUE_COLUMNS)
+
+
+def _fold_all(spark: SparkSession, sf_dir: str) -> tuple[str, list[DataFrame]]:
+    """The action log and its updates in three batches: the log, later updates, earlier ones."""
+    path = shared_path(spark, "action-state")
+    log, updates = Frames(spark, sf_dir).actions(), adapter.action_updates(spark, sf_dir)
+    late = F.hour("updated_at") >= 12
+    batches = [(log, updates.limit(0)), (log.limit(0), updates.where(late)), (log.limit(0), updates.where(~F.coalesce(late, F.lit(False))))]
+    return path, [state.fold_batch(spark, path, n, a, u) for n, (a, u) in enumerate(batches)]
+
+
+@register("action_state_folded")
+def action_state_folded(spark, sf_dir):
+    path, _ = _fold_all(spark, sf_dir)
+    return state.read_state(spark, path).select("id", "reservation_id", "action_status", "action_note", "update_count", "last_updated_at")
+
+
+@register("action_state_rejections")
+def action_state_rejections(spark, sf_dir):
+    _, rejected = _fold_all(spark, sf_dir)
+    out = rejected[0].unionByName(rejected[1]).unionByName(rejected[2])
+    return out.select("update_id", "id", "rejection_reason")
+
+
+@register("feature_payload_typed")
+def feature_payload_typed(spark, sf_dir):
+    """The features read back from the JSON payload of their layer, each by its own type."""
+    rows = catalog._features(Frames(spark, sf_dir))
+    layer = layers.feature_layer(rows)
+    fields = T.StructType([f for f in rows.schema if f.name not in (*layer.columns, "reservation_key", "reservation_id")])
+    return layers.typed_payload(layer, "feature_payload", fields)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from riskloom import config
 from riskloom.plans.oracle import (
-    ACTIONS, CANCELED_ART, CANCELED_STORE, NOSHOW, PRED, QUEUE_COLS, RISKY_COLS, _breakdown, _rate, _trends, base_clean,
+    ACTIONS, CANCELED_ART, CANCELED_STORE, FEATURE_SELECT, NOSHOW, PRED, QUEUE_COLS, RISKY_COLS, _breakdown, _rate, _trends, base_clean,
     base_view, with_ctes,
 )
 from riskloom.sources import adapter
@@ -219,5 +219,17 @@ FROM l JOIN (SELECT model_name, max_by(model_version, (scored_at, model_version)
     return f"WITH {ctes} SELECT section, model_name, CAST(place AS BIGINT) AS place, name, value, text FROM ({body})"
 
 
+def _stored(known: dict[str, str]) -> dict[str, str]:
+    """What is kept as state equals what the whole history gives."""
+    payload = ", ".join(c for c in FEATURE_SELECT.split(", ") if c not in ("reservation_key", "reservation_id"))
+    return {
+        "latest_prediction_merged": known["latest_prediction"],
+        "queue_store_bucketed": known["queue_store"],
+        "action_state_folded": known["action_latest_state"],
+        "action_state_rejections": known["action_update_rejections"],
+        "feature_payload_typed": f"SELECT {payload} FROM ({known['feature_dataset']})",
+    }
+
+
 def queries(known: dict[str, str]) -> dict[str, str]:
-    return {**_files(), **_cases(), "benchmark_document": _document(known)}
+    return {**_files(), **_cases(), **_stored(known), "benchmark_document": _document(known)}

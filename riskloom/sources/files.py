@@ -31,6 +31,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    fs, p = _fs_path(spark, pattern)
+    return sorted(str(s.getPath().toString()) for s in fs.globStatus(p) or [])
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs_path(spark, path)
+    fs.delete(p, True)
+
+
 def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> list[str]:
     fs, p = _fs_path(spark, directory)
     if not fs.exists(p):

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NATURAL_KEY = ("source_file", "source_row_number")
 PREDICTION_META = (
@@ -19,8 +20,30 @@ PREDICTION_META = (
 )
 
 
+# Every field is kept, nulls and microseconds included.
+JSON_OPTIONS = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def _json(cols) -> F.Column:
-    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*cols), JSON_OPTIONS)
+
+
+def typed_payload(rows: DataFrame, payload: str, fields: T.StructType) -> DataFrame:
+    """``rows`` with the JSON ``payload`` replaced by columns of the given names and types.
+
+    The text is parsed once into a VARIANT and each field taken from it.  A field that
+    is absent or JSON null, or whose value is not of its type, is null; so are all fields
+    of a payload that is null or not JSON.  A name cannot hold both kinds of quotes.
+    """
+    rest = [c for c in rows.columns if c != payload]
+    parsed = rows.withColumn("_variant", F.try_parse_json(payload))
+    path = lambda name: f'$["{name}"]' if "'" in name else f"$['{name}']"
+    taken = [F.try_variant_get("_variant", path(f.name), f.dataType.simpleString()).alias(f.name) for f in fields]
+    return parsed.select(*rest, *taken)
 
 
 def import_batch(raw: DataFrame, source_name: str, feature_set_version: str, errors: DataFrame | None = None) -> DataFrame:
@@ -83,7 +106,7 @@ def prediction_layer(frames: Mapping[str, DataFrame], attach_keys=None) -> DataF
     meta = [F.col(c) if c in union.columns else F.lit(None).alias(c) for c in PREDICTION_META]
     return union.select(
         "prediction_id", *NATURAL_KEY, "model_name", "model_version", "score", "risk_class", "threshold_used",
-        "scoring_run_id", "scored_at", F.to_json(F.struct(*meta), {"ignoreNullFields": "false"}).alias("metadata_payload"),
+        "scoring_run_id", "scored_at", _json(meta).alias("metadata_payload"),
     )
 
 

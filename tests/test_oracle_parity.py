@@ -15,6 +15,7 @@ QUERIES = (
     "cleanse_text", "label_and_exclusion", "latest_prediction", "reservation_view", "queue_store", "dashboard_kpis",
     "channel_breakdown", "no_show_trends", "feature_dataset", "classification_metrics", "topk_capture",
     "calibration_table", "action_asof_prediction", "action_latest_state", "key_resolution",
+    "latest_prediction_merged", "queue_store_bucketed", "action_state_folded", "action_state_rejections", "feature_payload_typed",
 )
 
 
