@@ -34,6 +34,10 @@ def test_temporal_split_years(spark):
     train, test = features.temporal_split(modeling, BOOKING)
     assert {int(r[0]) for r in train.select("arrival_year").collect()} == {2015, 2016}
     assert {int(r[0]) for r in test.select("arrival_year").collect()} == {2017}
+    for side, name in ((train, "train"), (test, "test")):  # each side is read from its own files
+        assert side.columns == modeling.columns
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(split_name" in plan and f"= {name})" in plan and "Join" not in plan
     with pytest.raises(ValueError, match="no rows to test"):
         features.temporal_split(modeling, BOOKING, test_years=(1990,))
 
