@@ -115,7 +115,10 @@ _RAW_SQL = {
 
 
 def _reservation_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The columns cost far more than reading them: rows are dealt by key to all shuffle partitions,
+    # as a small file, or a join that turns out small, would leave them to a few tasks.
     ent = order_entities(spark, sf_dir)
+    ent = ent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     agg = _line_aggregates(spark, sf_dir)
     df = ent.join(agg, ent.o_orderkey == agg.l_orderkey, "left").selectExpr(
         "*",
