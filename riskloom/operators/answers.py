@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom import config
 from riskloom.operators import evaluate, queue, reports
+from riskloom.session import stored
 from riskloom.sources.resolver import Source
 
 RISKY_FIELDS = ("reservation_id", "property_id", "arrival_date", "distribution_channel", "risk_class", "score", "model_version")
@@ -125,6 +126,8 @@ def queue_answer(source: Source, limit: int = queue.DEFAULT_PAGE_SIZE, **filters
     """
     limit = queue.check_page_size(limit)
     rows = queue.apply_filters(source.rows, **filters)
+    if source.label != config.ARTIFACT_SOURCE:
+        rows = stored(rows.select(*QUEUE_FIELDS))  # for total and page alike; an artifact's page stores its view
     total = rows.agg(F.count(F.lit(1)).cast("bigint").alias("total"))
     classes = F.lit("high|medium|low")
     listed = lambda c: F.split(c, r"\|")
@@ -141,7 +144,7 @@ def queue_answer(source: Source, limit: int = queue.DEFAULT_PAGE_SIZE, **filters
         dates = source.rows.agg(F.min("arrival_date").alias("min_arrival_date"), F.max("arrival_date").alias("max_arrival_date"))
         form = reports.one_row([choices, dates], ["property_ids", "distribution_channels", "min_arrival_date", "max_arrival_date"])
     else:
-        page, order = queue.queue_page(rows.select(*QUEUE_FIELDS), limit), queue.queue_order()
+        page, order = queue.queue_page(rows, limit), queue.queue_order()
         none = F.array().cast("array<string>")
         form = rows.sparkSession.range(1).select(
             none.alias("property_ids"), none.alias("distribution_channels"),

@@ -71,7 +71,10 @@ def stored_case(spark: SparkSession, sf_dir: str, predictions: bool, run: bool)
     _kept(clean.withColumn("run_id", F.lit(RUN)), f"{store}/reservations_clean")
     fr.actions().write.parquet(f"{store}/actions")
     if predictions:
-        rows = layers.prediction_layer({"all": fr.keyed_predictions()}).withColumnRenamed("scoring_run_id", "run_id")
+        # Dealt and sorted by run before the payload is built: a task holds few runs, so there are few
+        # files, and what it sorts are narrow rows of a bounded number.
+        history = fr.keyed_predictions().hint("rebalance", "scoring_run_id").sortWithinPartitions("scoring_run_id")
+        rows = layers.prediction_layer({"all": history}).withColumnRenamed("scoring_run_id", "run_id")
         _kept(rows, f"{store}/predictions")
     if run:
         paths = files.run_paths(root, RUN)

@@ -191,3 +191,60 @@ def test_append_counts_and_quarantine(spark, tmp_path):
     assert [(r.run_id, r.source_row_number) for r in left] == [("r2", 2)]
     batch = {r.run_id: r.error_count for r in layers.read_layer(spark, store, "import_batches").collect()}
     assert batch == {"r1": 0, "r2": 1}
+
+
+def write_tables(spark, base):
+    """A few orders of one nation with eight lines each, shipped in eight months."""
+    day = dt.datetime(1997, 1, 1)
+    tables = {
+        "nation": ([(0, "FRANCE", 3)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(1, 0, "BUILDING")], "c_custkey bigint, c_nationkey int, c_mktsegment string"),
+        "orders": (
+            [(k, 1, "FO"[k % 2], 10.0 * k, day, "1-URGENT") for k in range(40)],
+            "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+        ),
+        "lineitem": (
+            [(k, 1, 1, n, 5.0 * n, "RN"[n % 2], "OF"[n % 2], day + dt.timedelta(31 * n)) for k in range(40) for n in range(8)],
+            "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string,"
+            " l_linestatus string, l_shipdate timestamp_ntz",
+        ),
+        "events": (
+            [(k, day, 1, "click", 1.0, "{}") for k in range(80)],
+            "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+        ),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{base}/{name}.parquet")
+    return str(base)
+
+
+def test_rows_of_a_small_file_are_dealt_to_all_tasks(spark, tmp_path):
+    from riskloom.sources import adapter
+
+    raw = adapter.raw_reservations(spark, write_tables(spark, tmp_path / "in"))
+    tasks = {r[0] for r in raw.select(F.spark_partition_id()).distinct().collect()}
+    assert raw.count() == 40 and len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_stored_predictions_lie_in_few_files(spark, tmp_path):
+    from riskloom.plans.answers import stored_case
+
+    data = write_tables(spark, tmp_path / "in")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        source = stored_case(spark, data, predictions=True, run=False)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    stored_rows = source.predictions
+    assert stored_rows.count() == 320 and stored_rows.select("run_id").distinct().count() == 8
+    assert len(stored_rows.inputFiles()) == 8  # one for each run, not one for each run and task
+
+
+def test_store_queue_joins_once(spark, tmp_path):
+    write_store(spark, str(tmp_path), True)
+    source = resolver.resolve(spark, str(tmp_path), None)
+    out = answers.queue_answer(source, risk_class="high")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "scored_at" in plan and "Join LeftOuter" not in plan  # total and page read the joined rows
+    one = out.first()
+    assert one.total == 1 and [i.model_version for i in one["items"]] == ["gbt_2"]
