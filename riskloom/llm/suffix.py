@@ -14,7 +14,8 @@ the texts, are split by whole windows: each window goes under its own hash, so
 such a key has one stretch.  No key gathers more than the bound in one transform.
 
 *Comparing.*  Equal texts (xxhash64) and equal stretches (64-bit content hash) are
-told by hash and repeat as a whole.  The different stretches of a bucket of keys form one text, whose
+told by hash and repeat as a whole.  The different stretches of a bucket of keys are compared unless all of
+a key's are known to repeat: the bytes under windows whose hash occurs at another place of the bucket form one text, whose
 Burrows-Wheeler transform is built over suffixes sorted by at least 200 bytes.
 Interval expansion then derives the longest common prefixes of neighbouring suffixes in
 increasing order: the intervals of all strings of length l are extended backward
@@ -41,7 +42,7 @@ SEGMENT = 1 << 18  # bytes of one text handled at once
 CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20  # text whose stretches one bucket of keys holds
 LEAST_BUCKETS = 64
-BWT_BYTES = 1 << 17  # stretch bytes in one transform
+BWT_BYTES = 1 << 19  # stretch bytes of which the repeated windows are in one transform
 HOT_SHARE, HOT_LEAST = 32, 64  # a key is split if a chunk has it in 1/32 of its texts, 64 at least
 HOT_KEYS = 1 << 20
 LEVELS = 2
@@ -186,7 +187,7 @@ BACK = U64(pow(int(STEP), -1, 1 << 64))
 
 
 def _powers(n: int):
-    size = max(SEGMENT + LENGTH, n)
+    size = max(SEGMENT + LENGTH, n, *_POWERS)
     if size not in _POWERS:
         _POWERS.clear()
         _POWERS[size] = powers(size + 1), powers(size + 1, BACK)
@@ -213,6 +214,45 @@ def _least_gram(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[place], place
 
 
+def _one_of(code: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which codes are among sorted keys; most are told by their upper bits."""
+    found = np.zeros(len(code), bool)
+    if len(keys):
+        upper = np.zeros(1 << 16, bool)
+        upper[keys >> U64(48)] = True
+        maybe = np.flatnonzero(upper[code >> U64(48)])
+        near = np.minimum(np.searchsorted(keys, code[maybe]), len(keys) - 1)
+        found[maybe[keys[near] == code[maybe]]] = True
+    return found
+
+
+def _windows_near(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Windows that lie in one text and hold one of some grams, by place."""
+    if not len(grams):
+        return grams
+    width = LENGTH - GRAM + 1
+    cut = np.flatnonzero(np.append(True, grams[1:] > grams[:-1] + width))
+    first = np.maximum(grams[cut] - width + 1, 0)
+    size = grams[np.append(cut[1:], len(grams)) - 1] - first + 1
+    own = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+    return own[own + LENGTH <= offsets[np.searchsorted(offsets, own, "right")]]
+
+
+def _grams_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Only the grams of these windows: runs of windows, each with its further grams.
+
+    Places of the grams, and of each window's first one among them.
+    """
+    if not len(own):
+        return own, own
+    run = np.flatnonzero(np.append(True, own[1:] != own[:-1] + 1))
+    size = np.diff(np.append(run, len(own)))
+    span = size + LENGTH - GRAM
+    base = np.cumsum(span) - span
+    these = np.arange(int(span.sum())) + np.repeat(own[run] - base, span)
+    return these, np.arange(len(own)) + np.repeat(base - run, size)
+
+
 def stretches(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray]):
     """(key, content, text, at, windows) of the stretches of some texts.
 
@@ -233,16 +273,21 @@ def stretches(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray]):
         sums = np.zeros(len(data) + 1, U64)
         np.cumsum(BYTE_CODES[data] * up[: len(data)], out=sums[1:])
         gram = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
-        key, place = _least_gram(gram)
-        m, width = len(key), LENGTH - GRAM + 1
-        end = np.repeat(offsets[1:], np.diff(offsets))[:m]
-        own = np.flatnonzero(np.arange(m) + LENGTH <= end)  # windows that lie in one text
-        key = key[own]
-        fresh = np.append(True, place[1:] != place[:-1])[own]
-        fresh |= np.append(True, own[1:] != own[:-1] + 1)[: len(own)]
+        if hot:
+            own = _windows_near(np.flatnonzero(_one_of(gram, hot[0])), offsets)
+            these, spot = _grams_of(own)
+            key, place = (x[spot] for x in _least_gram(gram[these]))
+            fresh = np.append(True, place[1:] != place[:-1])[: len(own)]  # each run has places of its own
+        else:
+            key, place = _least_gram(gram)
+            m = len(key)
+            end = np.repeat(offsets[1:], np.diff(offsets))[:m]
+            own = np.flatnonzero(np.arange(m) + LENGTH <= end)  # windows that lie in one text
+            key = key[own]
+            fresh = np.append(True, place[1:] != place[:-1])[own]
+            fresh |= np.append(True, own[1:] != own[:-1] + 1)[: len(own)]
         for level, keys in enumerate(hot):
-            near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            keep = (keys[near] == key) if len(keys) else np.zeros(len(key), bool)
+            keep = _one_of(key, keys)
             fresh = (fresh | ~np.append(False, keep[:-1])[: len(keep)])[keep]
             own, key = own[keep], key[keep]
             if not len(own):
@@ -251,13 +296,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray]):
                 whole = mix((sums[own + LENGTH] - sums[own]) * down[own] + BYTE_CODES[9])
                 key, fresh = mix(key + whole), np.ones(len(own), bool)
                 continue
-            # Only the grams of these windows: runs of windows, each with its further grams.
-            run = np.flatnonzero(np.append(True, own[1:] != own[:-1] + 1))
-            size = np.diff(np.append(run, len(own)))
-            span = size + width - 1
-            base = np.cumsum(span) - span
-            these = gram[np.arange(int(span.sum())) + np.repeat(own[run] - base, span)]
-            spot = np.arange(len(own)) + np.repeat(base - run, size)
+            these, spot = _grams_of(own)
+            these = gram[these]
             for salt in seeded(EXTEND, level + 7):
                 more, place = _least_gram(mix(these ^ salt))
                 place = place[spot]
@@ -412,7 +452,10 @@ FOUND = "kind int, key long, content long, dk long, at int, windows int, many in
 def _meet(table: pa.Table, bound: int | None = None) -> pa.Table:
     """One bucket of keys: stretches whose key occurs more than once (kind 0), places
     known to repeat (kind 1) and keys to split (kind 2), among them those whose
-    different stretches take over ``bound`` bytes."""
+    different stretches take over ``bound`` bytes.
+
+    A key under which each stretch occurs several times has nothing left to compare:
+    its stretches are places known to repeat."""
     cols = [[], [], [], [], [], []]
     passed: list[list] = [[], [], []]
     told = [np.zeros(0, U64)]
@@ -457,7 +500,10 @@ def _meet(table: pa.Table, bound: int | None = None) -> pa.Table:
                 shared &= ~np.repeat(large, key_n)
             # The same place of equal texts in several chunks: once is enough.
             once = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (dk[1:] != dk[:-1]) | (at[1:] != at[:-1]))
-            use = shared & once
+            known = np.repeat(np.minimum.reduceat(weight, key_at) > 1, key_n)
+            use = shared & once & known
+            out.append((1, at[use] * 0, at[use] * 0, dk[use], at[use], w[use], at[use] * 0 + 2))
+            use = shared & once & ~known
             out.append((0, k[use].view(np.int64), c[use].view(np.int64), dk[use], at[use], w[use], np.minimum(weight[use], 2)))
     t = told.view(np.int64)
     out.append((2, t, t * 0, t * 0, t * 0, t * 0, t * 0))
@@ -531,6 +577,35 @@ def spans_of(flags: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, first - offsets[row], last - offsets[row] + LENGTH
 
 
+def _again(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Starts of the windows whose hash occurs at another place of some strings too: all
+    that can repeat."""
+    lens = np.diff(off)
+    starts = np.flatnonzero(np.arange(len(data)) + LENGTH <= np.repeat(off[1:], lens))
+    up, down = _powers(len(data))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(BYTE_CODES[data] * up[: len(data)], out=sums[1:])
+        whole = mix((sums[starts + LENGTH] - sums[starts]) * down[starts])
+    order = np.argsort(whole)
+    alike = whole[order[1:]] == whole[order[:-1]]
+    return np.sort(starts[order[np.append(alike, False) | np.append(False, alike)]])
+
+
+def _repeated(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """``repeated_starts`` of strings one after another.  Only the bytes under the windows
+    that ``_again`` finds are compared, each stretch of them as a string of its own."""
+    flags = np.zeros(len(data), bool)
+    starts = _again(data, off)
+    if len(starts):
+        # Windows of two strings are LENGTH apart at least.
+        run = np.flatnonzero(np.append(True, starts[1:] >= starts[:-1] + LENGTH))
+        size = starts[np.append(run[1:], len(starts)) - 1] - starts[run] + LENGTH
+        place = np.arange(int(size.sum())) + np.repeat(starts[run] - (np.cumsum(size) - size), size)
+        flags[place[repeated_starts(data[place], size)]] = True
+    return flags
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """One bucket: the covered bytes of each stretch, as pairs (first, end)."""
     key = np.asarray(table.column("key"))
@@ -542,7 +617,7 @@ def _compare(table: pa.Table) -> pa.Table:
     key, content = key[own], content[own]
     data, off = column_bytes(table.column("raw"))
     lens = np.diff(off)
-    flags = repeated_starts(data, lens)
+    flags = _repeated(data, off)
     # A stretch that occurs several times repeats as a whole.
     several = np.repeat(np.asarray(table.column("many")) > 1, lens)
     flags |= several & (np.arange(len(data)) + LENGTH <= np.repeat(off[1:], lens))
@@ -568,6 +643,21 @@ def _covered(spans: list, size: int) -> list[tuple[int, int]]:
     return list(zip(p[new, 0].tolist(), reach[np.append(new[1:], True)].tolist(), strict=True))
 
 
+def text_spans(found: DataFrame, compared: DataFrame, copies: DataFrame) -> DataFrame:
+    """(dk, spans): the places of what repeats, for the texts that occur once.
+
+    A text with copies repeats wholly.  Its places come once from each chunk that holds a copy,
+    and each copy would get them all, which grows with the square of the copies.
+    """
+    by_content = found.where("kind = 0").join(compared, ["key", "content"]).select("dk", "at", "spans")
+    known = found.where("kind = 1").select("dk", "at", "windows").mapInArrow(_whole, "dk long, at int, spans binary")
+    several = copies.where("copies > 1").select("dk")
+    return (
+        by_content.unionByName(known).join(several, "dk", "left_anti")
+        .groupBy("dk").agg(F.collect_list(F.struct("at", "spans")).alias("spans"))
+    )
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, spans): the byte spans of each whole text that occur elsewhere.
 
@@ -600,12 +690,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     compared = raw.groupBy("bucket").applyInArrow(_compare, "key long, content long, spans binary")
     compared = stored(compared)
-    by_content = meet.join(compared, ["key", "content"]).select("dk", "at", "spans")
-    known = found.where("kind = 1").select("dk", "at", "windows").mapInArrow(_whole, "dk long, at int, spans binary")
-    by_text = (
-        by_content.unionByName(known).groupBy("dk").agg(F.collect_list(F.struct("at", "spans")).alias("spans"))
-    )
-    info = copies.select("dk", "copies").join(by_text, "dk", "left")
+    info = copies.select("dk", "copies").join(text_spans(found, compared, copies), "dk", "left")
     return src.join(info, "dk", "left").select("doc_id", "t", "copies", "spans").mapInArrow(
         _spans, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text string, spans array<struct<first:long,end:long>>"
     )

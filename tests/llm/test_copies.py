@@ -126,6 +126,72 @@ def test_border_of_a_common_passage_is_split(spark, monkeypatch):
     assert rows(suffix.digest(suffix.repeats(df))) == sorted(suffix.brute_force(docs), key=repr)
 
 
+def test_copies_of_a_text_get_no_places(spark):
+    """Places of a text with copies come from each chunk and would go to each copy."""
+    found = spark.createDataFrame(
+        [(1, 0, 0, 7, 0, 5, 2), (1, 0, 0, 7, 0, 5, 2), (1, 0, 0, 8, 3, 5, 2), (0, 1, 2, 7, 9, 4, 1), (0, 1, 2, 9, 9, 4, 1)], suffix.FOUND
+    )
+    compared = spark.createDataFrame([(1, 2, b"12345678")], "key long, content long, spans binary")
+    copies = spark.createDataFrame([(7, 1, 50), (8, 2, 1), (9, 3, 1)], "dk long, one long, copies long")
+    got = suffix.text_spans(found, compared, copies).collect()
+    assert sorted((r["dk"], [s["at"] for s in r["spans"]]) for r in got) == [(8, [3]), (9, [9])]
+
+
+def test_keys_without_an_open_stretch_are_not_compared(spark):
+    rnd = random.Random(12)
+    passage = words(rnd, 200)
+    docs = [(i, passage + " " + words(rnd, 80)) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = suffix.shared_stretches(df.selectExpr("xxhash64(text) as dk", "text as t"))
+    assert found.where("kind = 1").count() > 0
+    least = found.where("kind = 0").groupBy("key").min("many").collect()
+    assert all(r["min(many)"] == 1 for r in least)
+    assert rows(suffix.digest(suffix.repeats(df))) == sorted(suffix.brute_force(docs), key=repr)
+
+
+def test_only_windows_that_occur_again_are_transformed(monkeypatch):
+    gen, whole, seen = np.random.default_rng(6), suffix.repeated_starts, []
+    shared = gen.integers(97, 100, 260).astype(np.uint8)
+    parts = [gen.integers(97, 100, 900).astype(np.uint8) for _ in range(6)]
+    for i, p in enumerate(parts[:3]):
+        p[99:361] = 65 + i  # neighbours differ
+        p[100:360] = shared
+    parts += [np.full(450, 97, np.uint8), np.zeros(0, np.uint8), shared[:199], shared[:200]]
+    off = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    data = np.concatenate(parts)
+
+    def counted(text, lens):
+        seen.append(len(text))
+        return whole(text, lens)
+
+    monkeypatch.setattr(suffix, "repeated_starts", counted)
+    got = suffix._repeated(data, off)
+    assert np.array_equal(got, whole(data, np.diff(off)))
+    assert got.sum() == 3 * 61 + 251 + 1
+    assert seen == [3 * 260 + 450 + 200]
+    # Every other window of a text occurs again: its bytes enter once, not once for each.
+    text = gen.integers(97, 123, 1000).astype(np.uint8)
+    cuts = [text[i : i + 200] for i in range(0, 800, 2)]
+    off = np.concatenate([[0], np.cumsum([len(p) for p in [text, *cuts]])])
+    got = suffix._repeated(np.concatenate([text, *cuts]), off)
+    assert got.sum() == 800 and not got[1:800:2].any()
+    assert seen[1] == 998 + 400 * 200
+
+
+def test_later_passes_look_at_windows_near_split_grams_only():
+    gen = np.random.default_rng(8)
+    parts = [gen.integers(97, 123, n).astype(np.uint8) for n in (900, 0, 150, 200, 3000, 700)]
+    parts[4][500:900] = parts[0][300:700]
+    data, off = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    key, _, text, at, size = suffix.stretches(data, off, [])
+    for hot in (np.sort(key[::7]), np.sort(key), np.zeros(0, np.uint64), np.arange(3, dtype=np.uint64)):
+        pick = np.isin(key, hot)
+        want = {(t, a + j) for t, a, n in zip(text[pick], at[pick], size[pick], strict=True) for j in range(n)}
+        _, _, t2, a2, n2 = suffix.stretches(data, off, [hot])
+        got = [(t, a + j) for t, a, n in zip(t2, a2, n2, strict=True) for j in range(n)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_long_texts_are_cut_alike(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SEGMENT", 700)
     monkeypatch.setattr(suffix, "_POWERS", {})
